@@ -251,8 +251,9 @@ def establishment_entities_frame(spark, sf):
                     ent.establishment_entity(RETAIL_CATEGORY, RETAIL_KIND).alias("entity"))
 
 
-def est_entity_struct_sql() -> str:
+def est_entity_struct_sql(mapping=None) -> str:
     from poicraft.functions.names import CATEGORY_SHORT_NAMES
+    mapping = CATEGORY_SHORT_NAMES if mapping is None else mapping
     c = S.clean
     street = (f"{c('nom_vial')} || '  ' || {c('numero_ext')} || ', ' || {c('tipo_asent')} || ', ' "
               f"|| {c('nomb_asent')}")
@@ -260,7 +261,7 @@ def est_entity_struct_sql() -> str:
   'address': {{'type': 'StructuredValue', 'value': {{'addressCountry': {c('entidad')},
      'addressRegion': {c('municipio')}, 'postalCode': {c('cod_postal')}, 'streetAddress': {street}}}}},
   'category': {{'type': 'Text', 'value': '{RETAIL_CATEGORY}'}},
-  'subCategory': {{'type': 'Text', 'value': {c(_reduce_sql('category', CATEGORY_SHORT_NAMES))}}},
+  'subCategory': {{'type': 'Text', 'value': {c(_reduce_sql('category', mapping))}}},
   'dateCreated': {{'type': 'DateTime', 'value': {S.text('fecha_alta')} || '-01T12:00:00.00Z'}},
   'description': {{'type': 'Text', 'value': {c('nombre_act')}}},
   'location': {{'type': 'geo:json', 'value': {{'type': 'Point', 'coordinates': {S.coords('longitud', 'latitud')}}}}},
