@@ -7,6 +7,8 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from poicraft.session import checkpoint_dir
+
 
 def row_index(df: DataFrame, order_by: Sequence, name: str = "idx") -> DataFrame:
     """Global 0-based index in ``order_by`` order (a total order is expected).
@@ -14,12 +16,15 @@ def row_index(df: DataFrame, order_by: Sequence, name: str = "idx") -> DataFrame
     The frame is range-partitioned and sorted by Spark; each row takes its
     partition's offset (the rows in earlier partitions, from a table with one row
     per partition, which is broadcast) plus its position within the partition.
-    The sort is deterministic for a total order, so a lost task recomputes the
-    same index.
+    The tagged sort is written once with a reliable checkpoint (the session's
+    ``spark.checkpoint.dir``), so both uses read the same partitions and a lost
+    executor cannot renumber rows.
     """
+    checkpoint_dir(df.sparkSession)
     tagged = (df.orderBy(*order_by)
               .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
+              .withColumn("_mid", F.monotonically_increasing_id())
+              .checkpoint(eager=True))
     sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_pid", "_first",

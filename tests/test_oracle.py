@@ -1,0 +1,51 @@
+"""Every registered query against its DuckDB oracle on sf0.001."""
+
+import math
+
+import duckdb
+import pytest
+
+import __spark_entry__ as E
+
+SF = "/root/testdata/sf0.001"
+TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
+          "pages benchmark labels conversations").split()
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+    return c
+
+
+def norm(v):
+    if v is None:
+        return ("~",)
+    if isinstance(v, float):
+        return ("f", "nan" if math.isnan(v) else repr(v))
+    if hasattr(v, "isoformat"):
+        return ("t", v.isoformat())
+    return ("v", str(int(v)) if isinstance(v, bool) else str(v))
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_query_matches_oracle(spark, con, name):
+    df = E.queries()[name](spark, SF)
+    cols = df.columns
+    got = sorted(tuple(norm(v) for v in r) for r in df.collect())
+    sql = E.oracle_sql().get(name)
+    if sql is None:
+        pytest.skip("no SQL oracle")
+    res = con.execute(sql)
+    ocols = [d[0] for d in res.description]
+    assert sorted(cols) == sorted(ocols)
+    pos = [ocols.index(c) for c in cols]
+    want = sorted(tuple(norm(r[i]) for i in pos) for r in res.fetchall())
+    assert got == want
+
+
+def test_entry_smoke(spark):
+    df = E.entry(spark)
+    assert df.count() > 0 and df.columns == ["rank", "label", "color"]
