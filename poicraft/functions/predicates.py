@@ -13,17 +13,23 @@ from poicraft.functions._col import col
 from poicraft.functions.text import NULL_TEXT, as_text, icontains
 
 
+def first_line(text) -> Column:
+    """First line of a text without splitting the rest of it."""
+    return F.substring_index(col(text), "\n", 1)
+
+
 def address_keyword_pred(address, postal, keywords: Iterable[str],
-                         null_text: str | None = NULL_TEXT) -> Column:
+                         null_text: str | None = NULL_TEXT, line=None) -> Column:
     """F1 on the first address line.
 
     A row is rejected when the postal code text occurs in its first address line
     (the line holds no street), otherwise every keyword must be a case-folded
     substring of that line. An empty keyword is always true; an empty postal
     code is contained in every line, so it rejects. Rows without a first line
-    are dropped.
+    are dropped. Pass ``line`` (e.g. :func:`first_line` of a text) instead of an
+    address array to avoid building the array.
     """
-    first = F.get(col(address), F.lit(0))
+    first = F.get(col(address), F.lit(0)) if line is None else col(line)
     line = as_text(first, null_text)
     cond = first.isNotNull() & ~line.contains(as_text(postal, null_text))
     return reduce(and_, [icontains(line, k, null_text) for k in keywords], cond)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from poicraft.functions.predicates import first_line
 from poicraft.functions import (address_keyword_pred, any_keyword_pred, clean_chars,
                                 clean_chars_array, color_for_keys, geojson_coords,
                                 planar_distance, reduce_name, search_date, street_entity_pred,
@@ -30,7 +31,7 @@ where split_part(text, chr(10), 1) is not null
 """)
 def q_address_keyword_filter(spark, d):
     docs = t(spark, d, "documents")
-    pred = address_keyword_pred(F.split("text", "\n"), "lang", ADDRESS_KEYWORDS)
+    pred = address_keyword_pred(None, "lang", ADDRESS_KEYWORDS, line=first_line("text"))
     return docs.filter(pred).select("doc_id")
 
 
