@@ -9,7 +9,9 @@ from poicraft.operators.dedup import dedupe_by_key
 from poicraft.session import checked_broadcast
 
 # Dimension tables at or below this many rows are broadcast; larger ones shuffle.
-DIMENSION_BROADCAST_ROWS = 2_000_000
+# Catalogue rows are a code and one or two short names (≈ 100 bytes), so the bound
+# keeps a broadcast table near 50 MB per executor.
+DIMENSION_BROADCAST_ROWS = 500_000
 
 
 def code_key(c) -> F.Column:
