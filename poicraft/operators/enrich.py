@@ -29,7 +29,7 @@ def postal_enrich(venues: DataFrame, postal: DataFrame, code_col: str = "postalC
     dim = postal.select(code_key("d_codigo").alias("_code"),
                         F.col("D_mnpio").alias("municipio"), F.col("d_tipo_asenta"))
     dim = dedupe_by_key(dim, ["_code"])
-    out = venues.join(checked_broadcast(dim, max_broadcast_rows),
+    out = venues.join(checked_broadcast(dim, max_broadcast_rows, source=postal),
                       code_key(code_col) == F.col("_code"), "left")
     return out.select(*[venues[c] for c in venues.columns], "municipio", "d_tipo_asenta") \
         .filter(F.col("municipio").isNotNull())
@@ -40,7 +40,7 @@ def catalog_match(establishments: DataFrame, catalog: DataFrame, code_col: str =
     """Add ``category`` = activity name by activity code; unmatched rows keep null."""
     dim = catalog.select(code_key("id_act").alias("_act"), F.col("actividad").alias("category"))
     dim = dedupe_by_key(dim, ["_act"])
-    out = establishments.join(checked_broadcast(dim, max_broadcast_rows),
+    out = establishments.join(checked_broadcast(dim, max_broadcast_rows, source=catalog),
                               code_key(code_col) == F.col("_act"), "left")
     return out.select(*[establishments[c] for c in establishments.columns], "category")
 

@@ -73,12 +73,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/scratch/{name}-{uuid.uuid4().hex}"
 
 
-def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+def at_most(df: DataFrame, max_rows: int) -> bool:
+    """Whether ``df`` holds at most ``max_rows`` rows; reads at most ``max_rows + 1``."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def checked_broadcast(df: DataFrame, max_rows: int, source: DataFrame | None = None) -> DataFrame:
     """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
 
-    The check reads at most ``max_rows + 1`` rows (a bounded job). Beyond the
-    bound the frame is returned as is and Spark plans a shuffle join (AQE may
-    still convert it at runtime from measured sizes).
+    The bound is checked on ``source`` when given (a frame ``df`` is derived from
+    without adding rows, e.g. before a dedup, so the check needs no shuffle),
+    else on ``df``. Beyond the bound the frame is returned as is and Spark plans
+    a shuffle join (AQE may still convert it from measured sizes).
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if at_most(df if source is None else source, max_rows) else df
