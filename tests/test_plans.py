@@ -39,3 +39,20 @@ def test_filters_reach_the_scan(spark):
     df = E.queries()["category_filter"](spark, SF)
     text = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(p_brand" in text or "PushedFilters: [IsNotNull(p_brand), In(p_brand" in text
+
+
+def test_box_search_pushes_into_a_stored_venue_table(spark):
+    from poicraft.operators import spatial
+    from poicraft.plans import bindings as B
+    from poicraft.session import scratch_path
+    path = scratch_path(spark, "points")
+    B.points(spark, SF).drop("cat_id").write.parquet(path)
+    venues = spark.read.parquet(path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    text = spatial.bbox_search(venues, (0.0, 0.0), (0.1, 0.1))._jdf.queryExecution() \
+        .executedPlan().toString()
+    assert "GreaterThanOrEqual(lat,0.0)" in text and "LessThan(lng,0.1)" in text
+    near = spatial.radius_search(venues, (0.0, 0.0), 10_000.0)._jdf.queryExecution() \
+        .executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThanOrEqual(lat,-0.08" in near and "LessThanOrEqual(lng,0.08" in near
