@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 __all__ = ["write_collection", "write_geojson", "write_legend", "write_counts",
-           "write_raw_json", "write_dual", "legend_object"]
+           "write_raw_json", "write_dual", "legend_object", "json_name"]
 
 JSON_OPTIONS = {"ignoreNullFields": "false"}
 
@@ -17,12 +17,23 @@ def write_collection(df: DataFrame, path: str, fmt: str = "parquet", **options)
     return path
 
 
-def write_geojson(features: DataFrame, path: str, column: str = "feature") -> str:
+def json_name(path: str, name: str | None) -> str:
+    """``path/name`` with ``.json`` appended to the name when it is missing."""
+    if name is None:
+        return path
+    name = name if ".json" in str(name) else f"{name}.json"
+    return path.rstrip("/") + "/" + name
+
+
+def write_geojson(features: DataFrame, path: str, column: str = "feature",
+                  name: str | None = None) -> str:
     """K2/K3: one GeoJSON Feature per line (a GeoJSON text sequence), in parallel.
 
     A single FeatureCollection document would funnel every feature through one
-    writer; consumers that need one can wrap the lines.
+    writer; consumers that need one can wrap the lines. ``name`` gets ``.json``
+    appended when missing.
     """
+    path = json_name(path, name)
     features.select(F.to_json(F.col(column), JSON_OPTIONS).alias("value")) \
         .write.mode("overwrite").text(path)
     return path
@@ -35,8 +46,9 @@ def legend_object(legend: DataFrame) -> DataFrame:
     return legend.agg(F.to_json(F.map_from_entries(pairs)).alias("legend"))
 
 
-def write_legend(legend: DataFrame, path: str) -> str:
+def write_legend(legend: DataFrame, path: str, name: str | None = None) -> str:
     """K4: the legend object as one JSON text file (the frame is bounded by N + 1 rows)."""
+    path = json_name(path, name)
     legend_object(legend).coalesce(1).write.mode("overwrite").text(path)
     return path
 

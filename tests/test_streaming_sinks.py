@@ -57,3 +57,21 @@ def test_geojson_lines_keep_nulls(spark):
     path = W.write_geojson(feats, scratch_path(spark, "geo"))
     obj = json.loads(spark.read.text(path).first().value)
     assert obj == {"type": "Feature", "properties": {"id": "1", "www": None}}
+
+
+def test_json_name_and_points_skip_missing_coordinates(spark):
+    assert W.json_name("/x/", "legend") == "/x/legend.json"
+    assert W.json_name("/x", "a.json") == "/x/a.json"
+    from poicraft.operators.features import entity_points
+    e = spark.createDataFrame(
+        [("a", ["1", "Bar", "#000000"], [1.0, 2.0]), ("b", ["1", "Bar", "#000000"], [])],
+        "id string, cat array<string>, coords array<double>")
+    ents = e.select(F.struct(
+        F.col("id"),
+        F.struct(F.col("cat").alias("value")).alias("category"),
+        F.struct(F.struct(F.lit(None).cast("array<string>").alias("addressLocality")).alias("value")).alias("address"),
+        F.struct(F.struct(F.col("coords").alias("coordinates")).alias("value")).alias("location"),
+    ).alias("entity"))
+    pts = entity_points(ents).collect()
+    assert len(pts) == 1 and pts[0].feature.properties.name == "a"
+    assert pts[0].feature.properties.category == "Bar"
