@@ -11,17 +11,20 @@ from poicraft.session import checkpoint_dir
 
 
 def row_index(df: DataFrame, order_by: Sequence, name: str = "idx") -> DataFrame:
-    """Global 0-based index in ``order_by`` order (a total order is expected).
+    """Global 0-based index in ``order_by`` order.
 
     The frame is range-partitioned and sorted by Spark; each row takes its
     partition's offset (the rows in earlier partitions, from a table with one row
     per partition, which is broadcast) plus its position within the partition.
     The tagged sort is written once with a reliable checkpoint (the session's
     ``spark.checkpoint.dir``), so both uses read the same partitions and a lost
-    executor cannot renumber rows.
+    executor cannot renumber rows. A hash of the whole row is the last sort key:
+    rows with equal ``order_by`` values spread over several range partitions (no
+    hot partition for a repeated key) and their order is fixed.
     """
     checkpoint_dir(df.sparkSession)
-    tagged = (df.orderBy(*order_by)
+    tie = F.xxhash64(*[F.col(c) for c in df.columns])
+    tagged = (df.orderBy(*order_by, tie)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id())
               .checkpoint(eager=True))

@@ -106,3 +106,12 @@ def test_mesh_grid_and_sweep(spark):
     sw = mesh.mesh_sweep(pts, (0.0, 0.0), (1.0, 1.0), 10, 10, 3)
     got = sorted((r.id, r.cell_id) for r in sw.collect())
     assert got == [(0, 0), (1, 0), (2, 0), (99, 99)]
+
+
+def test_row_index_spreads_a_repeated_key(spark):
+    df = spark.range(0, 3000, 1, 6).select(F.lit(1).alias("k"), F.col("id"))
+    idx = index.row_index(df, ["k"])
+    assert sorted(r.idx for r in idx.collect()) == list(range(3000))
+    # the same sort keys as row_index uses: the repeated key lands in several partitions
+    spread = df.orderBy("k", F.xxhash64("k", "id")).groupBy(F.spark_partition_id()).count().collect()
+    assert len(spread) > 1 and max(r["count"] for r in spread) < 3000
