@@ -19,6 +19,7 @@ from poicraft.plans import sqlfrag as S
 from poicraft.plans.params import (AS_OF, LEGEND_N, MAP_KEYWORDS, RETAIL_CATEGORY, RETAIL_KEYWORDS,
                                    RETAIL_KIND, RETAIL_NAME_MAP, VENUE_KEYS, VENUE_TOP_N)
 from poicraft.plans.q_core import SHARE_SQL, top_n_sql
+from poicraft.plans.q_io import ABBREV_LEGEND_SQL
 from poicraft.plans.q_places import (CLEAN_VEN, EST_FEATURES_SQL, _points_sql, _venue_entity_sql,
                                      est_entity_struct_sql, flat_entity, flat_point)
 from poicraft.plans.registry import query
@@ -86,9 +87,7 @@ def q_pipe_colored_map(spark, sf):
     return out["features"].select("id", F.to_json("feature", ent.JSON_OPTIONS).alias("feature"))
 
 
-@query("flagship_legend", f"""
-select rank, label, color from ({__import__('poicraft.plans.q_io', fromlist=['x']).ABBREV_LEGEND_SQL})
-""")
+@query("flagship_legend", f"select rank, label, color from ({ABBREV_LEGEND_SQL})")
 def q_flagship_legend(spark, sf):
     """The E2 legend with N = 5 (the ``entry`` smoke query)."""
     out = colored_map_flow(B.establishments(spark, sf), B.activity_catalog(spark, sf),
