@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poicraft.operators.dedup import dedupe_by_key
-from poicraft.session import checked_broadcast
+from poicraft.operators.joins import HOT_KEY_ROWS, salted_left_join
+from poicraft.session import at_most
 
 # Dimension tables at or below this many rows are broadcast; larger ones shuffle.
 # Catalogue rows are a code and one or two short names (≈ 100 bytes), so the bound
@@ -14,34 +15,49 @@ from poicraft.session import checked_broadcast
 DIMENSION_BROADCAST_ROWS = 500_000
 
 
+def lookup_join(facts: DataFrame, dim: DataFrame, fact_key: F.Column, dim_key: str,
+                source: DataFrame, max_broadcast_rows: int, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    """Left join against a deduplicated lookup table.
+
+    Broadcast when the raw table provably has at most ``max_broadcast_rows``
+    rows (checked on ``source`` without a shuffle); otherwise a shuffle join with
+    hot codes salted, so a code carried by a third of the facts is not one task.
+    """
+    if at_most(source, max_broadcast_rows):
+        return facts.join(F.broadcast(dim), fact_key == F.col(dim_key), "left")
+    return salted_left_join(facts, dim, fact_key, dim_key, hot_rows=hot_rows)
+
+
 def code_key(c) -> F.Column:
     """Code text or number → bigint join key (``'06000'`` = 6000; bad codes → null)."""
     return (F.col(c) if isinstance(c, str) else c).cast("string").try_cast("bigint")
 
 
 def postal_enrich(venues: DataFrame, postal: DataFrame, code_col: str = "postalCode",
-                  max_broadcast_rows: int = DIMENSION_BROADCAST_ROWS) -> DataFrame:
+                  max_broadcast_rows: int = DIMENSION_BROADCAST_ROWS,
+                  hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """J1 + F5: add ``municipio`` and ``d_tipo_asenta`` by postal code; drop unmatched.
 
-    The catalogue is reduced to one row per normalised code first. The left join
-    followed by the not-null test is an inner join for Catalyst.
+    The catalogue is reduced to one row per normalised code first (see
+    :func:`lookup_join` for the join strategy). The left join followed by the
+    not-null test is an inner join for Catalyst.
     """
     dim = postal.select(code_key("d_codigo").alias("_code"),
                         F.col("D_mnpio").alias("municipio"), F.col("d_tipo_asenta"))
     dim = dedupe_by_key(dim, ["_code"])
-    out = venues.join(checked_broadcast(dim, max_broadcast_rows, source=postal),
-                      code_key(code_col) == F.col("_code"), "left")
+    out = lookup_join(venues, dim, code_key(code_col), "_code", postal, max_broadcast_rows, hot_rows)
     return out.select(*[venues[c] for c in venues.columns], "municipio", "d_tipo_asenta") \
         .filter(F.col("municipio").isNotNull())
 
 
 def catalog_match(establishments: DataFrame, catalog: DataFrame, code_col: str = "codigo_act",
-                  max_broadcast_rows: int = DIMENSION_BROADCAST_ROWS) -> DataFrame:
+                  max_broadcast_rows: int = DIMENSION_BROADCAST_ROWS,
+                  hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Add ``category`` = activity name by activity code; unmatched rows keep null."""
     dim = catalog.select(code_key("id_act").alias("_act"), F.col("actividad").alias("category"))
     dim = dedupe_by_key(dim, ["_act"])
-    out = establishments.join(checked_broadcast(dim, max_broadcast_rows, source=catalog),
-                              code_key(code_col) == F.col("_act"), "left")
+    out = lookup_join(establishments, dim, code_key(code_col), "_act", catalog, max_broadcast_rows,
+                      hot_rows)
     return out.select(*[establishments[c] for c in establishments.columns], "category")
 
 

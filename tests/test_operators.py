@@ -120,3 +120,22 @@ def test_row_index_spreads_a_repeated_key(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(spread) > 1 and max(r["count"] for r in spread) < 3000
+
+
+def test_salted_left_join_equals_plain_join(spark):
+    from poicraft.operators.joins import salted_left_join
+    facts = spark.range(0, 5000, 1, 4).select(
+        F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 50).alias("code"))
+    dim = spark.range(0, 40).select(F.col("id").alias("k"), F.concat(F.lit("n"), F.col("id")).alias("name"))
+    salted = salted_left_join(facts, dim, F.col("code"), "k", salts=8, hot_rows=100)
+    plain = facts.join(dim, F.col("code") == F.col("k"), "left")
+    rows = lambda d: sorted((r.id, r.code, r.k, r.name) for r in d.select("id", "code", "k", "name").collect())
+    assert rows(salted) == rows(plain) and salted.count() == 5000
+
+
+def test_catalog_match_without_broadcast_matches(spark):
+    est = spark.createDataFrame([(str(i), str(i % 3)) for i in range(300)], "id string, codigo_act string")
+    catalog = spark.createDataFrame([("0", "a"), ("1", "b"), ("00", "dup")], "id_act string, actividad string")
+    big = enrich.catalog_match(est, catalog, max_broadcast_rows=0, hot_rows=10)
+    small = enrich.catalog_match(est, catalog)
+    assert sorted(map(tuple, big.collect())) == sorted(map(tuple, small.collect()))
