@@ -23,15 +23,17 @@ def clean_categories(df: DataFrame, key: str = "id") -> DataFrame:
 
 
 def category_filter(df: DataFrame, categories: Sequence[str] | DataFrame,
-                    column: str = "category") -> DataFrame:
+                    column: str = "category", bound: int | None = None) -> DataFrame:
     """keep rows whose category is listed; null is never listed.
 
     A literal list becomes an ``IN`` predicate (pushed into the scan when it is a
-    plain column); a key table becomes a left-semi join, broadcast by AQE when its
-    measured size is small and shuffled otherwise.
+    plain column). A key table becomes a left-semi join: broadcast when the caller
+    gives its proven row ``bound`` (e.g. the N winners of a top-N), otherwise left
+    to Spark (broadcast from measured size, else a shuffle join).
     """
     if isinstance(categories, DataFrame):
-        keys = categories.select(F.col(categories.columns[0]).alias("_cat")).distinct()
+        keys = categories.select(F.col(categories.columns[0]).alias("_cat"))
+        keys = F.broadcast(keys) if bound is not None else keys.distinct()
         return df.join(keys, F.col(column) == F.col("_cat"), "left_semi")
     return df.filter(F.col(column).isin(list(categories)))
 

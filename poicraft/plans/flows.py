@@ -106,8 +106,8 @@ def venue_map_flow(venues: DataFrame, postal: DataFrame, keywords: Sequence[str]
     df = df.filter(address_keyword_pred("formattedAddress", "postalCode", keywords))
     counts = cat.category_count_filtered(df, keys) if keys else cat.category_count(df)
     top = cat.top_n_other(counts, max_display)
-    rows = cat.category_filter(df, top.filter(F.col("category") != "Other").select("category")) \
-        if keys else df
+    winners = top.filter(F.col("category") != "Other").select("category")
+    rows = cat.category_filter(df, winners, bound=max_display) if keys else df
     rows = cat.top_keys_flag(rows, top)
     rows = rows.withColumn("color_cat", cat.color_for_keys(F.col("category"), in_keys=F.col("_in_top"))) \
         .drop("_in_top")

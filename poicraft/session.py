@@ -30,10 +30,14 @@ CLUSTER_CONF = {
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
-                  app_name: str = "poicraft") -> SparkSession:
-    """Session for tests and local benches. On a cluster, pass your own session."""
+                  app_name: str = "poicraft", extra_conf: dict | None = None) -> SparkSession:
+    """Session for tests and local benches. On a cluster, pass your own session
+    (or ``extra_conf=CLUSTER_CONF`` as a starting point)."""
+    builder = SparkSession.builder
+    for key, value in (extra_conf or {}).items():
+        builder = builder.config(key, value)
     spark = (
-        SparkSession.builder.master(master)
+        builder.master(master)
         .appName(app_name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")

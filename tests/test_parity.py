@@ -74,3 +74,40 @@ def test_random_parity(spark):
     out = {r.i: r for r in df.select("i", clean_chars("a").alias("c"), reduce_name("a", m).alias("p")).collect()}
     for i, a, *_ in data:
         assert out[i].c == py_clean(a) and out[i].p == py_reduce(a, m)
+
+
+def test_coordinate_and_abbreviation_parity(spark):
+    from poicraft.functions import abbreviate_label, geojson_coords
+    from poicraft.functions.names import LEGEND_ABBREVIATIONS
+    rng = random.Random(11)
+    pieces = ["1", "2", ".", "-", "+", "e", "5", " ", "x", "_", "0"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 5))) for _ in range(400)]
+    texts += ["nan", "inf", "1.5d", "1_0", " 3.25 ", ".5", "5.", "-0.0", "1e-3", None]
+
+    def py_num(t):
+        if t is None or "_" in t:
+            return None
+        try:
+            v = float(t)
+        except ValueError:
+            return None
+        return None if v != v or v in (float("inf"), float("-inf")) else v
+
+    df = spark.createDataFrame([(t, "1.0") for t in texts], "a string, b string")
+    got = [r.c for r in df.select(geojson_coords("a", "b").alias("c")).collect()]
+    for t, c in zip(texts, got):
+        v = py_num(t)
+        assert list(c) == ([v, 1.0] if v is not None else []), t
+
+    keys = list(LEGEND_ABBREVIATIONS)
+    labels = [" ".join(rng.sample(keys + ["x", "Otro"], 2)) + "[3]" for _ in range(100)]
+
+    def py_abbrev(label):
+        for k, v in LEGEND_ABBREVIATIONS.items():
+            if k in label:
+                return label.replace(k, v)
+        return label
+
+    lf = spark.createDataFrame([(x,) for x in labels], "l string")
+    out = [r.o for r in lf.select(abbreviate_label("l").alias("o")).collect()]
+    assert out == [py_abbrev(x) for x in labels]
