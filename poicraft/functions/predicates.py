@@ -25,13 +25,19 @@ def address_keyword_pred(address, postal, keywords: Iterable[str],
     A row is rejected when the postal code text occurs in its first address line
     (the line holds no street), otherwise every keyword must be a case-folded
     substring of that line. An empty keyword is always true; an empty postal
-    code is contained in every line, so it rejects. Rows without a first line
-    are dropped. Pass ``line`` (e.g. :func:`first_line` of a text) instead of an
+    code is contained in every line, so it rejects. A null or empty address list
+    drops the row; a null first line reads as ``null_text``. Pass ``line`` (e.g. :func:`first_line` of a text) instead of an
     address array to avoid building the array.
     """
-    first = F.get(col(address), F.lit(0)) if line is None else col(line)
+    if line is None:
+        arr = col(address)
+        present = F.coalesce(F.size(arr) > 0, F.lit(False))
+        first = F.get(arr, F.lit(0))
+    else:
+        first = col(line)
+        present = first.isNotNull()
     line = as_text(first, null_text)
-    cond = first.isNotNull() & ~line.contains(as_text(postal, null_text))
+    cond = present & ~line.contains(as_text(postal, null_text))
     return reduce(and_, [icontains(line, k, null_text) for k in keywords], cond)
 
 

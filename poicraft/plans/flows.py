@@ -122,7 +122,8 @@ _E3_TOP = top_n_sql(f"""select category, count(*) as n from E3F
 @query("pipe_venue_map", f"""
 with E3F as (select v.* from {CLEAN_VEN} v
              join ({B.POSTAL_SQL}) p on try_cast(v.postalCode as bigint) = try_cast(p.d_codigo as bigint)
-             where not contains(formattedAddress[1], postalCode) and formattedAddress[1] is not null),
+             where len(formattedAddress) > 0
+               and not contains(coalesce(formattedAddress[1], 'None'), coalesce(postalCode, 'None'))),
 T as (select category from ({_E3_TOP}) where category <> 'Other'),
 R as (select * from E3F where category in (select category from T))
 {_points_sql(_venue_entity_sql('R').replace(S.color_for_keys('category', VENUE_KEYS), "case when category in (select category from T) then " + S.color('category') + " else '#A4A4A4' end"))}

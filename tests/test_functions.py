@@ -49,9 +49,12 @@ def test_t7_postal_guard(spark):
         (3, ["Av Reforma 10"], ""),             # empty postal code is in every line: rejected
         (4, [], "1"), (5, None, "1"),           # no first line: dropped
         (6, ["Av Reforma"], None),              # null postal reads 'None'
+        (7, [None, "Reforma"], "1"),            # null first line reads 'None'
     ], "id int, addr array<string>, cp string")
     kept = rows(df.filter(address_keyword_pred("addr", "cp", ["reforma"])).select(F.col("id").alias("r")))
     assert sorted(kept) == [2, 6]
+    on = rows(df.filter(address_keyword_pred("addr", "cp", ["on"])).select(F.col("id").alias("r")))
+    assert sorted(on) == [7]
 
 
 def test_any_keyword_filter_or_and_empty(spark):

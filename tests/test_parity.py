@@ -30,9 +30,9 @@ def py_street(street, ent, kws):
 
 
 def py_address(lines, postal, kws):
-    if not lines or lines[0] is None:
+    if not lines:
         return False
-    first = lines[0]
+    first = py_text(lines[0])
     if py_text(postal) in first:
         return False
     return all(k.lower() in first.lower() for k in kws)
