@@ -79,9 +79,10 @@ select 'raw' as kind, id from ({B.VEN_SQL}) union all select 'mapped', '4sqr-' |
 """)
 def q_write_dual(spark, sf):
     raw = B.responses(spark, sf)
-    paths = W.write_dual(raw, response_entities(raw, AS_OF), scratch_path(spark, "dual"), "run-0001")
+    mapped = response_entities(raw, AS_OF)
+    paths = W.write_dual(raw, mapped, scratch_path(spark, "dual"), "run-0001")
     r = spark.read.schema(R.RESPONSE_SCHEMA).json(paths["raw"])
-    m = spark.read.json(paths["mapped"])
+    m = spark.read.schema(mapped.schema).json(paths["mapped"])
     return (R.flatten_venues(r).select(F.lit("raw").alias("kind"), "id")
             .unionByName(m.select(F.lit("mapped").alias("kind"), F.col("entity.id").alias("id"))))
 
