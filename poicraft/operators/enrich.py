@@ -9,6 +9,10 @@ from poicraft.operators.dedup import dedupe_by_key
 from poicraft.operators.joins import HOT_KEY_ROWS, salted_left_join
 from poicraft.session import at_most
 
+# Photo url when the venue has no photo record / a record without items.
+NO_PHOTO = "_"
+NO_PHOTO_ITEMS = "__"
+
 # Dimension tables at or below this many rows are broadcast; larger ones shuffle.
 # Catalogue rows are a code and one or two short names (≈ 100 bytes), so the bound
 # keeps a broadcast table near 50 MB per executor.
@@ -71,8 +75,8 @@ def photo_enrich(venues: DataFrame, photos: DataFrame, id_col: str = "id") -> Da
     ph = photos.select(F.col("venue_id").alias("_pid"), F.col("status").alias("photo_status"),
                        F.col("items").alias("_items"))
     first = F.get(F.col("_items"), F.lit(0))
-    url = (F.when(F.col("_pid").isNull(), F.lit("_"))
-           .when(F.coalesce(F.size("_items"), F.lit(0)) <= 0, F.lit("__"))
+    url = (F.when(F.col("_pid").isNull(), F.lit(NO_PHOTO))
+           .when(F.coalesce(F.size("_items"), F.lit(0)) <= 0, F.lit(NO_PHOTO_ITEMS))
            .otherwise(F.concat(first["prefix"], first["user"]["id"], first["suffix"])))
     out = venues.join(ph, F.col(id_col).cast("string") == F.col("_pid").cast("string"), "left")
     return out.select(*[venues[c] for c in venues.columns], url.alias("url"), "photo_status")

@@ -13,7 +13,22 @@ from poicraft.functions.text import as_text, clean_chars, clean_chars_array
 from poicraft.operators.index import row_index
 
 JSON_OPTIONS = {"ignoreNullFields": "false"}
-# Fixed value: entities per update batch.
+
+# Entity id prefixes, entity and attribute type names, literal
+# attribute values, the update action and the number of entities per batch.
+VENUE_ID_PREFIX = "4sqr-"
+ESTABLISHMENT_ID_PREFIX = "denue-"
+POINT_OF_INTEREST = "PointOfInterest"
+STRUCTURED_VALUE = "StructuredValue"
+TEXT = "Text"
+DATE_TIME = "DateTime"
+GEO_JSON = "geo:json"
+POINT = "Point"
+NO_URL = "no url"
+CATEGORY_LEVEL = "1"
+STREET_NUMBER_SEP = "  "
+STREET_PART_SEP = ", "
+APPEND = "APPEND"
 BATCH_SIZE = 400
 
 
@@ -23,24 +38,24 @@ def attr(kind: str, value: Column) -> Column:
 
 
 def point(coordinates: Column) -> Column:
-    return attr("geo:json", F.struct(F.lit("Point").alias("type"),
+    return attr(GEO_JSON, F.struct(F.lit(POINT).alias("type"),
                                      coordinates.alias("coordinates")))
 
 
 def venue_entity(as_of: str) -> Column:
     """M1: venue row (with ``category`` and ``color_cat``) → PointOfInterest entity."""
     return F.struct(
-        F.concat(F.lit("4sqr-"), as_text("id")).alias("id"),
-        F.lit("PointOfInterest").alias("type"),
-        attr("StructuredValue", F.struct(
+        F.concat(F.lit(VENUE_ID_PREFIX), as_text("id")).alias("id"),
+        F.lit(POINT_OF_INTEREST).alias("type"),
+        attr(STRUCTURED_VALUE, F.struct(
             clean_chars("country").alias("addressCountry"),
             clean_chars_array("formattedAddress").alias("addressLocality"))).alias("address"),
-        attr("Text", F.array(F.lit("1"), clean_chars("category"), F.col("color_cat"))).alias("category"),
-        attr("DateTime", timestamp_text(as_of)).alias("dateCreated"),
-        attr("Text", clean_chars("category")).alias("description"),
+        attr(TEXT, F.array(F.lit(CATEGORY_LEVEL), clean_chars("category"), F.col("color_cat"))).alias("category"),
+        attr(DATE_TIME, timestamp_text(as_of)).alias("dateCreated"),
+        attr(TEXT, clean_chars("category")).alias("description"),
         point(F.array(F.col("lng").cast("double"), F.col("lat").cast("double"))).alias("location"),
-        attr("Text", clean_chars("name")).alias("name"),
-        attr("Text", F.lit("no url")).alias("url"),
+        attr(TEXT, clean_chars("name")).alias("name"),
+        attr(TEXT, F.lit(NO_URL)).alias("url"),
     )
 
 
@@ -50,16 +65,16 @@ def _response_fields(v: Column, as_of: str) -> list:
                  clean_chars(F.get(cats, F.lit(0))["name"])).otherwise(clean_chars(v["name"]))
     loc = v["location"]
     return [
-        F.concat(F.lit("4sqr-"), as_text(v["id"])).alias("id"),
-        F.lit("PointOfInterest").alias("type"),
-        attr("StructuredValue", F.struct(
+        F.concat(F.lit(VENUE_ID_PREFIX), as_text(v["id"])).alias("id"),
+        F.lit(POINT_OF_INTEREST).alias("type"),
+        attr(STRUCTURED_VALUE, F.struct(
             clean_chars(loc["state"]).alias("addressCountry"),
             clean_chars(loc["city"]).alias("addressLocality"))).alias("address"),
-        attr("Text", F.array(F.lit("1"), aux)).alias("category"),
-        attr("DateTime", timestamp_text(as_of)).alias("dateCreated"),
-        attr("Text", aux).alias("description"),
+        attr(TEXT, F.array(F.lit(CATEGORY_LEVEL), aux)).alias("category"),
+        attr(DATE_TIME, timestamp_text(as_of)).alias("dateCreated"),
+        attr(TEXT, aux).alias("description"),
         point(F.array(loc["lng"].cast("double"), loc["lat"].cast("double"))).alias("location"),
-        attr("Text", clean_chars(v["name"])).alias("name"),
+        attr(TEXT, clean_chars(v["name"])).alias("name"),
     ]
 
 
@@ -72,7 +87,7 @@ def response_entities(responses: DataFrame, as_of: str) -> DataFrame:
     """M2: raw venue responses → entities (state → country, city → locality)."""
     v = F.col("v")
     return explode_venues(responses).select(
-        F.struct(*_response_fields(v, as_of), attr("Text", F.lit("no url")).alias("url"))
+        F.struct(*_response_fields(v, as_of), attr(TEXT, F.lit(NO_URL)).alias("url"))
         .alias("entity"))
 
 
@@ -85,32 +100,32 @@ def photo_entities(responses: DataFrame, photos: DataFrame, as_of: str) -> DataF
     v = F.col("v")
     return venues.select(F.struct(
         *_response_fields(v, as_of),
-        attr("Text", F.col("url")).alias("url"),
-        attr("Text", F.col("photo_status")).alias("photo_url"),
+        attr(TEXT, F.col("url")).alias("url"),
+        attr(TEXT, F.col("photo_status")).alias("photo_url"),
     ).alias("entity"))
 
 
 def establishment_entity(category: str, kind: str) -> Column:
     """M4: establishment row (with ``reduct_cat_name``) → context entity."""
-    street = F.concat(clean_chars("nom_vial"), F.lit("  "), clean_chars("numero_ext"), F.lit(", "),
-                      clean_chars("tipo_asent"), F.lit(", "), clean_chars("nomb_asent"))
+    street = F.concat(clean_chars("nom_vial"), F.lit(STREET_NUMBER_SEP), clean_chars("numero_ext"), F.lit(STREET_PART_SEP),
+                      clean_chars("tipo_asent"), F.lit(STREET_PART_SEP), clean_chars("nomb_asent"))
     return F.struct(
-        F.concat(F.lit("denue-"), as_text("id")).alias("id"),
+        F.concat(F.lit(ESTABLISHMENT_ID_PREFIX), as_text("id")).alias("id"),
         F.lit(kind).alias("type"),
-        attr("StructuredValue", F.struct(
+        attr(STRUCTURED_VALUE, F.struct(
             clean_chars("entidad").alias("addressCountry"),
             clean_chars("municipio").alias("addressRegion"),
             clean_chars("cod_postal").alias("postalCode"),
             street.alias("streetAddress"))).alias("address"),
-        attr("Text", F.lit(str(category))).alias("category"),
-        attr("Text", clean_chars("reduct_cat_name")).alias("subCategory"),
-        attr("DateTime", month_timestamp("fecha_alta")).alias("dateCreated"),
-        attr("Text", clean_chars("nombre_act")).alias("description"),
+        attr(TEXT, F.lit(str(category))).alias("category"),
+        attr(TEXT, clean_chars("reduct_cat_name")).alias("subCategory"),
+        attr(DATE_TIME, month_timestamp("fecha_alta")).alias("dateCreated"),
+        attr(TEXT, clean_chars("nombre_act")).alias("description"),
         point(geojson_coords("longitud", "latitud")).alias("location"),
-        attr("Text", clean_chars("nom_estab")).alias("name"),
-        attr("Text", clean_chars("raz_social")).alias("alternateName"),
-        attr("Text", F.col("www")).alias("dataProvider"),
-        attr("Text", clean_chars("tipoUniEco")).alias("economyUnit"),
+        attr(TEXT, clean_chars("nom_estab")).alias("name"),
+        attr(TEXT, clean_chars("raz_social")).alias("alternateName"),
+        attr(TEXT, F.col("www")).alias("dataProvider"),
+        attr(TEXT, clean_chars("tipoUniEco")).alias("economyUnit"),
     )
 
 
@@ -133,6 +148,6 @@ def entity_batches(entities: DataFrame, order_by: Sequence, size: int = BATCH_SI
                .agg(F.count(F.lit(1)).alias("n"),
                     F.sort_array(F.collect_list(F.struct(F.col("_idx"), F.col(column).alias("e"))))
                     .alias("_items")))
-    body = F.struct(F.lit("APPEND").alias("actionType"),
+    body = F.struct(F.lit(APPEND).alias("actionType"),
                     F.transform("_items", lambda x: x["e"]).alias("entities"))
     return grouped.select("batch_id", "n", F.to_json(body, JSON_OPTIONS).alias("payload"))

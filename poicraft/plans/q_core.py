@@ -233,7 +233,8 @@ def q_postal_enrich(spark, d):
 
 
 @query("photo_enrich", f"""
-select c.c_custkey, case when p.venue_id is null then '_' when p.first_url is null then '__'
+select c.c_custkey, case when p.venue_id is null then {S.lit(enrich.NO_PHOTO)}
+                         when p.first_url is null then {S.lit(enrich.NO_PHOTO_ITEMS)}
                          else p.first_url end as url, p.status as photo_status
 from customer c left join ({B.PHOTO_SQL}) p on cast(c.c_custkey as varchar) = p.venue_id
 """)

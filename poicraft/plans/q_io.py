@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 from poicraft.operators import audit, categories as cat, dedup, enrich
 from poicraft.operators.entities import response_entities
 from poicraft.functions import street_entity_pred
+from poicraft.functions.dates import MONTH_SUFFIX
+from poicraft.operators import entities as E
+from poicraft.operators import features as FT
 from poicraft.plans import bindings as B
+from poicraft.plans import sqlfrag as S
 from poicraft.plans.params import AS_OF, MAP_KEYWORDS, TOP_N
 from poicraft.plans.q_core import EST_CAT, abbreviate_sql, est_categories, legend_sql, top_n_sql
 from poicraft.plans.q_places import EST_FEATURES_SQL, establishment_features_frame
@@ -75,7 +79,7 @@ def q_write_raw_json(spark, sf):
 
 
 @query("write_dual", f"""
-select 'raw' as kind, id from ({B.VEN_SQL}) union all select 'mapped', '4sqr-' || id from ({B.VEN_SQL})
+select 'raw' as kind, id from ({B.VEN_SQL}) union all select 'mapped', {S.lit(E.VENUE_ID_PREFIX)} || id from ({B.VEN_SQL})
 """)
 def q_write_dual(spark, sf):
     raw = B.responses(spark, sf)
@@ -130,7 +134,7 @@ def q_build_catalog(spark, sf):
              .unionByName(region.select(F.concat("r_name", F.lit(',"region",x')).alias("value")))
              .unionByName(part.select(F.concat(F.col("p_partkey").cast("string"), F.lit(',"'),
                                                "p_name", F.lit('",'), "p_brand").alias("value"))))
-    path = scratch_path(spark, "scian")
+    path = scratch_path(spark, "activity-catalog")
     lines.write.text(path)
     return R.build_catalog(spark, path)
 

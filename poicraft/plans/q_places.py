@@ -6,6 +6,10 @@ from pyspark.sql import functions as F
 
 from poicraft.functions import reduce_name
 from poicraft.operators import categories as cat, entities as ent, features as feat, mesh, spatial
+from poicraft.functions.dates import MONTH_SUFFIX
+from poicraft.operators import entities as E
+from poicraft.operators.enrich import NO_PHOTO, NO_PHOTO_ITEMS
+from poicraft.operators import features as FT
 from poicraft.plans import bindings as B
 from poicraft.plans import sqlfrag as S
 from poicraft.plans.params import (AS_OF, AS_OF_TEXT, BOX_CATEGORY, BOX_NE, BOX_SW, CENTER,
@@ -164,11 +168,11 @@ CLEAN_VEN = f"""(select *, cat_name[1] as category from {VEN}
 
 def _venue_entity_sql(src: str) -> str:
     return f"""
-select '4sqr-' || {S.text('id')} as id, 'PointOfInterest' as type, {S.clean('country')} as address_country,
+select {S.lit(E.VENUE_ID_PREFIX)} || {S.text('id')} as id, {S.lit(E.POINT_OF_INTEREST)} as type, {S.clean('country')} as address_country,
   to_json(list_transform(formattedAddress, lambda x: {S.clean('x')})) as address_locality,
-  to_json(['1', {S.clean('category')}, {S.color_for_keys('category', VENUE_KEYS)}]) as category,
+  to_json([{S.lit(E.CATEGORY_LEVEL)}, {S.clean('category')}, {S.color_for_keys('category', VENUE_KEYS)}]) as category,
   '{AS_OF_TEXT}' as date_created, {S.clean('category')} as description, lng, lat,
-  {S.clean('name')} as name, 'no url' as url
+  {S.clean('name')} as name, {S.lit(E.NO_URL)} as url
 from {src}
 """
 
@@ -206,8 +210,8 @@ def q_entity_points(spark, sf):
 def _response_sql(extra_cols: str = "", join: str = "") -> str:
     aux = f"case when len(cat_name) > 0 then {S.clean('cat_name[1]')} else {S.clean('name')} end"
     return f"""
-select '4sqr-' || {S.text('v.id')} as id, 'PointOfInterest' as type, {S.clean('state')} as address_country,
-  {S.clean('city')} as address_locality, to_json(['1', {aux}]) as category,
+select {S.lit(E.VENUE_ID_PREFIX)} || {S.text('v.id')} as id, {S.lit(E.POINT_OF_INTEREST)} as type, {S.clean('state')} as address_country,
+  {S.clean('city')} as address_locality, to_json([{S.lit(E.CATEGORY_LEVEL)}, {aux}]) as category,
   '{AS_OF_TEXT}' as date_created, {aux} as description, lng, lat, {S.clean('name')} as name{extra_cols}
 from {VEN} v {join}
 """
@@ -227,14 +231,15 @@ def flat_response(e, with_photo: bool):
     return cols
 
 
-@query("response_entities", _response_sql(", 'no url' as url"))
+@query("response_entities", _response_sql(f", {S.lit(E.NO_URL)} as url"))
 def q_response_entities(spark, sf):
     return ent.response_entities(B.responses(spark, sf), AS_OF) \
         .select(*flat_response(F.col("entity"), False))
 
 
 @query("photo_entities", _response_sql(
-    ", case when p.venue_id is null then '_' when p.first_url is null then '__' else p.first_url end as url"
+    f", case when p.venue_id is null then {S.lit(NO_PHOTO)} when p.first_url is null"
+    f" then {S.lit(NO_PHOTO_ITEMS)} else p.first_url end as url"
     ", p.status as photo_status",
     f"left join ({B.PHOTO_SQL}) p on v.id = p.venue_id"))
 def q_photo_entities(spark, sf):
@@ -255,20 +260,20 @@ def est_entity_struct_sql(mapping=None) -> str:
     from poicraft.functions.names import CATEGORY_SHORT_NAMES
     mapping = CATEGORY_SHORT_NAMES if mapping is None else mapping
     c = S.clean
-    street = (f"{c('nom_vial')} || '  ' || {c('numero_ext')} || ', ' || {c('tipo_asent')} || ', ' "
+    street = (f"{c('nom_vial')} || {S.lit(E.STREET_NUMBER_SEP)} || {c('numero_ext')} || {S.lit(E.STREET_PART_SEP)} || {c('tipo_asent')} || ', ' "
               f"|| {c('nomb_asent')}")
-    return f"""{{'id': 'denue-' || {S.text('id')}, 'type': '{RETAIL_KIND}',
-  'address': {{'type': 'StructuredValue', 'value': {{'addressCountry': {c('entidad')},
+    return f"""{{'id': {S.lit(E.ESTABLISHMENT_ID_PREFIX)} || {S.text('id')}, 'type': '{RETAIL_KIND}',
+  'address': {{'type': {S.lit(E.STRUCTURED_VALUE)}, 'value': {{'addressCountry': {c('entidad')},
      'addressRegion': {c('municipio')}, 'postalCode': {c('cod_postal')}, 'streetAddress': {street}}}}},
-  'category': {{'type': 'Text', 'value': '{RETAIL_CATEGORY}'}},
-  'subCategory': {{'type': 'Text', 'value': {c(_reduce_sql('category', mapping))}}},
-  'dateCreated': {{'type': 'DateTime', 'value': {S.text('fecha_alta')} || '-01T12:00:00.00Z'}},
-  'description': {{'type': 'Text', 'value': {c('nombre_act')}}},
-  'location': {{'type': 'geo:json', 'value': {{'type': 'Point', 'coordinates': {S.coords('longitud', 'latitud')}}}}},
-  'name': {{'type': 'Text', 'value': {c('nom_estab')}}},
-  'alternateName': {{'type': 'Text', 'value': {c('raz_social')}}},
-  'dataProvider': {{'type': 'Text', 'value': www}},
-  'economyUnit': {{'type': 'Text', 'value': {c('tipoUniEco')}}}}}"""
+  'category': {{'type': {S.lit(E.TEXT)}, 'value': '{RETAIL_CATEGORY}'}},
+  'subCategory': {{'type': {S.lit(E.TEXT)}, 'value': {c(_reduce_sql('category', mapping))}}},
+  'dateCreated': {{'type': {S.lit(E.DATE_TIME)}, 'value': {S.text('fecha_alta')} || {S.lit(MONTH_SUFFIX)}}},
+  'description': {{'type': {S.lit(E.TEXT)}, 'value': {c('nombre_act')}}},
+  'location': {{'type': {S.lit(E.GEO_JSON)}, 'value': {{'type': {S.lit(E.POINT)}, 'coordinates': {S.coords('longitud', 'latitud')}}}}},
+  'name': {{'type': {S.lit(E.TEXT)}, 'value': {c('nom_estab')}}},
+  'alternateName': {{'type': {S.lit(E.TEXT)}, 'value': {c('raz_social')}}},
+  'dataProvider': {{'type': {S.lit(E.TEXT)}, 'value': www}},
+  'economyUnit': {{'type': {S.lit(E.TEXT)}, 'value': {c('tipoUniEco')}}}}}"""
 
 
 EST_ENTITIES_SQL = f"select cast(id as bigint) as k, {est_entity_struct_sql()} as entity from ({EST_CAT})"
@@ -311,7 +316,7 @@ def q_entity_payloads(spark, sf):
 with i as (select (row_number() over (order by k) - 1) // {ent.BATCH_SIZE} as b, k, entity
            from ({EST_ENTITIES_SQL}))
 select cast(b as bigint) as batch_id, count(*) as n,
-  to_json({{'actionType': 'APPEND', 'entities': list(entity order by k)}}) as payload
+  to_json({{'actionType': {S.lit(E.APPEND)}, 'entities': list(entity order by k)}}) as payload
 from i group by b
 """)
 def q_entity_batches(spark, sf):
@@ -330,16 +335,16 @@ def establishment_features_frame(spark, sf, rows=None):
 def est_feature_sql(src: str, top_sql: str) -> str:
     c = S.clean
     return f"""
-select id, to_json({{'type': 'Feature', 'properties': {{'id': {c('id')}, 'nom_estab': {c('nom_estab')},
+select id, to_json({{'type': {S.lit(FT.FEATURE)}, 'properties': {{'id': {c('id')}, 'nom_estab': {c('nom_estab')},
     'raz_social': {c('raz_social')}, 'nombre_act': {c('nombre_act')}, 'categoria': {c('category')},
     'color_cat': case when category in (select category from ({top_sql}) where category <> 'Other')
                       then {S.color('category')} else '#A4A4A4' end,
-    'direccion': ['Calle: ' || {c('nom_vial')} || ' ' || {c('numero_ext')},
-                  'Entre : ' || {c('nom_v_e_1')} || ' y ' || {c('nom_v_e_2')},
-                  {c('tipo_asent')} || ': ' || {c('nomb_asent')}, 'CP: ' || {c('cod_postal')},
-                  'Municipio: ' || {c('municipio')}, 'Entidad: ' || {c('entidad')}],
+    'direccion': [{S.lit(FT.STREET_LABEL)} || {c('nom_vial')} || ' ' || {c('numero_ext')},
+                  {S.lit(FT.BETWEEN_LABEL)} || {c('nom_v_e_1')} || {S.lit(FT.BETWEEN_AND)} || {c('nom_v_e_2')},
+                  {c('tipo_asent')} || {S.lit(FT.SETTLEMENT_SEP)} || {c('nomb_asent')}, {S.lit(FT.POSTAL_LABEL)} || {c('cod_postal')},
+                  {S.lit(FT.MUNICIPALITY_LABEL)} || {c('municipio')}, {S.lit(FT.ENTITY_LABEL)} || {c('entidad')}],
     'sitio_web': {c('www')}, 'fecha_alta': {c('fecha_alta')}}},
-  'geometry': {{'type': 'Point', 'coordinates': {S.coords('longitud', 'latitud')}}}}}) as feature
+  'geometry': {{'type': {S.lit(E.POINT)}, 'coordinates': {S.coords('longitud', 'latitud')}}}}}) as feature
 from ({src})
 """
 

@@ -21,7 +21,7 @@ def test_t4_csv_codes_stay_text(spark):
 
 
 def test_build_catalog_split_and_csv(spark):
-    path = scratch_path(spark, "scian")
+    path = scratch_path(spark, "activity-catalog")
     lines = ['id,"title"', '461110,"Comercio al por menor, abarrotes",x', '"461",quoted', "46x,bad"]
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
     naive = sorted(tuple(r) for r in R.build_catalog(spark, path).collect())
