@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 
 Point = Tuple[float, float]  # [lat, lng]
 
+# The collection box ([lat, lng] corners), its cells along lng and
+# lat, the venues requested per cell and the resume ordinal of the original run.
+CITY_SW: Point = (19.269080, -99.255295)
+CITY_NE: Point = (19.562263, -99.014593)
+CITY_NX, CITY_NY = 60, 70
+CELL_CAP = 200
+RESUME_CELL = 3144
+
 
 def extent(df: DataFrame, lat: str = "lat", lng: str = "lng") -> Tuple[Point, Point]:
     """South-west and north-east corners of the points (one distributed aggregate)."""
@@ -16,7 +24,8 @@ def extent(df: DataFrame, lat: str = "lat", lng: str = "lng") -> Tuple[Point, Po
     return (row[0], row[1]), (row[2], row[3])
 
 
-def mesh_grid(spark: SparkSession, sw: Point, ne: Point, nx: int, ny: int) -> DataFrame:
+def mesh_grid(spark: SparkSession, sw: Point = CITY_SW, ne: Point = CITY_NE,
+              nx: int = CITY_NX, ny: int = CITY_NY) -> DataFrame:
     """``nx`` × ``ny`` cells, row-major (j outer, i inner), as a distributed range.
 
     ``dx = (ne.lng - sw.lng) / nx`` and ``dy = (ne.lat - sw.lat) / ny``; cell
@@ -40,7 +49,7 @@ def mesh_grid(spark: SparkSession, sw: Point, ne: Point, nx: int, ny: int) -> Da
     )
 
 
-def mesh_resume(grid: DataFrame, start: int) -> DataFrame:
+def mesh_resume(grid: DataFrame, start: int = RESUME_CELL) -> DataFrame:
     """Cells from ordinal ``start`` on (0-based ``cell_id``)."""
     return grid.filter(F.col("cell_id") >= F.lit(start))
 
@@ -63,8 +72,9 @@ def assign_cells(df: DataFrame, sw: Point, ne: Point, nx: int, ny: int,
         .withColumn("cell_id", F.col("j") * F.lit(nx) + F.col("i"))
 
 
-def mesh_sweep(df: DataFrame, sw: Point, ne: Point, nx: int, ny: int, cap: int,
-               order_by: Sequence[str] = ("id",), lat: str = "lat", lng: str = "lng") -> DataFrame:
+def mesh_sweep(df: DataFrame, sw: Point = CITY_SW, ne: Point = CITY_NE, nx: int = CITY_NX,
+               ny: int = CITY_NY, cap: int = CELL_CAP, order_by: Sequence[str] = ("id",),
+               lat: str = "lat", lng: str = "lng") -> DataFrame:
     """Every cell's first ``cap`` venues by ``order_by``.
 
     ``row_number() <= cap`` lets Spark insert a partial per-group limit before

@@ -97,13 +97,13 @@ def q_palette(spark, d):
     return cat.palette(t(spark, d, "part"), "p_brand")
 
 
-def _reduce_sql(x: str, mapping) -> str:
+def reduce_sql(x: str, mapping) -> str:
     whens = " ".join(f"when contains({S.text(x)}, {S.lit(k)}) then {S.lit(v)}" for k, v in mapping.items())
     return f"case {whens} else {S.text(x)} end"
 
 
 @query("reduce_category", f"""
-select p_partkey, p_name, {_reduce_sql('p_name', NAME_MAP)} as reduct_cat_name from part
+select p_partkey, p_name, {reduce_sql('p_name', NAME_MAP)} as reduct_cat_name from part
 """)
 def q_reduce_category(spark, d):
     p = t(spark, d, "part")

@@ -16,7 +16,7 @@ from poicraft.plans.params import (AS_OF, AS_OF_TEXT, BOX_CATEGORY, BOX_NE, BOX_
                                    LEGEND_N, MESH_RESUME, MESH_X, MESH_Y, RADIUS_M, RADIUS_QUERY,
                                    RETAIL_CATEGORY, RETAIL_KIND, SWEEP_CAP, SWEEP_NE, SWEEP_SW,
                                    VENUE_KEYS)
-from poicraft.plans.q_core import EST_CAT, _reduce_sql, est_categories, top_n_sql
+from poicraft.plans.q_core import EST_CAT, reduce_sql, est_categories, top_n_sql
 from poicraft.plans.registry import query
 from poicraft.sources.readers import find_by_array_value
 
@@ -266,7 +266,7 @@ def est_entity_struct_sql(mapping=None) -> str:
   'address': {{'type': {S.lit(E.STRUCTURED_VALUE)}, 'value': {{'addressCountry': {c('entidad')},
      'addressRegion': {c('municipio')}, 'postalCode': {c('cod_postal')}, 'streetAddress': {street}}}}},
   'category': {{'type': {S.lit(E.TEXT)}, 'value': '{RETAIL_CATEGORY}'}},
-  'subCategory': {{'type': {S.lit(E.TEXT)}, 'value': {c(_reduce_sql('category', mapping))}}},
+  'subCategory': {{'type': {S.lit(E.TEXT)}, 'value': {c(reduce_sql('category', mapping))}}},
   'dateCreated': {{'type': {S.lit(E.DATE_TIME)}, 'value': {S.text('fecha_alta')} || {S.lit(MONTH_SUFFIX)}}},
   'description': {{'type': {S.lit(E.TEXT)}, 'value': {c('nombre_act')}}},
   'location': {{'type': {S.lit(E.GEO_JSON)}, 'value': {{'type': {S.lit(E.POINT)}, 'coordinates': {S.coords('longitud', 'latitud')}}}}},

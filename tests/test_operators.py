@@ -97,8 +97,8 @@ def test_category_share(spark):
 
 
 def test_mesh_grid_and_sweep(spark):
-    g = mesh.mesh_grid(spark, (19.269080, -99.255295), (19.562263, -99.014593), 60, 70)
-    assert g.count() == 4200 and mesh.mesh_resume(g, 3144).count() == 1056
+    g = mesh.mesh_grid(spark)
+    assert g.count() == 4200 and mesh.mesh_resume(g).count() == 1056
     first = g.filter("cell_id = 61").first()
     assert (first.i, first.j, first.key) == (1, 1, "1-1")
     pts = spark.createDataFrame([(i, 0.05, 0.05) for i in range(10)] + [(99, 1.0, 1.0), (98, 2.0, 0.0)],
