@@ -57,8 +57,9 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and scratch output.
 
-    Read from ``spark.checkpoint.dir``; only when the session leaves it unset
-    (tests, local runs) a fresh folder of our own is used.
+    Read from ``spark.checkpoint.dir``; only when the session leaves it unset on a
+    local master (tests, local runs) a fresh folder of our own is used. On a
+    cluster an unset directory is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get(CHECKPOINT_CONF, None)
@@ -66,6 +67,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         current = sc.getCheckpointDir()
         if current:
             return current
+        if not sc.master.startswith("local"):
+            raise RuntimeError(
+                f"set {CHECKPOINT_CONF} to a folder every executor can reach (a distributed "
+                "file system or object store); a machine-local folder cannot hold checkpoints "
+                "or scratch tables on a cluster")
         configured = tempfile.mkdtemp(prefix="poicraft-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(configured)
