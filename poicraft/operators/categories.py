@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from poicraft.functions.names import LEGEND_ABBREVIATIONS, abbreviate_label
 from poicraft.functions.palette import OTHER, OTHER_COLOR, category_color, color_for_keys
+from poicraft.functions.text import as_text
 from poicraft.operators.dedup import dedupe_by_key
 
 
@@ -83,9 +84,9 @@ def legend(top: DataFrame) -> DataFrame:
 
     The palette is a pure function of the category, so no join is needed.
     """
-    color = F.when(F.col("category") == F.lit(OTHER), F.lit(OTHER_COLOR)) \
-        .otherwise(category_color(F.col("category")))
-    label = F.concat(F.col("category"), F.lit("["), F.col("n").cast("string"), F.lit("]"))
+    color = F.when(F.col("category").isNull() | (F.col("category") == F.lit(OTHER)),
+                   F.lit(OTHER_COLOR)).otherwise(category_color(F.col("category")))
+    label = F.concat(as_text("category"), F.lit("["), F.col("n").cast("string"), F.lit("]"))
     return top.select("rank", label.alias("label"), color.alias("color"))
 
 

@@ -139,3 +139,12 @@ def test_catalog_match_without_broadcast_matches(spark):
     big = enrich.catalog_match(est, catalog, max_broadcast_rows=0, hot_rows=10)
     small = enrich.catalog_match(est, catalog)
     assert sorted(map(tuple, big.collect())) == sorted(map(tuple, small.collect()))
+
+
+def test_t8_keep_null_bucket_in_legend(spark):
+    counts = spark.createDataFrame([("a", 5), (None, 4), ("b", 1)], "category string, n bigint")
+    top = cat.top_n_other(counts, 2, null_bucket="keep")
+    got = sorted((r.rank, r.category, r.n) for r in top.collect())
+    assert got == [(1, "a", 5), (2, None, 4), (3, "Other", 1)]
+    labels = {r.label: r.color for r in cat.legend(top).collect()}
+    assert labels["None[4]"] == "#A4A4A4" and labels["Other[1]"] == "#A4A4A4"
