@@ -44,10 +44,11 @@ PHOTO_SCHEMA = T.StructType([
 ])
 
 
-def _csv(spark: SparkSession, paths) -> DataFrame:
+def _csv(spark: SparkSession, paths, encoding: str = "UTF-8") -> DataFrame:
     # Header names, every value as text: no inference scan, '06000' keeps its zero.
+    # Single-line records keep large files splittable across tasks.
     return (spark.read.option("header", True).option("inferSchema", False)
-            .option("multiLine", False).csv(paths))
+            .option("multiLine", False).option("encoding", encoding).csv(paths))
 
 
 def _with_csv_suffix(path: str, file: str | None) -> str:
@@ -58,23 +59,25 @@ def _with_csv_suffix(path: str, file: str | None) -> str:
 
 
 def load_establishments(spark: SparkSession, path: str | Sequence[str],
-                        file: str | None = None) -> DataFrame:
+                        file: str | None = None, encoding: str = "UTF-8") -> DataFrame:
     """Directory CSV (header) → the 21 establishment columns, all text.
 
     ``file`` without ``.csv`` gets the suffix appended. A list of paths is one scan.
+    Directory exports are often Latin-1: pass ``encoding='ISO-8859-1'``.
     """
     paths = path if isinstance(path, (list, tuple)) else _with_csv_suffix(path, file)
-    return _csv(spark, paths).select(*ESTABLISHMENT_COLUMNS)
+    return _csv(spark, paths, encoding).select(*ESTABLISHMENT_COLUMNS)
 
 
-def load_catalog_raw(spark: SparkSession, path: str, file: str | None = None) -> DataFrame:
+def load_catalog_raw(spark: SparkSession, path: str, file: str | None = None,
+                     encoding: str = "UTF-8") -> DataFrame:
     """Any catalogue CSV, all columns as text."""
-    return _csv(spark, _with_csv_suffix(path, file))
+    return _csv(spark, _with_csv_suffix(path, file), encoding)
 
 
-def load_postal(spark: SparkSession, path: str) -> DataFrame:
+def load_postal(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """S3: postal catalogue (``d_codigo``, ``D_mnpio``, ``d_tipo_asenta``, …) as text."""
-    return _csv(spark, path)
+    return _csv(spark, path, encoding)
 
 
 def project_venues(docs: DataFrame) -> DataFrame:

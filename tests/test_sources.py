@@ -46,3 +46,15 @@ def test_group_index_and_head_slice(spark):
     assert gi == [("a", 1, 0), ("a", 3, 1), ("b", 2, 0)]
     head = [r.v for r in index.take_slice(df, [F.desc("v")], 2).collect()]
     assert head == [3, 2]
+
+
+def test_latin1_establishment_csv(spark):
+    import os
+    path = scratch_path(spark, "latin1")
+    os.makedirs(path.replace("file:", ""), exist_ok=True)
+    header = ",".join(R.ESTABLISHMENT_COLUMNS)
+    row = ",".join(["1", "Panadería Ñandú"] + ["x"] * (len(R.ESTABLISHMENT_COLUMNS) - 2))
+    with open(path.replace("file:", "") + "/part.csv", "wb") as f:
+        f.write((header + "\n" + row + "\n").encode("latin-1"))
+    got = R.load_establishments(spark, path, encoding="ISO-8859-1").first()
+    assert got.nom_estab == "Panadería Ñandú"

@@ -75,3 +75,15 @@ def test_json_name_and_points_skip_missing_coordinates(spark):
     pts = entity_points(ents).collect()
     assert len(pts) == 1 and pts[0].feature.properties.name == "a"
     assert pts[0].feature.properties.category == "Bar"
+
+
+def test_stream_dedupe_keeps_one_row_per_id(spark):
+    est = B.establishments(spark, SF)
+    src = scratch_path(spark, "stream-dup")
+    est.unionByName(est).repartition(2).write.option("header", True).csv(src)
+    stream = entity_payload_stream(spark, src, B.activity_catalog(spark, SF), ["", ""], "c", "k",
+                                   dedupe=True)
+    out = scratch_path(spark, "stream-dup-out")
+    start_json_sink(stream, out, scratch_path(spark, "stream-dup-ckpt")).awaitTermination(300)
+    ids = [r.id for r in spark.read.json(out).collect()]
+    assert len(ids) == len(set(ids)) == est.count()
