@@ -23,6 +23,7 @@ from pyspark.sql import SparkSession
 
 from poicraft.functions.names import CATEGORY_SHORT_NAMES
 from poicraft.operators import entities as ent, mesh
+from poicraft.operators.index import take_slice
 from poicraft.plans import flows
 from poicraft.session import checkpoint_dir
 from poicraft.sinks import writers as W
@@ -41,6 +42,9 @@ def run_retail(spark, a) -> None:
     W.write_counts(out["counts"], f"{a.out}/counts")
     W.write_raw_json(ent.entity_payloads(out["entities"]), f"{a.out}/entities")
     W.write_raw_json(ent.entity_batches(out["entities"], ["_key"]), f"{a.out}/batches")
+    if a.slice:
+        head = take_slice(out["entities"], ["_key"], a.slice)
+        W.write_raw_json(ent.entity_payloads(head), f"{a.out}/entities_head")
 
 
 def run_map(spark, a) -> None:
@@ -97,6 +101,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--top", type=int, default=25)
     p.add_argument("--cap", type=int, default=mesh.CELL_CAP)
     p.add_argument("--resume", type=int, default=0)
+    p.add_argument("--slice", type=int, default=0, help="also write the first N entities by id")
     p.add_argument("--category", default="comercioPorMenor")
     p.add_argument("--kind", default="unidadEconomica")
     p.add_argument("--as-of", dest="as_of", default=None, help="UTC 'YYYY-MM-DD HH:MM:SS'")

@@ -17,8 +17,9 @@ def test_retail_and_map_pipelines(spark):
     B.activity_catalog(spark, SF).coalesce(1).write.option("header", True).csv(catalog)
     out = scratch_path(spark, "retail")
     main(["retail", "--establishments", est, "--catalog", catalog, "--out", out,
-          "--keywords", "", "nation_1"], spark=spark)
+          "--keywords", "", "nation_1", "--slice", "3"], spark=spark)
     ents = spark.read.json(f"{out}/entities")
+    assert spark.read.json(f"{out}/entities_head").count() == 3
     batches = spark.read.json(f"{out}/batches")
     everyone = B.establishments(spark, SF)
     assert ents.count() == everyone.filter("lower(entidad) like '%nation_1%'").count() > 0
