@@ -39,9 +39,14 @@ def category_filter(df: DataFrame, categories: Sequence[str] | DataFrame,
     return df.filter(F.col(column).isin(list(categories)))
 
 
-def category_count(df: DataFrame, column: str = "category") -> DataFrame:
-    """A1: ``(category, n)``; partial counts are combined map-side."""
-    return df.groupBy(F.col(column).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+def category_count(df: DataFrame, column: str = "category", ordered: bool = False) -> DataFrame:
+    """A1: ``(category, n)``; partial counts are combined map-side.
+
+    ``ordered=True`` adds O1, count descending then name (a range-partitioned sort
+    of one row per category).
+    """
+    counts = df.groupBy(F.col(column).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.orderBy(F.desc("n"), F.asc_nulls_last("category")) if ordered else counts
 
 
 def category_count_filtered(df: DataFrame, categories: Sequence[str],

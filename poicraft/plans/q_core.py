@@ -112,7 +112,7 @@ def q_reduce_category(spark, d):
 
 @query("category_count", "select p_brand as category, count(*) as n from part group by p_brand")
 def q_category_count(spark, d):
-    return cat.category_count(t(spark, d, "part"), "p_brand")
+    return cat.category_count(t(spark, d, "part"), "p_brand", ordered=True)
 
 
 @query("category_count_filtered", f"""

@@ -56,9 +56,11 @@ def write_legend(legend: DataFrame, path: str, name: str | None = None) -> str:
 def write_counts(counts: DataFrame, path: str) -> str:
     """K5: ``category,count`` lines, ``|`` as quote (doubled inside), no header.
 
-    A null category is written as an empty field.
+    Lines are sorted by count descending, then name, across the part files in name
+    order. A null category is written as an empty field.
     """
-    (counts.select(F.col("category"), F.col("n").cast("string"))
+    (counts.orderBy(F.desc("n"), F.asc_nulls_last("category"))
+     .select(F.col("category"), F.col("n").cast("string"))
      .write.mode("overwrite").option("header", False).option("quote", "|")
      .option("escape", "|").option("emptyValue", "").option("nullValue", "")
      .option("lineSep", "\n").csv(path))

@@ -87,3 +87,17 @@ def test_stream_dedupe_keeps_one_row_per_id(spark):
     start_json_sink(stream, out, scratch_path(spark, "stream-dup-ckpt")).awaitTermination(300)
     ids = [r.id for r in spark.read.json(out).collect()]
     assert len(ids) == len(set(ids)) == est.count()
+
+
+def test_counts_file_is_sorted_and_batches_keep_key_order(spark):
+    counts = spark.createDataFrame([("b", 2), ("a", 2), ("c", 9), (None, 1)], "category string, n bigint")
+    path = W.write_counts(counts.repartition(3), scratch_path(spark, "sorted-counts"))
+    import glob
+    files = sorted(glob.glob(path.replace("file:", "") + "/part-*"))
+    lines = [ln.rstrip("\n") for f in files for ln in open(f) if ln.strip()]
+    assert lines == ["c,9", "a,2", "b,2", ",1"]
+    ents = spark.range(0, 900, 1, 5).select(F.col("id").alias("_key"),
+                                            F.struct(F.col("id").cast("string").alias("id")).alias("entity"))
+    first = ent.entity_batches(ents, ["_key"]).filter("batch_id = 0").first()
+    ids = [int(e["id"]) for e in json.loads(first.payload)["entities"]]
+    assert ids == list(range(400)) and json.loads(first.payload)["actionType"] == "APPEND"
