@@ -34,11 +34,21 @@ from poicraft.sources import readers as R
 # ---------------------------------------------------------------- E1 retail entities
 
 
+def _mark(audit, df: DataFrame, stage: str) -> DataFrame:
+    return df if audit is None else audit.mark(df, stage)
+
+
 def retail_entities_flow(establishments: DataFrame, catalog: DataFrame, keywords: Sequence[str],
-                         name_map: Mapping[str, str], category: str, kind: str) -> dict:
-    """S1 → A8 → F2 → J2 → P5 → (A1 counts, M4 entities)."""
-    df = dedup.dedupe_by_key(establishments, ["id"])
-    df = df.filter(street_entity_pred("nom_vial", "entidad", keywords))
+                         name_map: Mapping[str, str], category: str, kind: str,
+                         audit=None) -> dict:
+    """S1 → A8 → F2 → J2 → P5 → (A1 counts, M4 entities).
+
+    With a :class:`~poicraft.operators.audit.StageAudit`, row counts after each
+    step are observed during the pipeline's own writes (A9).
+    """
+    df = _mark(audit, establishments, "loaded")
+    df = _mark(audit, dedup.dedupe_by_key(df, ["id"]), "deduplicated")
+    df = _mark(audit, df.filter(street_entity_pred("nom_vial", "entidad", keywords)), "address filter")
     df = enrich.catalog_match(df, catalog)
     df = df.withColumn("reduct_cat_name", reduce_name("category", name_map))
     return {
@@ -71,10 +81,12 @@ def q_pipe_retail_entities(spark, sf):
 
 
 def colored_map_flow(establishments: DataFrame, catalog: DataFrame, keywords: Sequence[str],
-                     max_display: int, entity_mode: str = "reference") -> dict:
+                     max_display: int, entity_mode: str = "reference", audit=None) -> dict:
     """S1 → A8 → F2 → J2 → A4(N) → (P7 → P6 legend, M5 features)."""
-    df = dedup.dedupe_by_key(establishments, ["id"])
-    df = df.filter(street_entity_pred("nom_vial", "entidad", keywords, entity_mode))
+    df = _mark(audit, establishments, "loaded")
+    df = _mark(audit, dedup.dedupe_by_key(df, ["id"]), "deduplicated")
+    df = _mark(audit, df.filter(street_entity_pred("nom_vial", "entidad", keywords, entity_mode)),
+               "address filter")
     df = enrich.catalog_match(df, catalog)
     colored, top = cat.group_by_categories_colored(df, max_display)
     return {

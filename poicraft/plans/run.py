@@ -22,6 +22,7 @@ import datetime as dt
 from pyspark.sql import SparkSession
 
 from poicraft.functions.names import CATEGORY_SHORT_NAMES
+from poicraft.operators.audit import StageAudit
 from poicraft.operators import entities as ent, mesh
 from poicraft.operators.index import take_slice
 from poicraft.plans import flows
@@ -38,7 +39,7 @@ def run_retail(spark, a) -> None:
     """Entities of the matching establishments, their category counts and batches."""
     out = flows.retail_entities_flow(R.load_establishments(spark, a.establishments),
                                      R.load_catalog_raw(spark, a.catalog), a.keywords,
-                                     CATEGORY_SHORT_NAMES, a.category, a.kind)
+                                     CATEGORY_SHORT_NAMES, a.category, a.kind, audit=a.stage_audit)
     W.write_counts(out["counts"], f"{a.out}/counts")
     W.write_raw_json(ent.entity_payloads(out["entities"]), f"{a.out}/entities")
     W.write_raw_json(ent.entity_batches(out["entities"], ["_key"]), f"{a.out}/batches")
@@ -50,7 +51,8 @@ def run_retail(spark, a) -> None:
 def run_map(spark, a) -> None:
     """Coloured GeoJSON features and the abbreviated legend."""
     out = flows.colored_map_flow(R.load_establishments(spark, a.establishments),
-                                 R.load_catalog_raw(spark, a.catalog), a.keywords, a.top)
+                                 R.load_catalog_raw(spark, a.catalog), a.keywords, a.top,
+                                 audit=a.stage_audit)
     W.write_geojson(out["features"], a.out, name="features")
     W.write_legend(out["legend"], a.out, name="legend")
 
@@ -105,6 +107,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--category", default="comercioPorMenor")
     p.add_argument("--kind", default="unidadEconomica")
     p.add_argument("--as-of", dest="as_of", default=None, help="UTC 'YYYY-MM-DD HH:MM:SS'")
+    p.add_argument("--audit", action="store_true",
+                   help="print row counts after each step (retail, map), observed in one pass")
     return p
 
 
@@ -112,7 +116,11 @@ def main(argv=None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName(f"poicraft-{a.pipeline}").getOrCreate()
     checkpoint_dir(spark)
+    a.stage_audit = StageAudit() if a.audit else None
     COMMANDS[a.pipeline](spark, a)
+    if a.stage_audit is not None and a.pipeline in ("retail", "map"):
+        for row in a.stage_audit.table(spark).toJSON().collect():  # one row per stage
+            print(row)
 
 
 if __name__ == "__main__":

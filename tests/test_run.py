@@ -10,14 +10,17 @@ from poicraft.sinks import writers as W
 SF = "/root/testdata/sf0.001"
 
 
-def test_retail_and_map_pipelines(spark):
+def test_retail_and_map_pipelines(spark, capsys):
     est = scratch_path(spark, "est")
     B.establishments(spark, SF).write.option("header", True).csv(est)
     catalog = scratch_path(spark, "catalog")
     B.activity_catalog(spark, SF).coalesce(1).write.option("header", True).csv(catalog)
     out = scratch_path(spark, "retail")
     main(["retail", "--establishments", est, "--catalog", catalog, "--out", out,
-          "--keywords", "", "nation_1", "--slice", "3"], spark=spark)
+          "--keywords", "", "nation_1", "--slice", "3", "--audit"], spark=spark)
+    stages = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert [st["stage"] for st in stages] == ["loaded", "deduplicated", "address filter"]
+    assert stages[0]["n"] == B.establishments(spark, SF).count() >= stages[2]["n"] > 0
     ents = spark.read.json(f"{out}/entities")
     assert spark.read.json(f"{out}/entities_head").count() == 3
     batches = spark.read.json(f"{out}/batches")
