@@ -56,3 +56,21 @@ def test_box_search_pushes_into_a_stored_venue_table(spark):
         .executedPlan().toString()
     spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "GreaterThanOrEqual(lat,-0.08" in near and "LessThanOrEqual(lng,0.08" in near
+
+
+def test_bucketed_photo_join_has_no_shuffle(spark):
+    from poicraft.operators.enrich import photo_enrich
+    from poicraft.plans import bindings as B
+    from poicraft.sinks.writers import write_bucketed
+    venues = B.venues(spark, SF).select("id", "name")
+    photos = B.photos(spark, SF)
+    write_bucketed(venues, "bucketed_venues", "id", 8)
+    write_bucketed(photos, "bucketed_photos", "venue_id", 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = photo_enrich(spark.table("bucketed_venues"), spark.table("bucketed_photos"))
+        text = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in text and "Exchange" not in text
+        assert out.count() == venues.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
