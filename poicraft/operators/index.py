@@ -6,6 +6,7 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from poicraft.session import checkpoint_dir
 
@@ -18,12 +19,14 @@ def row_index(df: DataFrame, order_by: Sequence, name: str = "idx") -> DataFrame
     per partition, which is broadcast) plus its position within the partition.
     The tagged sort is written once with a reliable checkpoint (the session's
     ``spark.checkpoint.dir``), so both uses read the same partitions and a lost
-    executor cannot renumber rows. A hash of the whole row is the last sort key:
-    rows with equal ``order_by`` values spread over several range partitions (no
-    hot partition for a repeated key) and their order is fixed.
+    executor cannot renumber rows. A hash of the row's atomic columns is the last
+    sort key, so rows with equal ``order_by`` values spread over several range
+    partitions (no hot partition for a repeated key).
     """
     checkpoint_dir(df.sparkSession)
-    tie = F.xxhash64(*[F.col(c) for c in df.columns])
+    atomic = [f.name for f in df.schema.fields
+              if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    tie = F.xxhash64(*[F.col(c) for c in (atomic or df.columns)])
     tagged = (df.orderBy(*order_by, tie)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id())
