@@ -77,7 +77,9 @@ select id, cat_name[1] as category from {VEN}
 where len(cat_name) > 0 and coalesce("primary"[1], false)
 """)
 def q_clean_categories(spark, d):
-    return cat.clean_categories(B.venues(spark, d)).select("id", "category")
+    # only the columns the result needs enter the dedup (whole rows would drag the text along)
+    venues = B.venues(spark, d).select("id", "cat_name", "primary")
+    return cat.clean_categories(venues).select("id", "category")
 
 
 @query("color_categories", f"""
