@@ -26,9 +26,14 @@ def lookup_join(facts: DataFrame, dim: DataFrame, fact_key: F.Column, dim_key: s
     Broadcast when the raw table provably has at most ``max_broadcast_rows``
     rows (checked on ``source`` without a shuffle); otherwise a shuffle join with
     hot codes salted, so a code carried by a third of the facts is not one task.
+    A streaming fact side joins the static table per micro-batch without salting.
     """
     if at_most(source, max_broadcast_rows):
         return facts.join(F.broadcast(dim), fact_key == F.col(dim_key), "left")
+    if facts.isStreaming:
+        # hot-key detection needs a global aggregate of the facts, which a stream
+        # does not have; each micro-batch joins the static table as is
+        return facts.join(dim, fact_key == F.col(dim_key), "left")
     return salted_left_join(facts, dim, fact_key, dim_key, hot_rows=hot_rows)
 
 

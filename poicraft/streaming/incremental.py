@@ -29,7 +29,8 @@ ESTABLISHMENT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in E
 def entity_payload_stream(spark: SparkSession, source_dir: str, catalog: DataFrame,
                           keywords: Sequence[str], category: str, kind: str,
                           name_map: Mapping[str, str] = CATEGORY_SHORT_NAMES,
-                          dedupe: bool = False, max_files_per_trigger: int | None = None) -> DataFrame:
+                          dedupe: bool = False, max_files_per_trigger: int | None = None,
+                          max_broadcast_rows: int | None = None) -> DataFrame:
     """Streaming ``(id, payload)`` for establishment CSV files landing in ``source_dir``."""
     reader = spark.readStream.schema(ESTABLISHMENT_SCHEMA).option("header", True)
     if max_files_per_trigger:
@@ -38,7 +39,8 @@ def entity_payload_stream(spark: SparkSession, source_dir: str, catalog: DataFra
     if dedupe:
         df = df.dropDuplicates(["id"])
     df = df.filter(street_entity_pred("nom_vial", "entidad", keywords))
-    df = catalog_match(df, catalog)
+    df = catalog_match(df, catalog) if max_broadcast_rows is None else \
+        catalog_match(df, catalog, max_broadcast_rows=max_broadcast_rows)
     df = df.withColumn("reduct_cat_name", reduce_name("category", name_map))
     return entity_payloads(df.select(establishment_entity(category, kind).alias("entity")))
 

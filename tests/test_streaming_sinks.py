@@ -24,6 +24,11 @@ def test_stream_matches_batch(spark):
     q = start_json_sink(stream, out, scratch_path(spark, "stream-ckpt"))
     q.awaitTermination(300)
     got = sorted(r.payload for r in spark.read.json(out).collect())
+    # a catalogue beyond the broadcast bound: plain stream-static join, same result
+    big = entity_payload_stream(spark, src, catalog, kw, "c", "k", max_broadcast_rows=0)
+    out_big = scratch_path(spark, "stream-out-big")
+    start_json_sink(big, out_big, scratch_path(spark, "stream-ckpt-big")).awaitTermination(300)
+    assert sorted(r.payload for r in spark.read.json(out_big).collect()) == got
 
     from poicraft.functions import reduce_name, street_entity_pred
     from poicraft.operators.enrich import catalog_match
