@@ -28,14 +28,18 @@ def category_filter(df: DataFrame, categories: Sequence[str] | DataFrame,
     """keep rows whose category is listed; null is never listed.
 
     A literal list becomes an ``IN`` predicate (pushed into the scan when it is a
-    plain column). A key table becomes a left-semi join: broadcast when the caller
-    gives its proven row ``bound`` (e.g. the N winners of a top-N), otherwise left
-    to Spark (broadcast from measured size, else a shuffle join).
+    plain column). A key table is joined: a broadcast semi join when the caller
+    gives its proven row ``bound`` (e.g. the N winners of a top-N), otherwise the
+    size-checked lookup join (broadcast when small, hot categories salted beyond).
     """
     if isinstance(categories, DataFrame):
         keys = categories.select(F.col(categories.columns[0]).alias("_cat"))
-        keys = F.broadcast(keys) if bound is not None else keys.distinct()
-        return df.join(keys, F.col(column) == F.col("_cat"), "left_semi")
+        if bound is not None:
+            return df.join(F.broadcast(keys), F.col(column) == F.col("_cat"), "left_semi")
+        from poicraft.operators.enrich import DIMENSION_BROADCAST_ROWS, lookup_join
+        flagged = keys.distinct().withColumn("_listed", F.lit(True))
+        joined = lookup_join(df, flagged, F.col(column), "_cat", keys, DIMENSION_BROADCAST_ROWS)
+        return joined.filter(F.col("_listed")).select(*[df[c] for c in df.columns])
     return df.filter(F.col(column).isin(list(categories)))
 
 

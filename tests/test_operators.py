@@ -148,3 +148,13 @@ def test_t8_keep_null_bucket_in_legend(spark):
     assert got == [(1, "a", 5), (2, None, 4), (3, "Other", 1)]
     labels = {r.label: r.color for r in cat.legend(top).collect()}
     assert labels["None[4]"] == "#A4A4A4" and labels["Other[1]"] == "#A4A4A4"
+
+
+def test_category_filter_with_key_table(spark):
+    df = spark.createDataFrame([(i, c) for i, c in enumerate("aaabbcd")] + [(99, None)],
+                               "id int, category string")
+    keys = spark.createDataFrame([("a",), ("c",), ("a",)], "k string")
+    want = sorted(r.id for r in df.filter(F.col("category").isin("a", "c")).collect())
+    assert sorted(r.id for r in cat.category_filter(df, keys).collect()) == want
+    assert sorted(r.id for r in cat.category_filter(df, keys, bound=3).collect()) == want
+    assert cat.category_filter(df, keys).columns == ["id", "category"]
