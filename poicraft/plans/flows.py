@@ -173,7 +173,8 @@ def clean_collection_flow(spark, venues: DataFrame, postal: DataFrame, keys: Seq
     """clean → F4 → J1 → K1 (stored collection) → S6 → W2 shares by municipality."""
     df = cat.category_filter(cat.clean_categories(venues), keys)
     df = enrich.postal_enrich(df, postal)
-    W.write_collection(df.drop("primary", "cat_name", "cat_id", "formattedAddress"), path)
+    W.write_collection(df, path)  # the cleaned venues, whole
+    # parquet pruning: the shares read only municipio and category back
     return shares.category_share(R.load_collection(spark, path))
 
 

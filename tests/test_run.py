@@ -49,3 +49,21 @@ def test_venue_pipelines(spark):
     out2 = scratch_path(spark, "mesh")
     main(["mesh", "--venues", venues, "--out", out2, "--resume", "3144"], spark=spark)
     assert spark.read.json(f"{out2}/cells").count() == 1056
+
+
+def test_categories_and_shares_pipelines(spark):
+    venues = W.write_raw_json(B.venue_documents(spark, SF), scratch_path(spark, "venues2"))
+    postal = scratch_path(spark, "postal2")
+    B.postal_catalog(spark, SF).write.option("header", True).csv(postal)
+    out = scratch_path(spark, "cats")
+    main(["categories", "--venues", venues, "--postal", postal, "--out", out,
+          "--categories", "cat1", "cat2", "--as-of", "2019-05-23 12:00:00"], spark=spark)
+    ents = spark.read.json(f"{out}/entities").collect()
+    assert ents and all(e.entity.category.value[1] in ("cat1", "cat2") for e in ents)
+    out2 = scratch_path(spark, "shares")
+    main(["shares", "--venues", venues, "--postal", postal, "--out", out2,
+          "--categories", "cat1", "cat2"], spark=spark)
+    rows = spark.read.json(f"{out2}/shares").collect()
+    assert rows and abs(sum(r.share for r in rows) - 100.0 * len({r.municipio for r in rows})) < 1e-6
+    stored = spark.read.parquet(f"{out2}/collection")
+    assert "formattedAddress" in stored.columns and stored.count() == sum(r.n for r in rows)
