@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 from poicraft.functions import address_keyword_pred, reduce_name, street_entity_pred
 from poicraft.operators import categories as cat, dedup, enrich, entities as ent, features as feat
 from poicraft.operators import shares
-from poicraft.functions.dates import MONTH_SUFFIX
-from poicraft.operators import entities as E
-from poicraft.operators import features as FT
 from poicraft.plans import bindings as B
 from poicraft.plans import sqlfrag as S
 from poicraft.plans.params import (AS_OF, LEGEND_N, MAP_KEYWORDS, RETAIL_CATEGORY, RETAIL_KEYWORDS,

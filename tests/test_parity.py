@@ -2,8 +2,6 @@
 
 import random
 
-from pyspark.sql import functions as F
-
 from poicraft.functions import (address_keyword_pred, any_keyword_pred, clean_chars, reduce_name,
                                 street_entity_pred)
 
