@@ -11,12 +11,11 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["address_keyword_filter", "street_entity_filter", "any_keyword_filter",
-                                  "reduce_category", "color_categories", "establishment_entities",
-                                  "venue_entities", "pipe_retail_entities"])
-def test_no_python_evaluation(spark, name):
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_no_python_evaluation_and_no_pair_joins(spark, name):
     p = plan(E.queries()[name](spark, SF))
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
+    assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
 
 
 def test_dimension_joins_broadcast(spark):
