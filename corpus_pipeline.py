@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poicraft.llm import langid, simhash
+from poicraft.llm import decontam, langid, mixing, shards, simhash
 from poicraft.llm.common import stored
 from poicraft.llm.queries import remainder
 
@@ -27,9 +27,27 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.drop_near_duplicates(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a test item of ``benchmark``."""
+    return decontam.decontaminate(docs, decontam.build_indexes(spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often (0 to 2 times) as the mix of sources takes it."""
+    return mixing.mixed(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The manifest of the shards: ``doc_id, size, text_crc32, shard, slot`` per document taken."""
+    return shards.shards(docs)
+
+
 STAGES = [
     ("language", identify_language),
     ("near_duplicates", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("mix", mix_sources),
+    ("shards", shard),
 ]
 
 #: No SQL: fingerprints, models and the mix's hashes are not expressible there. The

@@ -27,6 +27,12 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of the value, which is evaluated once; a lambda evaluates the
+    expressions in it anew for each element."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
 def total(values: Column) -> Column:
     """Sum of an array of bigint (0 if empty)."""
     return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a + x)
@@ -35,15 +41,22 @@ def total(values: Column) -> Column:
 def prefix_sums(values: Column) -> Column:
     """Exclusive prefix sums of an array of bigint, as an array of the same size.
 
-    The array is cut into runs, so an array of n values costs about n * RUN
-    additions instead of n * n.
+    The array is cut into runs, so n values cost about n * RUN additions and
+    n / RUN copies of the result, instead of n * n additions.
     """
-    runs = F.when(F.size(values) > 0, F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(values) - 1) / RUN).cast("int")),
-        lambda r: F.slice(values, r * RUN + 1, RUN))).otherwise(F.array().cast("array<array<bigint>>"))
-    sums = F.transform(runs, total)
-    return F.flatten(F.transform(runs, lambda run, r: F.transform(
-        run, lambda _, i: total(F.slice(sums, F.lit(1), r)) + total(F.slice(run, F.lit(1), i)))))
+    none = F.array().cast("array<bigint>")
+
+    def add(acc, run):
+        return F.struct((acc["off"] + total(run)).alias("off"), F.concat(acc["out"], F.transform(
+            run, lambda _, i: acc["off"] + total(F.slice(run, F.lit(1), i)))).alias("out"))
+
+    def sums(v):
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int")),
+                           lambda r: F.slice(v, r * RUN + 1, F.lit(RUN)))
+        start = F.struct(F.lit(0).cast("bigint").alias("off"), none.alias("out"))
+        return F.when(F.size(v) > 0, F.aggregate(runs, start, add)["out"]).otherwise(none)
+
+    return let(values, sums)
 
 
 def rows_by_id(docs: DataFrame, keys: DataFrame, doc_id: str, key: str, how: str) -> DataFrame:

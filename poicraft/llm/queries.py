@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poicraft.llm import langid, secrets, simhash
+from poicraft.llm import chat, decontam, langid, mixing, secrets, shards, simhash, spotsigs, toxicity, urlrep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -61,3 +61,64 @@ def op3(spark, sf):
     held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
     found = langid.identify(docs, langid.train(docs.filter(~held_out)))
     return found.select("doc_id", held_out.alias("held_out"), F.col("lang").alias("lang_pred"), "score")
+
+
+@query("op4_bm25_decontamination")
+def op4(spark, sf):
+    return decontam.contaminated(table(spark, sf, "documents"), decontam.build_indexes(table(spark, sf, "benchmark")))
+
+
+@query("op5_spotsigs")
+def op5(spark, sf):
+    found = spotsigs.fingerprint_edits(table(spark, sf, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), spotsigs.fingerprint(F.col("sigs")).alias("fingerprint"),
+        spotsigs.fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
+        spotsigs.likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
+        spotsigs.likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"))
+
+
+@query("op6_fm_toxicity")
+def op6(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    found = toxicity.toxicity(docs, toxicity.train(docs, labels.filter(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op7_host_reputation")
+def op7(spark, sf):
+    """The tables have no labels of pages: the outcome of page n is taken from the
+    label of document n (bad: low quality or toxic)."""
+    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
+    outcomes = table(spark, sf, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    found = urlrep.judge_urls(table(spark, sf, "pages"), outcomes)
+    return found.select("page_id", "host", "path", "rule", "verdict", "n_labelled", "n_bad")
+
+
+@query("op8_budget_mix")
+def op8(spark, sf):
+    found = mixing.mix(table(spark, sf, "documents"), columns=["doc_id"])
+    return found.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query("op9_reply_chat")
+def op9(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], rows.schema)
+    found = chat.conversations(chat.chain(rows.unionByName(own)))
+    read = found.select("conv", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), F.array_join(
+        chat.read_learned(F.col("formatted"), F.col("loss")), "").alias("learned"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        F.col("conv").alias("conv_id"), F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("learned").cast("bigint").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+@query("op10_byte_shards")
+def op10(spark, sf):
+    found = shards.shards(table(spark, sf, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"))
