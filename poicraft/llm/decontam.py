@@ -3,15 +3,17 @@ with block-max WAND.
 
 The index holds the test items, each impact divided by the sum of its item's
 impacts: a passage that has every term of an item scores 1 on it, whatever the
-item's length. Every document is cut into overlapping passages, long enough that
-each occurrence of an item lies whole in one of them; every passage is a query
-that retrieves all items at or above the threshold. A passage whose terms'
-largest impacts can't sum to the threshold is not searched. Each hit is then
-verified: shingles of the item's question and of its answer must occur in the
-passage.
-
-The index is built from blocks of items of bounded size, one after the other, so
-neither the driver nor a task holds more than one block. Document frequencies
+item's length. Items stand in order of length and are cut into blocks of
+neighbours; each posting list keeps its largest impact per block. Every document
+is cut into overlapping passages, long enough that each occurrence of an item
+lies whole in one of them; every passage is a query that retrieves all items at or
+above the threshold: the block maxima of its terms bound the scores of a block's
+items, blocks below the threshold are skipped, and within the others WAND moves
+the posting lists from pivot to pivot. Each hit is then verified: shingles of the
+item's question and of its answer must occur in the passage.
+
+An index holds items up to a bounded size of text; a larger benchmark gives
+several indexes, which are searched one after the other. Document frequencies
 are those of all items.
 """
 
@@ -31,10 +33,12 @@ THRESHOLD = 0.5
 OVERLAP = 0.8
 SHINGLE = 5
 K1, B = 1.2, 0.75
-#: Postings per block of the index.
-POSTINGS = 64
+#: Items per block of an index.
+BLOCK = 2
+#: Words that are searched at once, about, and bounds (passages times blocks).
+WORDS, BOUNDS = 1 << 18, 1 << 20
 #: Bytes of item text that one index holds, about.
-BLOCK_BYTES = 8 << 20
+INDEX_BYTES = 8 << 20
 #: A passage is at least twice as many tokens.
 LEAST_STRIDE = 32
 
@@ -73,7 +77,7 @@ class Index:
     """
 
     def __init__(self, items: list[tuple], df: dict[str, int], n_items: int, mean: float):
-        self.items = [(i, q, a) for i, q, a in items if q or a]
+        self.items = sorted((x for x in items if x[1] or x[2]), key=lambda x: (len(x[1]) + len(x[2]), x[0]))
         self.term: dict[str, int] = {}
         post: list[list[tuple[int, float]]] = []
         for k, (_, q, a) in enumerate(self.items):
@@ -88,84 +92,119 @@ class Index:
                 post[at].append((k, w / mass))
         self.ids = [[k for k, _ in p] for p in post]
         self.impacts = [[w for _, w in p] for p in post]
-        self.tops = [[max(w[i:i + POSTINGS]) for i in range(0, len(w), POSTINGS)] for w in self.impacts]
-        self.top = np.array([max(t) for t in self.tops], np.float64)
         self.stride = max([LEAST_STRIDE, *(len(q) + len(a) for _, q, a in self.items)])
-
-    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All ``(item, score)`` at or above the threshold for a passage with these terms."""
-        least = threshold - 1e-9
-        open_ = [[self.ids[t][0], 0, t] for t in terms]  # item, place in the list, term
-        found = []
-
-        def to(c, item):
-            c[1] = bisect_left(self.ids[c[2]], item, c[1])
-            c[0] = self.ids[c[2]][c[1]] if c[1] < len(self.ids[c[2]]) else None
-
+        self.n_blocks = -(-len(self.items) // BLOCK)
+        self.tops: list[dict[int, float]] = []  # largest impact by block, per term
+        for p in post:
+            top: dict[int, float] = {}
+            for k, w in p:
+                top[k // BLOCK] = max(w, top.get(k // BLOCK, 0.0))
+            self.tops.append(top)
+        # Terms of many blocks as rows of a matrix; the block lists of the others end to end.
+        self.dense = np.full(len(post), -1)
+        wide = [t for t, top in enumerate(self.tops) if len(top) * 8 > self.n_blocks]
+        self.dense[wide] = np.arange(len(wide))
+        self.matrix = np.zeros((len(wide), self.n_blocks))
+        for row, t in enumerate(wide):
+            self.matrix[row, list(self.tops[t])] = list(self.tops[t].values())
+        self.count = np.array([0 if self.dense[t] >= 0 else len(top) for t, top in enumerate(self.tops)], np.int64)
+        self.start = np.cumsum(self.count) - self.count
+        rare = [self.tops[t] for t in range(len(post)) if self.dense[t] < 0]
+        self.block = np.array([b for top in rare for b in top], np.int64)
+        self.top = np.array([w for top in rare for w in top.values()])
+
+    def _bounds(self, passage: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+        """Upper bound of the scores by passage and block, from pairs of passage and term."""
+        row = self.dense[term]
+        has = np.zeros((n, len(self.matrix)))
+        has[passage[row >= 0], row[row >= 0]] = 1
+        passage, term = passage[row < 0], term[row < 0]
+        count = self.count[term]
+        at = np.arange(count.sum()) + np.repeat(self.start[term] - (np.cumsum(count) - count), count)
+        rare = np.bincount(np.repeat(passage, count) * self.n_blocks + self.block[at], self.top[at], n * self.n_blocks)
+        return has @ self.matrix + rare.reshape(n, self.n_blocks)
+
+    def passages(self, texts: list[list[str]], threshold: float):
+        """``(text, first word, end, terms, blocks)`` of the passages that may reach the threshold in some blocks.
+
+        A passage is two neighbouring stretches of ``stride`` words of one text.
+        """
+        known, get, stride = self.term.keys(), self.term.get, self.stride
+        terms, counts, before, after, own = [], [], [], [], []  # per stretch: its terms and the two passages it is in
+        for i, words in enumerate(texts):
+            n = max(1, (len(words) - 1) // stride)
+            first = len(own)
+            for k, a in enumerate(range(0, len(words), stride)):
+                held = known & set(words[a:a + stride])
+                terms.extend(map(get, held))
+                counts.append(len(held))
+                before.append(first + k - 1 if k else -1)
+                after.append(first + k if k < n else -1)
+            own.extend((i, k * stride) for k in range(n if words else 0))
+        n_terms, term = len(self.ids), np.array(terms, np.int64)
+        passage = np.concatenate((np.repeat(np.array(before, np.int64), counts), np.repeat(np.array(after, np.int64), counts)))
+        pairs = np.unique((passage * n_terms + np.concatenate((term, term)))[passage >= 0])
+        passage, term = pairs // n_terms, pairs % n_terms
+        step = max(1, BOUNDS // self.n_blocks)
+        for first in range(0, len(own), step):
+            lo, hi = np.searchsorted(passage, (first, first + step))
+            reach = self._bounds(passage[lo:hi] - first, term[lo:hi], min(step, len(own) - first)) >= threshold - 1e-9
+            for k in np.flatnonzero(reach.any(axis=1)).tolist():
+                i, at = own[first + k]
+                a, b = np.searchsorted(passage, (first + k, first + k + 1))
+                yield i, at, at + 2 * stride, term[a:b].tolist(), np.flatnonzero(reach[k]).tolist()
+
+    def search(self, terms: list[int], block: int, threshold: float) -> list[tuple[int, float]]:
+        """All ``(item, score)`` of the block at or above the threshold for a passage with these terms."""
+        least, end, found = threshold - 1e-9, (block + 1) * BLOCK, []
+        open_ = []  # item, place in the list, term, largest impact in the block
+        for t in terms:
+            if block in self.tops[t]:
+                at = bisect_left(self.ids[t], block * BLOCK)
+                open_.append([self.ids[t][at], at, t, self.tops[t][block]])
         while open_:
             open_.sort()
             bound, pivot = 0.0, -1
             for k, c in enumerate(open_):
-                bound += self.top[c[2]]
+                bound += c[3]
                 if bound >= least:
                     pivot = k
                     break
             if pivot < 0:
                 break
             item = open_[pivot][0]
-            while pivot + 1 < len(open_) and open_[pivot + 1][0] == item:
-                pivot += 1
-            # The blocks that hold the pivot item: their maxima bound its score.
-            bound, end = 0.0, open_[pivot + 1][0] if pivot + 1 < len(open_) else len(self.items)
-            for c in open_[:pivot + 1]:
-                ids = self.ids[c[2]]
-                at = bisect_left(ids, item, c[1])
-                if at < len(ids):
-                    bound += self.tops[c[2]][at // POSTINGS]
-                    last = min((at // POSTINGS + 1) * POSTINGS, len(ids)) - 1
-                    end = min(end, ids[last] + 1)
-            if bound < least:
-                for c in open_[:pivot + 1]:
-                    to(c, max(end, item + 1))
-            elif open_[0][0] == item:
-                score = sum(self.impacts[c[2]][c[1]] for c in open_[:pivot + 1])
+            if open_[0][0] == item:
+                score = sum(self.impacts[c[2]][c[1]] for c in open_ if c[0] == item)
                 if score >= least:
                     found.append((item, score))
-                for c in open_[:pivot + 1]:
-                    to(c, item + 1)
-            else:
-                for c in open_[:pivot + 1]:
-                    if c[0] < item:
-                        to(c, item)
-            open_ = [c for c in open_ if c[0] is not None]
+                item += 1
+            for c in open_:
+                if c[0] < item:
+                    ids = self.ids[c[2]]
+                    c[1] = bisect_left(ids, item, c[1])
+                    c[0] = ids[c[1]] if c[1] < len(ids) else end
+            open_ = [c for c in open_ if c[0] < end]
         return found
 
-    def passages(self, words: list[str], threshold: float):
-        """``(first word, end, terms)`` of the passages that may reach the threshold.
-
-        A passage is two neighbouring stretches of ``stride`` words.
-        """
-        get = self.term.get
-        ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        place = np.flatnonzero(ids >= 0)
-        if not len(place):
-            return
-        n, stride = len(self.top), self.stride
-        pairs = np.unique(place // stride * n + ids[place])
-        stretch, term = pairs // n, pairs % n
-        sums = np.bincount(stretch, self.top[term], (len(words) - 1) // stride + 1)
-        if len(sums) > 1:
-            sums = sums[:-1] + sums[1:]
-        for k in np.flatnonzero(sums >= threshold - 1e-9).tolist():
-            own = np.unique(term[np.searchsorted(stretch, k):np.searchsorted(stretch, k + 2)])
-            if self.top[own].sum() >= threshold - 1e-9:
-                yield k * stride, (k + 2) * stride, own.tolist()
-
-    def matches(self, text: str | None, threshold: float, overlap: float, shingle: int) -> list[tuple]:
-        """``(item_id, passages, score, question overlap, answer overlap)`` of the items that the text holds."""
-        words, out = tokens(text), {}
-        for a, b, terms in self.passages(words, threshold):
-            passage, grams = words[a:b], {}
+    def matches(self, texts: list[str | None], threshold: float, overlap: float, shingle: int) -> list[list[tuple]]:
+        """For each text ``(item_id, passages, score, question overlap, answer overlap)`` of the items that it holds."""
+        out: list[dict] = []
+        some: list[list[str]] = []
+        size = 0
+        for text in texts:
+            some.append(tokens(text))
+            size += len(some[-1])
+            if size >= WORDS:
+                out += self._matches(some, threshold, overlap, shingle)
+                some, size = [], 0
+        out += self._matches(some, threshold, overlap, shingle)
+        return [[(i, *v) for i, v in sorted(found.items())] for found in out]
+
+    def _matches(self, texts: list[list[str]], threshold: float, overlap: float, shingle: int) -> list[dict]:
+        out: list[dict] = [{} for _ in texts]
+        for i, a, b, terms, blocks in self.passages(texts, threshold):
+            hits = [hit for block in blocks for hit in self.search(terms, block, threshold)]
+            passage, grams = texts[i][a:b] if hits else [], {}
 
             def held(part):
                 n = min(shingle, len(part))
@@ -176,42 +215,42 @@ class Index:
                 own = _shingles(part, n)
                 return len(own & grams[n]) / len(own)
 
-            for k, score in self.search(terms, threshold):
+            for k, score in hits:
                 item_id, question, answer = self.items[k]
                 q, r = held(question), held(answer)
                 if q >= overlap and r >= overlap:
-                    n, s, q0, r0 = out.get(item_id, (0, 0.0, 0.0, 0.0))
-                    out[item_id] = (n + 1, max(s, score), max(q, q0), max(r, r0))
-        return [(i, *v) for i, v in sorted(out.items())]
+                    n, s, q0, r0 = out[i].get(item_id, (0, 0.0, 0.0, 0.0))
+                    out[i][item_id] = (n + 1, max(s, score), max(q, q0), max(r, r0))
+        return out
 
 
 def build_indexes(items: DataFrame, item_id: str = "item_id", text: str = "text", answer: str | None = None,
-                  block_bytes: int = BLOCK_BYTES) -> list[Index]:
-    """One index per block of items. Items without a token or an id are left out.
+                  index_bytes: int = INDEX_BYTES) -> list[Index]:
+    """Indexes that together hold all items. Items without a token or an id are left out.
 
     With ``answer``, ``text`` is the question and that column the answer.
     """
 
     @F.pandas_udf("struct<q:array<string>,a:array<string>>")
-    def parts(text: pd.Series, other: pd.Series) -> pd.DataFrame:
+    def split_item(text: pd.Series, other: pd.Series) -> pd.DataFrame:
         split = [question_answer(t) if answer is None else (tokens(t), tokens(o)) for t, o in zip(text, other)]
         return pd.DataFrame({"q": [q for q, _ in split], "a": [a for _, a in split]})
 
     own = F.col(f"`{text}`").cast("string")
     n_bytes = items.agg(F.sum(F.octet_length(own))).first()[0] or 0
-    blocks = max(1, math.ceil(n_bytes / block_bytes))
+    parts = max(1, math.ceil(n_bytes / index_bytes))
     rows = stored(items.select(
-        F.col(f"`{item_id}`").cast("bigint").alias("item_id"), parts(own, F.col(f"`{answer or text}`").cast("string")).alias("p")).filter(
+        F.col(f"`{item_id}`").cast("bigint").alias("item_id"), split_item(own, F.col(f"`{answer or text}`").cast("string")).alias("p")).filter(
         "item_id is not null and size(p.q) + size(p.a) > 0").select(
-        "item_id", "p.q", "p.a", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block")).distinct(), "decontam-items")
+        "item_id", "p.q", "p.a", F.pmod(F.xxhash64("item_id"), F.lit(parts)).alias("part")).distinct(), "decontam-items")
     n_items, mean = rows.agg(F.count("*"), F.avg(F.size("q") + F.size("a"))).first()
-    terms = rows.select("block", F.explode(F.array_distinct(F.concat("q", "a"))).alias("term"))
+    terms = rows.select("part", F.explode(F.array_distinct(F.concat("q", "a"))).alias("term"))
     df = terms.groupBy("term").count()
     out = []
-    for b in range(blocks):
-        some = [(r.item_id, r.q, r.a) for r in rows.filter(F.col("block") == b).orderBy("item_id", "q", "a").collect()]
+    for b in range(parts):
+        some = [(r.item_id, r.q, r.a) for r in rows.filter(F.col("part") == b).orderBy("item_id", "q", "a").collect()]
         if some:
-            its = terms.filter(F.col("block") == b).select("term").distinct() if blocks > 1 else None
+            its = terms.filter(F.col("part") == b).select("term").distinct() if parts > 1 else None
             counts = dict(map(tuple, (df.join(its, "term") if its else df).select("term", "count").collect()))
             out.append(Index(some, counts, n_items, mean))
     return out
@@ -226,7 +265,7 @@ def contamination(spark, text: Column, index: Index, threshold: float = THRESHOL
     def of(texts: pd.Series) -> pd.Series:
         index = shared.value
         names = ("item_id", "passages", "score", "question_overlap", "answer_overlap")
-        return pd.Series([[dict(zip(names, m)) for m in index.matches(t, threshold, overlap, shingle)] for t in texts])
+        return pd.Series([[dict(zip(names, m)) for m in found] for found in index.matches(list(texts), threshold, overlap, shingle)])
 
     return of(text)
 
