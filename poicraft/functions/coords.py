@@ -57,4 +57,4 @@ def haversine_m(lat1, lng1, lat2, lng2, radius_m: float = EARTH_RADIUS_M) -> Col
     dlmb = F.radians(col(lng2) - col(lng1))
     a = (F.sin(dphi / 2) * F.sin(dphi / 2)
          + F.cos(p1) * F.cos(p2) * F.sin(dlmb / 2) * F.sin(dlmb / 2))
-    return F.lit(2.0 * radius_m) * F.asin(F.sqrt(a))
+    return F.lit(2.0 * radius_m) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))

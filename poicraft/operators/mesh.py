@@ -50,8 +50,11 @@ def mesh_grid(spark: SparkSession, sw: Point = CITY_SW, ne: Point = CITY_NE,
 
 
 def mesh_resume(grid: DataFrame, start: int = RESUME_CELL) -> DataFrame:
-    """Cells from ordinal ``start`` on (0-based ``cell_id``)."""
-    return grid.filter(F.col("cell_id") >= F.lit(start))
+    """Cells from the ``start``-th on, counted from 1 (``cell_id`` counts from 0).
+
+    Takes the grid or a sweep, any frame with a ``cell_id``.
+    """
+    return grid.filter(F.col("cell_id") >= F.lit(start - 1))
 
 
 def assign_cells(df: DataFrame, sw: Point, ne: Point, nx: int, ny: int,

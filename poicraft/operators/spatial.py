@@ -18,9 +18,11 @@ def _limit(df: DataFrame, order_by: Sequence[str], limit: int | None) -> DataFra
 
 def in_box(sw: Sequence[float], ne: Sequence[float], lat: str = "lat", lng: str = "lng") -> Column:
     """Half-open box ``[sw, ne)``; points are ``[lat, lng]``. Plain range predicates,
-    so on a parquet venue table they are pushed into the scan."""
-    return ((F.col(lat) >= F.lit(float(sw[0]))) & (F.col(lat) < F.lit(float(ne[0])))
-            & (F.col(lng) >= F.lit(float(sw[1]))) & (F.col(lng) < F.lit(float(ne[1]))))
+    so on a parquet venue table they are pushed into the scan. A box whose west
+    edge lies east of its east edge crosses the ±180° meridian."""
+    west, east = F.col(lng) >= F.lit(float(sw[1])), F.col(lng) < F.lit(float(ne[1]))
+    across = west | east if sw[1] > ne[1] else west & east
+    return (F.col(lat) >= F.lit(float(sw[0]))) & (F.col(lat) < F.lit(float(ne[0]))) & across
 
 
 def bbox_search(df: DataFrame, sw, ne, limit: int | None = None, order_by=("id",),
@@ -40,7 +42,8 @@ def bbox_category_search(df: DataFrame, sw, ne, category_id: str, limit: int | N
 def near(center: Sequence[float], radius_m: float, lat: str = "lat", lng: str = "lng",
          radius_earth_m: float = EARTH_RADIUS_M) -> Column:
     """Haversine distance ≤ radius, behind a conservative lat/lng box prefilter
-    (cheap range predicates evaluated first, pushable to the scan)."""
+    (cheap range predicates evaluated first, pushable to the scan). Longitudes
+    are in [-180, 180]; a circle that crosses ±180° gets two longitude ranges."""
     lat0, lng0 = float(center[0]), float(center[1])
     ang = radius_m / radius_earth_m
     dlat = math.degrees(ang) * 1.000001
@@ -48,7 +51,14 @@ def near(center: Sequence[float], radius_m: float, lat: str = "lat", lng: str =
     cos0 = math.cos(math.radians(lat0))
     if ang < math.pi / 2 and math.sin(ang) < cos0:
         dlng = math.degrees(math.asin(math.sin(ang) / cos0)) * 1.000001
-        cond = cond & (F.col(lng) >= F.lit(lng0 - dlng)) & (F.col(lng) <= F.lit(lng0 + dlng))
+        west, east = lng0 - dlng, lng0 + dlng
+        at_least, at_most = (lambda x: F.col(lng) >= F.lit(x)), (lambda x: F.col(lng) <= F.lit(x))
+        if west < -180.0:
+            cond = cond & (at_most(east) | at_least(west + 360.0))
+        elif east > 180.0:
+            cond = cond & (at_least(west) | at_most(east - 360.0))
+        else:
+            cond = cond & at_least(west) & at_most(east)
     dist = haversine_m(F.lit(lat0), F.lit(lng0), F.col(lat), F.col(lng), radius_earth_m)
     return cond & (dist <= F.lit(float(radius_m)))
 
