@@ -11,14 +11,15 @@ from poicraft.functions.names import LEGEND_ABBREVIATIONS, abbreviate_label
 from poicraft.functions.palette import OTHER, OTHER_COLOR, category_color, color_for_keys
 from poicraft.functions.text import as_text
 from poicraft.operators.dedup import dedupe_by_key
+from poicraft.operators.joins import lookup_join
 
 
-def clean_categories(df: DataFrame, key: str = "id") -> DataFrame:
-    """A8 → F6 → P1: one row per ``key``; first category must exist and be primary.
+def clean_categories(df: DataFrame, key: str = "id", order_by: Sequence[str] = ()) -> DataFrame:
+    """A8 → F6 → P1: one row per ``key`` (the smallest by ``order_by``); first category must exist and be primary.
 
     Adds ``category`` = first category name. Dedup runs before the category test.
     """
-    df = dedupe_by_key(df, [key])
+    df = dedupe_by_key(df, [key], order_by)
     valid = (F.size("cat_name") > 0) & F.coalesce(F.get(F.col("primary"), F.lit(0)), F.lit(False))
     return df.filter(valid).withColumn("category", F.get(F.col("cat_name"), F.lit(0)))
 
@@ -30,16 +31,14 @@ def category_filter(df: DataFrame, categories: Sequence[str] | DataFrame,
     A literal list becomes an ``IN`` predicate (pushed into the scan when it is a
     plain column). A key table is joined: a broadcast semi join when the caller
     gives its proven row ``bound`` (e.g. the N winners of a top-N), otherwise the
-    size-checked lookup join (broadcast when small, hot categories salted beyond).
+    size-checked lookup join.
     """
     if isinstance(categories, DataFrame):
         keys = categories.select(F.col(categories.columns[0]).alias("_cat"))
         if bound is not None:
             return df.join(F.broadcast(keys), F.col(column) == F.col("_cat"), "left_semi")
-        from poicraft.operators.enrich import DIMENSION_BROADCAST_ROWS, lookup_join
-        flagged = keys.distinct().withColumn("_listed", F.lit(True))
-        joined = lookup_join(df, flagged, F.col(column), "_cat", keys, DIMENSION_BROADCAST_ROWS)
-        return joined.filter(F.col("_listed")).select(*[df[c] for c in df.columns])
+        listed = df.filter(F.col(column).isNotNull())
+        return lookup_join(listed, keys.distinct(), F.col(column), "_cat", "left_semi", keys)
     return df.filter(F.col(column).isin(list(categories)))
 
 
@@ -115,6 +114,12 @@ def top_keys_flag(df: DataFrame, top: DataFrame, column: str = "category") -> Da
     return df.join(keys, F.col(column) == F.col("_key"), "left").drop("_key")
 
 
+def color_by_top(df: DataFrame, top: DataFrame, column: str = "category") -> DataFrame:
+    """Adds ``color_cat``: the palette colour of the top-N keys, grey for the others."""
+    rows = top_keys_flag(df, top, column)
+    return rows.withColumn("color_cat", color_for_keys(F.col(column), in_keys=F.col("_in_top"))).drop("_in_top")
+
+
 def group_by_categories_colored(df: DataFrame, max_display: int,
                                 keys: Sequence[str] = (), column: str = "category"):
     """A4: rows restricted to ``keys`` (when given) and coloured by the top-N palette.
@@ -124,10 +129,7 @@ def group_by_categories_colored(df: DataFrame, max_display: int,
     if keys:
         df = category_filter(df, keys, column)
     top = top_n_other(category_count(df, column), max_display)
-    rows = top_keys_flag(df, top, column)
-    rows = rows.withColumn("color_cat", color_for_keys(F.col(column), in_keys=F.col("_in_top"))) \
-        .drop("_in_top")
-    return rows, top
+    return color_by_top(df, top, column), top
 
 
 def filter_categories_colored(df: DataFrame, keys: Sequence[str], apply_filter: bool = True,

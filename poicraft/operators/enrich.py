@@ -6,36 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poicraft.operators.dedup import dedupe_by_key
-from poicraft.operators.joins import HOT_KEY_ROWS, salted_left_join
-from poicraft.session import at_most
+from poicraft.operators.joins import BROADCAST_BYTES, lookup_join
 
 # Photo url when the venue has no photo record / a record without items.
 NO_PHOTO = "_"
 NO_PHOTO_ITEMS = "__"
 
-# Dimension tables at or below this many rows are broadcast; larger ones shuffle.
-# Catalogue rows are a code and one or two short names (≈ 100 bytes), so the bound
-# keeps a broadcast table near 50 MB per executor.
-DIMENSION_BROADCAST_ROWS = 500_000
-
-
-def lookup_join(facts: DataFrame, dim: DataFrame, fact_key: F.Column, dim_key: str,
-                source: DataFrame, max_broadcast_rows: int, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
-    """Left join against a deduplicated lookup table.
-
-    Broadcast when the raw table provably has at most ``max_broadcast_rows``
-    rows (checked on ``source`` without a shuffle); otherwise a shuffle join with
-    hot codes salted, so a code carried by a third of the facts is not one task.
-    A streaming fact side joins the static table per micro-batch without salting.
-    """
-    if at_most(source, max_broadcast_rows):
-        return facts.join(F.broadcast(dim), fact_key == F.col(dim_key), "left")
-    if facts.isStreaming:
-        # hot-key detection needs a global aggregate of the facts, which a stream
-        # does not have; each micro-batch joins the static table as is
-        return facts.join(dim, fact_key == F.col(dim_key), "left")
-    return salted_left_join(facts, dim, fact_key, dim_key, hot_rows=hot_rows)
-
 
 def code_key(c) -> F.Column:
     """Code text or number → bigint join key (``'06000'`` = 6000; bad codes → null)."""
@@ -43,30 +19,27 @@ def code_key(c) -> F.Column:
 
 
 def postal_enrich(venues: DataFrame, postal: DataFrame, code_col: str = "postalCode",
-                  max_broadcast_rows: int = DIMENSION_BROADCAST_ROWS,
-                  hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+                  broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """J1 + F5: add ``municipio`` and ``d_tipo_asenta`` by postal code; drop unmatched.
 
     The catalogue is reduced to one row per normalised code first (see
-    :func:`lookup_join` for the join strategy). The left join followed by the
-    not-null test is an inner join for Catalyst.
+    :func:`~poicraft.operators.joins.lookup_join` for the join strategy). Venues
+    without a valid code match nothing, so they are dropped before the join.
     """
     dim = postal.select(code_key("d_codigo").alias("_code"),
                         F.col("D_mnpio").alias("municipio"), F.col("d_tipo_asenta"))
-    dim = dedupe_by_key(dim, ["_code"])
-    out = lookup_join(venues, dim, code_key(code_col), "_code", postal, max_broadcast_rows, hot_rows)
-    return out.select(*[venues[c] for c in venues.columns], "municipio", "d_tipo_asenta") \
-        .filter(F.col("municipio").isNotNull())
+    dim = dedupe_by_key(dim.filter("_code is not null"), ["_code"]).filter(F.col("municipio").isNotNull())
+    coded = venues.filter(code_key(code_col).isNotNull())
+    out = lookup_join(coded, dim, code_key(code_col), "_code", "inner", postal, broadcast_bytes)
+    return out.select(*[venues[c] for c in venues.columns], "municipio", "d_tipo_asenta")
 
 
 def catalog_match(establishments: DataFrame, catalog: DataFrame, code_col: str = "codigo_act",
-                  max_broadcast_rows: int = DIMENSION_BROADCAST_ROWS,
-                  hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+                  broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Add ``category`` = activity name by activity code; unmatched rows keep null."""
     dim = catalog.select(code_key("id_act").alias("_act"), F.col("actividad").alias("category"))
-    dim = dedupe_by_key(dim, ["_act"])
-    out = lookup_join(establishments, dim, code_key(code_col), "_act", catalog, max_broadcast_rows,
-                      hot_rows)
+    dim = dedupe_by_key(dim.filter("_act is not null"), ["_act"])
+    out = lookup_join(establishments, dim, code_key(code_col), "_act", "left", catalog, broadcast_bytes)
     return out.select(*[establishments[c] for c in establishments.columns], "category")
 
 
@@ -75,10 +48,13 @@ def photo_enrich(venues: DataFrame, photos: DataFrame, id_col: str = "id") -> Da
 
     ``'_'`` when the venue has no photo record, ``'__'`` when the record has no
     items, else ``prefix + user.id + suffix`` of the first item. The photo table
-    is as large as the venue table, so this is a plain (shuffled) left join.
+    is as large as the venue table, so this is a plain (shuffled) left join. Of
+    several records of one venue the one with the most items, then the smallest,
+    counts, so a venue stays one row.
     """
     ph = photos.select(F.col("venue_id").alias("_pid"), F.col("status").alias("photo_status"),
-                       F.col("items").alias("_items"))
+                       F.col("items").alias("_items"), (-F.coalesce(F.size("items"), F.lit(0))).alias("_few"))
+    ph = dedupe_by_key(ph.filter("_pid is not null"), ["_pid"], ["_few"]).drop("_few")
     first = F.get(F.col("_items"), F.lit(0))
     url = (F.when(F.col("_pid").isNull(), F.lit(NO_PHOTO))
            .when(F.coalesce(F.size("_items"), F.lit(0)) <= 0, F.lit(NO_PHOTO_ITEMS))

@@ -11,33 +11,41 @@ from pyspark.sql import types as T
 from poicraft.session import checkpoint_dir
 
 
-def row_index(df: DataFrame, order_by: Sequence, name: str = "idx") -> DataFrame:
-    """Global 0-based index in ``order_by`` order.
-
-    The frame is range-partitioned and sorted by Spark; each row takes its
-    partition's offset (the rows in earlier partitions, from a table with one row
-    per partition, which is broadcast) plus its position within the partition.
-    The tagged sort is written once with a reliable checkpoint (the session's
-    ``spark.checkpoint.dir``), so both uses read the same partitions and a lost
-    executor cannot renumber rows. A hash of the row's atomic columns is the last
-    sort key, so rows with equal ``order_by`` values spread over several range
-    partitions (no hot partition for a repeated key).
+def row_index(df: DataFrame, order_by: Sequence[str], name: str = "idx") -> DataFrame:
+    """Global 0-based index in ascending ``order_by`` order.
+
+    Only the keys are sorted: each distinct key with its count is range-partitioned,
+    tagged with its partition and written once with a reliable checkpoint (the
+    session's ``spark.checkpoint.dir``), so a lost executor cannot renumber rows.
+    Counts before it in the partition, and the partition's offset (from a table
+    with one row per partition, which is broadcast), give each key its first
+    index; the rows take it by a join. A hash of the row's atomic columns is the
+    last key, so a repeated ``order_by`` value spreads over several partitions.
     """
-    checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    keys = [*order_by, "_tie"]
     atomic = [f.name for f in df.schema.fields
               if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-    tie = F.xxhash64(*[F.col(c) for c in (atomic or df.columns)])
-    tagged = (df.orderBy(*order_by, tie)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id())
+    rows = df.withColumn("_tie", F.xxhash64(*[F.col(c) for c in (atomic or order_by)]))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tagged = (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+              .repartitionByRange(parts, *keys).withColumn("_pid", F.spark_partition_id())
               .checkpoint(eager=True))
-    sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_pid", "_first",
-                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    out = tagged.join(F.broadcast(offsets), "_pid")
-    return out.withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_first")).cast("bigint")) \
-        .drop("_pid", "_mid", "_first", "_off")
+    offsets = tagged.groupBy("_pid").agg(F.sum("_n").alias("_n")).select(
+        "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    within = Window.partitionBy("_pid").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    first = (tagged.withColumn("_in", F.coalesce(F.sum("_n").over(within), F.lit(0)))
+             .join(F.broadcast(offsets), "_pid")
+             .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                     (F.col("_off") + F.col("_in")).alias("_first")))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    again = F.row_number().over(Window.partitionBy(*keys).orderBy("_tie"))
+    out = rows.withColumn("_again", again).join(first, same)
+    return out.withColumn(name, (F.col("_first") + F.col("_again") - 1).cast("bigint")).select(*df.columns, name)
 
 
 def group_index(df: DataFrame, partition_by: Sequence[str], order_by: Sequence,

@@ -1,43 +1,39 @@
-"""Left lookup join that stays balanced when one key carries a large share of the rows."""
+"""Lookup joins that stay balanced when one key, or the missing key, holds a large share of the rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# A key with more rows than this on the probe side is split over ``salts`` tasks.
-HOT_KEY_ROWS = 1_000_000
-# At most this many hot keys are salted (a bounded, broadcast list); any further
-# hot key is still joined exactly, just without the split.
-MAX_HOT_KEYS = 10_000
+# A lookup table is broadcast up to this size by the plan's own statistics (bytes of
+# its files, or what they imply); a larger one, or one of unknown size, is shuffled.
+BROADCAST_BYTES = 32 << 20
+# Tasks over which the rows of any one key are spread in a shuffled lookup.
 SALTS = 32
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: str,
-                     salts: int = SALTS, hot_rows: int = HOT_KEY_ROWS,
-                     max_hot_keys: int = MAX_HOT_KEYS) -> DataFrame:
-    """``left ⟕ right`` on ``left_key = right[right_key]`` (right key unique), skew-safe.
+def plan_bytes(df: DataFrame) -> int:
+    """Size of a frame by the optimizer's statistics; starts no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
-    Hot keys are found with one partial aggregate of the probe side; their rows
-    get a salt from a hash of the whole row, and only their lookup rows are
-    replicated once per salt. Every left row meets exactly one copy of its
-    lookup row, so the result equals the plain left join.
+
+def lookup_join(facts: DataFrame, dim: DataFrame, fact_key: Column, dim_key: str, how: str = "left",
+                source: DataFrame | None = None, broadcast_bytes: int = BROADCAST_BYTES,
+                salts: int = SALTS) -> DataFrame:
+    """``facts`` joined to a lookup table that is unique by ``dim_key``; builds no job.
+
+    The table is broadcast when ``source`` (what it was derived from without adding
+    rows, by default itself) is known to be small. Beyond that every lookup row is
+    replicated ``salts`` times and every fact meets one copy, chosen by the input
+    partition it comes from: a hot key, also one whose rows are all equal, is spread
+    over ``salts`` tasks, without a list of hot keys or a threshold. Facts without
+    a key match nothing and are spread over all tasks.
     """
-    hot = (left.groupBy(left_key.alias("_hk")).agg(F.count(F.lit(1)).alias("_hn"))
-           .filter(F.col("_hn") > F.lit(hot_rows)).orderBy(F.desc("_hn")).limit(max_hot_keys)
-           .select("_hk", F.lit(True).alias("_hot")))
-    hot = F.broadcast(hot)
-    hashable = [f.name for f in left.schema.fields if not isinstance(f.dataType, T.MapType)]
-    row_hash = F.xxhash64(*[left[c] for c in hashable])
-    lsalted = (left.join(hot, left_key == F.col("_hk"), "left")
-               .withColumn("_ls", F.when(F.col("_hot"), F.pmod(row_hash, F.lit(salts)))
-                           .otherwise(F.lit(0)).cast("int"))
-               .drop("_hk", "_hot"))
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    rsalted = (right.join(hot, F.col(right_key) == F.col("_hk"), "left")
-               .withColumn("_rs", F.explode(copies))
-               .drop("_hk", "_hot"))
-    joined = lsalted.join(rsalted, (left_key == F.col(right_key)) & (F.col("_ls") == F.col("_rs").cast("int")),
-                          "left")
+    if plan_bytes(dim if source is None else source) <= broadcast_bytes:
+        return facts.join(F.broadcast(dim), fact_key == F.col(dim_key), how)
+    part = F.spark_partition_id()
+    salted = facts.withColumn("_ls", F.when(fact_key.isNull(), F.xxhash64(part))
+                              .otherwise(F.pmod(part, F.lit(salts)).cast("bigint")))
+    copies = dim.withColumn("_rs", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    joined = salted.join(copies, (fact_key == F.col(dim_key)) & (F.col("_ls") == F.col("_rs")), how)
     return joined.drop("_ls", "_rs")

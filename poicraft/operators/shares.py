@@ -26,7 +26,7 @@ def category_share(df: DataFrame, group_col: str = "municipio",
     counts = df.groupBy(F.col(group_col).alias("municipio"),
                         F.col(category_col).alias("category")).agg(F.count(F.lit(1)).alias("n"))
     g = Window.partitionBy("municipio")
-    ordered = g.orderBy(F.desc("n"), F.asc("category"))
+    ordered = g.orderBy(F.desc("n"), F.asc_nulls_last("category"))
     idx = (F.row_number().over(ordered) - 1).cast("bigint")
     total = F.sum("n").over(g)
     return counts.select(

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_SCRATCH: set[str] = set()  # scratch folders of this process's sessions
 
 
 # Settings for a large cluster (e.g. 1000 executors over ~100 TB of parquet): let AQE
@@ -46,7 +49,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -73,28 +76,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
                 "file system or object store); a machine-local folder cannot hold checkpoints "
                 "or scratch tables on a cluster")
         configured = tempfile.mkdtemp(prefix="poicraft-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)  # our own folder, empty before
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(configured)
     return configured
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unique folder under the shared checkpoint directory."""
-    base = checkpoint_dir(spark)
-    return f"{base}/scratch/{name}-{uuid.uuid4().hex}"
+    """A new, unique folder under the shared checkpoint directory.
 
+    All scratch folders of a session lie in one folder of its application, which is
+    removed when the Python process ends with its session still open.
+    """
+    base = f"{checkpoint_dir(spark)}/scratch/{spark.sparkContext.applicationId}"
+    if base not in _SCRATCH:
+        _SCRATCH.add(base)
+        atexit.register(_remove, spark, base)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
-def at_most(df: DataFrame, max_rows: int) -> bool:
-    """Whether ``df`` holds at most ``max_rows`` rows; reads at most ``max_rows + 1``."""
-    return df.limit(max_rows + 1).count() <= max_rows
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this session made, wherever Spark can write."""
+    with contextlib.suppress(Exception):  # the session may be gone with its JVM
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
-def checked_broadcast(df: DataFrame, max_rows: int, source: DataFrame | None = None) -> DataFrame:
-    """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
 
-    The bound is checked on ``source`` when given (a frame ``df`` is derived from
-    without adding rows, e.g. before a dedup, so the check needs no shuffle),
-    else on ``df``. Beyond the bound the frame is returned as is and Spark plans
-    a shuffle join (AQE may still convert it from measured sizes).
-    """
-    return F.broadcast(df) if at_most(df if source is None else source, max_rows) else df
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back, for several outputs."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -52,7 +52,11 @@ def write_geojson(features: DataFrame, path: str, column: str = "feature",
 
 
 def legend_object(legend: DataFrame) -> DataFrame:
-    """The legend (≤ N + 1 rows) as one JSON object ``{"label": "#color", …}`` in rank order."""
+    """The legend (≤ N + 1 rows) as one JSON object ``{"label": "#color", …}`` in rank order.
+
+    Of rows with the same label the later one (by rank) stays.
+    """
+    legend = legend.groupBy("label").agg(F.max("rank").alias("rank"), F.max_by("color", "rank").alias("color"))
     entries = F.sort_array(F.collect_list(F.struct("rank", "label", "color")))
     pairs = F.transform(entries, lambda x: F.struct(x["label"], x["color"]))
     return legend.agg(F.to_json(F.map_from_entries(pairs)).alias("legend"))

@@ -1,7 +1,8 @@
-"""Scans S1–S10 with explicit schemas (no inference pass, codes stay text)."""
+"""Scans S1–S10: JSON by explicit schemas, CSV by the header's names (no type inference, codes stay text)."""
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,9 +47,16 @@ PHOTO_SCHEMA = T.StructType([
 
 def _csv(spark: SparkSession, paths, encoding: str = "UTF-8") -> DataFrame:
     # Header names, every value as text: no inference scan, '06000' keeps its zero.
-    # Single-line records keep large files splittable across tasks.
-    return (spark.read.option("header", True).option("inferSchema", False)
-            .option("multiLine", False).option("encoding", encoding).csv(paths))
+    # Single-line records keep large files splittable across tasks. The first file's
+    # header gives the names; a file of a folder with another header fails the read
+    # instead of being laid under the wrong names.
+    def reader():
+        return (spark.read.option("header", True).option("inferSchema", False)
+                .option("multiLine", False).option("encoding", encoding))
+
+    names = reader().csv(paths).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    return reader().option("enforceSchema", False).schema(schema).csv(paths)
 
 
 def _with_csv_suffix(path: str, file: str | None) -> str:
@@ -62,11 +70,13 @@ def load_establishments(spark: SparkSession, path: str | Sequence[str],
                         file: str | None = None, encoding: str = "UTF-8") -> DataFrame:
     """Directory CSV (header) → the 21 establishment columns, all text.
 
-    ``file`` without ``.csv`` gets the suffix appended. A list of paths is one scan.
-    Directory exports are often Latin-1: pass ``encoding='ISO-8859-1'``.
+    ``file`` without ``.csv`` gets the suffix appended. Every path of a list is read by
+    its own header; the files within one folder must share theirs. Directory
+    exports are often Latin-1: pass ``encoding='ISO-8859-1'``.
     """
-    paths = path if isinstance(path, (list, tuple)) else _with_csv_suffix(path, file)
-    return _csv(spark, paths, encoding).select(*ESTABLISHMENT_COLUMNS)
+    paths = path if isinstance(path, (list, tuple)) else [_with_csv_suffix(path, file)]
+    parts = [_csv(spark, p, encoding).select(*ESTABLISHMENT_COLUMNS) for p in paths]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def load_catalog_raw(spark: SparkSession, path: str, file: str | None = None,
@@ -97,6 +107,12 @@ def load_venues(spark: SparkSession, path: str, fmt: str = "json", **options) ->
     return project_venues(spark.read.format(fmt).schema(VENUE_SCHEMA).options(**options).load(path))
 
 
+def load_venue_lines(spark: SparkSession, path: str) -> DataFrame:
+    """S4 with the whole documents: the venue's fields and its JSON line as ``doc``."""
+    line = spark.read.text(path).select(F.col("value").alias("doc"), F.from_json("value", VENUE_SCHEMA).alias("v"))
+    return line.select("doc", "v.id", F.col("v.location.lat").alias("lat"), F.col("v.location.lng").alias("lng"))
+
+
 def load_collection(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
     """A whole stored collection, as written."""
     return spark.read.format(fmt).options(**options).load(path)
@@ -132,7 +148,7 @@ def build_catalog(spark: SparkSession, path: str, parse: str = "split") -> DataF
 
 
 def union_parts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Several directory CSV parts as one frame (one multi-path scan)."""
+    """Several directory CSV parts, each by its own header, as one frame."""
     return load_establishments(spark, list(paths))
 
 

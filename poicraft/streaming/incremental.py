@@ -2,10 +2,8 @@
 
 The filters (F2), the catalogue match (J2, a stream–static left join), the
 name reduction (P5) and the entity mapping (M4/K9) are plain column
-expressions, so the batch operators apply unchanged to a file stream. Key
-dedup (A8) is stateful on a stream: ``dropDuplicates`` keeps one entry per key
-seen, so it is only enabled on request, with a watermark column when one
-exists.
+expressions, so the batch operators apply unchanged to a file stream. Key dedup
+(A8) would keep every key ever seen as state, so it stays a batch step.
 """
 
 from __future__ import annotations
@@ -19,27 +17,29 @@ from pyspark.sql.streaming import StreamingQuery
 from poicraft.functions import reduce_name, street_entity_pred
 from poicraft.functions.names import CATEGORY_SHORT_NAMES
 from poicraft.operators.enrich import catalog_match
+from poicraft.operators.joins import BROADCAST_BYTES
 from poicraft.operators.entities import entity_payloads, establishment_entity
 from poicraft.sources.readers import ESTABLISHMENT_COLUMNS
 
-ESTABLISHMENT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ESTABLISHMENT_COLUMNS])
-
 
 def entity_payload_stream(spark: SparkSession, source_dir: str, catalog: DataFrame,
                           keywords: Sequence[str], category: str, kind: str,
                           name_map: Mapping[str, str] = CATEGORY_SHORT_NAMES,
-                          dedupe: bool = False, max_files_per_trigger: int | None = None,
-                          max_broadcast_rows: int | None = None) -> DataFrame:
-    """Streaming ``(id, payload)`` for establishment CSV files landing in ``source_dir``."""
-    reader = spark.readStream.schema(ESTABLISHMENT_SCHEMA).option("header", True)
+                          max_files_per_trigger: int | None = None,
+                          columns: Sequence[str] = ESTABLISHMENT_COLUMNS,
+                          broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Streaming ``(id, payload)`` for establishment CSV files landing in ``source_dir``.
+
+    ``columns`` are the header of the files, in order; a file with another header
+    fails the query instead of being read under the wrong names.
+    """
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    reader = spark.readStream.schema(schema).option("header", True).option("enforceSchema", False)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    df = reader.csv(source_dir)
-    if dedupe:
-        df = df.dropDuplicates(["id"])
+    df = reader.csv(source_dir).select(*ESTABLISHMENT_COLUMNS)
     df = df.filter(street_entity_pred("nom_vial", "entidad", keywords))
-    df = catalog_match(df, catalog) if max_broadcast_rows is None else \
-        catalog_match(df, catalog, max_broadcast_rows=max_broadcast_rows)
+    df = catalog_match(df, catalog, broadcast_bytes=broadcast_bytes)
     df = df.withColumn("reduct_cat_name", reduce_name("category", name_map))
     return entity_payloads(df.select(establishment_entity(category, kind).alias("entity")))
 
