@@ -75,6 +75,25 @@ from customer c join nation n on c.c_nationkey = n.n_nationkey
 """
 
 
+def repeated_establishments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every establishment twice under its id, the second time with the next activity
+    code and another street name: what the dedup (A8) meets in real exports."""
+    e = establishments(spark, sf_dir)
+    code = F.pmod(F.col("codigo_act").cast("int") + 1, F.lit(25)).cast("string")
+    return e.unionByName(e.withColumn("codigo_act", code).withColumn("nom_vial", F.concat("nom_vial", F.lit(" bis"))))
+
+
+REPEATED_EST_SQL = f"""
+select * from ({EST_SQL}) union all
+select * replace (cast((cast(codigo_act as int) + 1) % 25 as varchar) as codigo_act, nom_vial || ' bis' as nom_vial) from ({EST_SQL})
+"""
+# The survivors of the dedup by id, smallest by the flows' order.
+KEPT_EST_SQL = f"""
+select * from ({REPEATED_EST_SQL})
+qualify row_number() over (partition by id order by codigo_act, nom_vial, entidad) = 1
+"""
+
+
 def activity_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(id_act, actividad)`` from nation: the code is the nation key."""
     n = table(spark, sf_dir, "nation")
@@ -110,8 +129,8 @@ def venue_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Documents with an embedding get two categories (``cat<label>`` whose primary
     flag is the sign of the first dimension, then the source); the others get
-    none. Address lines are the text lines; coordinates are the first two
-    embedding dimensions.
+    none. Address lines are the text lines, in French documents behind the postal
+    code; coordinates are the first two embedding dimensions.
     """
     d = table(spark, sf_dir, "documents")
     e = table(spark, sf_dir, "embeddings")
@@ -132,7 +151,8 @@ def venue_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(has, cats).otherwise(empty).alias("categories"),
         F.struct(F.col("lang").alias("country"), F.col("source").alias("state"),
                  F.col("lang").alias("city"),
-                 F.split(F.col("text"), "\n").alias("formattedAddress"),
+                 F.split(F.when(F.col("lang") == "fr", F.concat(_zero5("doc_id"), F.lit(" "), "text"))
+                         .otherwise(F.col("text")), "\n").alias("formattedAddress"),
                  _zero5("doc_id").alias("postalCode"),
                  e0.alias("lng"), e1.alias("lat")).alias("location"),
     )
@@ -143,10 +163,18 @@ def venues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project_venues(venue_documents(spark, sf_dir))
 
 
+def repeated_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every venue twice under its id, the second time with a name that sorts first."""
+    v = venues(spark, sf_dir)
+    return v.unionByName(v.withColumn("name", F.concat(F.lit("#"), "name")))
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw API-style responses ``{response: {venues: [...]}}``, one venue each."""
+    """Raw API-style responses ``{response: {venues: [...]}}``: the venues of three neighbouring ids."""
     docs = venue_documents(spark, sf_dir)
-    return docs.select(F.struct(F.array(F.struct(*docs.columns)).alias("venues")).alias("response"))
+    page = F.floor(F.col("id").cast("bigint") / 3)
+    grouped = docs.groupBy(page.alias("page")).agg(F.collect_list(F.struct(*docs.columns)).alias("venues"))
+    return grouped.select(F.struct("venues").alias("response"))
 
 
 VEN_SQL = """
@@ -159,25 +187,31 @@ select
   case when e.vec_id is null then []::varchar[]
        else [cast(e.label as varchar), d.source] end as cat_id,
   d.lang as country, d.source as state, d.lang as city,
-  string_split(d.text, chr(10)) as formattedAddress,
+  string_split(case when d.lang = 'fr' then printf('%05d', d.doc_id) || ' ' || d.text else d.text end, chr(10)) as formattedAddress,
   printf('%05d', d.doc_id) as postalCode,
   cast(e.embedding[1] as double) as lng, cast(e.embedding[2] as double) as lat
 from documents d left join embeddings e on e.vec_id = d.doc_id
 """
 
 
+REPEATED_VEN_SQL = f"select * from ({VEN_SQL}) union all select * replace ('#' || name as name) from ({VEN_SQL})"
+# The survivors of the dedup by id: of rows that agree in all else, the smallest name.
+KEPT_VEN_SQL = f"select * from ({REPEATED_VEN_SQL}) qualify row_number() over (partition by id order by name) = 1"
+
+
 # --- photos: the first order of each customer ----------------------------------------
 
 def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Photo records keyed by venue id (customer key): the customer's first order
-    by key; an urgent order carries one photo item, any other order none."""
+    """Photo records keyed by venue id (customer key): the customer's first order by
+    key; an urgent order carries one photo item, any other none, and a low-priority
+    order leaves the customer without a record."""
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
     first = dedupe_by_key(o, ["o_custkey"], ["o_orderkey"])
     item = F.struct(F.lit("https://img.example/").alias("prefix"),
                     F.lit("/original.jpg").alias("suffix"),
                     F.struct(F.col("o_orderkey").cast("string").alias("id")).alias("user"))
     empty = F.array().cast("array<struct<prefix:string,suffix:string,user:struct<id:string>>>")
-    return first.select(
+    return first.filter("o_orderpriority <> '5-LOW'").select(
         F.col("o_custkey").cast("string").alias("venue_id"),
         F.lit(200).alias("status"),
         F.when(F.col("o_orderpriority") == "1-URGENT", F.array(item)).otherwise(empty).alias("items"))
@@ -188,7 +222,7 @@ select cast(o_custkey as varchar) as venue_id, 200 as status,
   case when o_orderpriority = '1-URGENT'
        then 'https://img.example/' || cast(o_orderkey as varchar) || '/original.jpg' end as first_url
 from (select *, row_number() over (partition by o_custkey order by o_orderkey) as rn from orders)
-where rn = 1
+where rn = 1 and o_orderpriority <> '5-LOW'
 """
 
 

@@ -15,11 +15,15 @@ SWEEP_SW, SWEEP_NE, SWEEP_CAP = (-1.0, -1.0), (1.0, 1.0), 3
 BOX_SW, BOX_NE = (0.0, 0.0), (0.1, 0.1)
 BOX_CATEGORY = "2"
 CENTER, RADIUS_M, RADIUS_QUERY = (0.0, 0.0), 10_000.0, "vec3"
+SEARCH_LIMIT = 20
 SLICE_N, TAIL_FROM = 300, 14_000
 VENUE_KEYS = ["cat1", "cat2", "cat3"]
 RETAIL_KEYWORDS = ["#0000001", "nation_1"]
 MAP_KEYWORDS = ["", "nation_1"]
 RETAIL_NAME_MAP = {"NATION_1": "n1", "NATION_2": "n2", "de NATION": "otra"}
 RETAIL_CATEGORY, RETAIL_KIND = "comercioPorMenor", "unidadEconomica"
-LEGEND_N = 35
-VENUE_TOP_N = 25
+LEGEND_N = 10
+VENUE_TOP_N = 2
+VENUE_KEYWORDS = ["in"]
+COLORED_N = 2
+BATCH_BUCKETS, BATCH_ENTITIES = 16, 50

@@ -13,7 +13,7 @@ from poicraft.operators import audit, categories as cat, dedup, enrich, index, s
 from poicraft.plans import bindings as B
 from poicraft.plans import sqlfrag as S
 from poicraft.plans.params import (ADDRESS_KEYWORDS, ANY_KEYWORDS, BLANK_STREET_KEYWORDS,
-                                   BRANDS, NAME_MAP, SLICE_N, STREET_KEYWORDS, TAIL_FROM, TOP_N)
+                                   BRANDS, COLORED_N, NAME_MAP, SLICE_N, STREET_KEYWORDS, TAIL_FROM, TOP_N)
 from poicraft.plans.registry import comparable, query
 
 t = B.table
@@ -76,12 +76,12 @@ def q_category_filter(spark, d):
 
 
 @query("clean_categories", f"""
-select id, cat_name[1] as category from {VEN}
+select id, cat_name[1] as category from ({B.KEPT_VEN_SQL})
 where len(cat_name) > 0 and coalesce("primary"[1], false)
 """)
 def q_clean_categories(spark, d):
     # only the columns the result needs enter the dedup (whole rows would drag the text along)
-    venues = B.venues(spark, d).select("id", "cat_name", "primary")
+    venues = B.repeated_venues(spark, d).select("id", "cat_name", "primary", "name")
     return cat.clean_categories(venues).select("id", "category")
 
 
@@ -192,14 +192,14 @@ def q_abbreviate_legend(spark, d):
 
 @query("group_by_categories_colored", f"""
 with f as (select * from part where p_brand in ({_BRANDS_IN})),
-top as (select category from ({top_n_sql("select p_brand as category, count(*) as n from f group by p_brand", TOP_N)})
+top as (select category from ({top_n_sql("select p_brand as category, count(*) as n from f group by p_brand", COLORED_N)})
         where category <> 'Other')
 select p_partkey, p_brand,
   case when p_brand in (select category from top) then {S.color('p_brand')} else '#A4A4A4' end as color_cat
 from f
 """)
 def q_group_by_categories_colored(spark, d):
-    rows, _ = cat.group_by_categories_colored(t(spark, d, "part"), TOP_N, BRANDS, "p_brand")
+    rows, _ = cat.group_by_categories_colored(t(spark, d, "part"), COLORED_N, BRANDS, "p_brand")
     return rows.select("p_partkey", "p_brand", "color_cat")
 
 

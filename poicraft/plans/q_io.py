@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from poicraft.functions import street_entity_pred
 from poicraft.operators import audit, categories as cat, dedup, enrich
 from poicraft.operators import entities as E
-from poicraft.operators.entities import response_entities
+from poicraft.operators.entities import explode_venues, response_entities
 from poicraft.plans import bindings as B
 from poicraft.plans import sqlfrag as S
 from poicraft.plans.params import AS_OF, MAP_KEYWORDS, TOP_N
 from poicraft.plans.q_core import EST_CAT, abbreviate_sql, est_categories, legend_sql, top_n_sql
-from poicraft.plans.q_places import EST_FEATURES_SQL, establishment_features_frame
+from poicraft.plans.q_places import (EST_FEATURES_SQL, _response_sql, establishment_features_frame,
+                                     flat_response)
 from poicraft.plans.registry import comparable, query
 from poicraft.session import scratch_path
 from poicraft.sinks import writers as W
@@ -69,15 +70,38 @@ def q_write_collection(spark, sf):
     return comparable(R.load_collection(spark, path))
 
 
-@query("write_raw_json", f"select id, name from ({B.VEN_SQL})")
+def _body(venue):
+    """A venue document read back, value by value."""
+    loc, cats = venue["location"], venue["categories"]
+    return [venue["id"].alias("id"), venue["name"].alias("name"), loc["country"].alias("country"),
+            loc["state"].alias("state"), loc["city"].alias("city"), F.to_json(loc["formattedAddress"]).alias("address"),
+            loc["postalCode"].alias("postal_code"), loc["lng"].alias("lng"), loc["lat"].alias("lat"),
+            F.to_json(cats["name"]).alias("cat_name"), F.to_json(cats["id"]).alias("cat_id"),
+            F.to_json(cats["primary"]).alias("primary")]
+
+
+BODY_SQL = f"""
+select id, name, country, state, city, to_json(formattedAddress) as address, postalCode as postal_code, lng, lat,
+  to_json(cat_name) as cat_name, to_json(cat_id) as cat_id, to_json("primary") as "primary" from ({B.VEN_SQL})
+"""
+
+
+@query("write_raw_json", BODY_SQL)
 def q_write_raw_json(spark, sf):
     path = W.write_raw_json(B.responses(spark, sf), scratch_path(spark, "raw"))
     back = spark.read.schema(R.RESPONSE_SCHEMA).json(path)
-    return R.flatten_venues(back).select("id", "name")
+    return explode_venues(back).select(*_body(F.col("v")))
+
+
+_MAPPED_SQL = _response_sql(f", {S.lit(E.NO_URL)} as url")
+_MAPPED = "address_country, address_locality, category, date_created, description, url, types"
+_RAW = "country, state, city, address, postal_code, cat_name, cat_id, \"primary\""
 
 
 @query("write_dual", f"""
-select 'raw' as kind, id from ({B.VEN_SQL}) union all select 'mapped', {S.lit(E.VENUE_ID_PREFIX)} || id from ({B.VEN_SQL})
+select 'raw' as kind, id, name, lng, lat, concat_ws(chr(10), {_RAW}) as body from ({BODY_SQL})
+union all
+select 'mapped', id, name, lng, lat, concat_ws(chr(10), {_MAPPED}) from ({_MAPPED_SQL})
 """)
 def q_write_dual(spark, sf):
     raw = B.responses(spark, sf)
@@ -85,8 +109,14 @@ def q_write_dual(spark, sf):
     paths = W.write_dual(raw, mapped, scratch_path(spark, "dual"), "run-0001")
     r = spark.read.schema(R.RESPONSE_SCHEMA).json(paths["raw"])
     m = spark.read.schema(mapped.schema).json(paths["mapped"])
-    return (R.flatten_venues(r).select(F.lit("raw").alias("kind"), "id")
-            .unionByName(m.select(F.lit("mapped").alias("kind"), F.col("entity.id").alias("id"))))
+    r = explode_venues(r).select(*_body(F.col("v")))
+    m = m.select(*flat_response(F.col("entity"), False))
+
+    def row(df, kind, columns):
+        body = F.concat_ws("\n", *[c.strip(' "') for c in columns.split(",")])
+        return df.select(F.lit(kind).alias("kind"), "id", "name", "lng", "lat", body.alias("body"))
+
+    return row(r, "raw", _RAW).unionByName(row(m, "mapped", _MAPPED))
 
 
 @query("write_geojson", f"select feature as value from ({EST_FEATURES_SQL})")
@@ -141,20 +171,21 @@ def q_build_catalog(spark, sf):
 def q_union_parts(spark, sf):
     est = B.establishments(spark, sf)
     trade = F.col("raz_social").isin("BUILDING", "AUTOMOBILE")
-    a = _csv_roundtrip(spark, est.filter(trade), "part-a")
+    # the parts differ in the order of their columns and in the columns we don't keep
+    a = _csv_roundtrip(spark, est.filter(trade).select(F.lit("x").alias("clee"), *reversed(est.columns)), "part-a")
     b = _csv_roundtrip(spark, est.filter(~trade), "part-b")
     return R.union_parts(spark, [a, b])
 
 
 @query("stage_audit", f"""
-select cast(0 as bigint) as seq, 'loaded' as stage, count(*) as n from ({B.EST_SQL})
+select cast(0 as bigint) as seq, 'loaded' as stage, count(*) as n from ({B.REPEATED_EST_SQL})
 union all select 1, 'deduplicated', count(distinct id) from ({B.EST_SQL})
 union all select 2, 'address filter', count(distinct id) from ({B.EST_SQL})
 union all select 3, 'catalogue match', count(distinct id) from ({B.EST_SQL})
 """)
 def q_stage_audit(spark, sf):
     a = audit.StageAudit()
-    df = a.mark(B.establishments(spark, sf), "loaded")
+    df = a.mark(B.repeated_establishments(spark, sf), "loaded")
     df = a.mark(dedup.dedupe_by_key(df, ["id"]), "deduplicated")
     df = a.mark(df.filter(street_entity_pred("nom_vial", "entidad", MAP_KEYWORDS, "reference")),
                 "address filter")

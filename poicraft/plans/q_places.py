@@ -13,9 +13,9 @@ from poicraft.operators import features as FT
 from poicraft.plans import bindings as B
 from poicraft.plans import sqlfrag as S
 from poicraft.plans.params import (AS_OF, AS_OF_TEXT, BOX_CATEGORY, BOX_NE, BOX_SW, CENTER,
-                                   LEGEND_N, MESH_RESUME, MESH_X, MESH_Y, RADIUS_M, RADIUS_QUERY,
+                                   LEGEND_N, MESH_RESUME, MESH_X, MESH_Y, RADIUS_M, RADIUS_QUERY, SEARCH_LIMIT,
                                    RETAIL_CATEGORY, RETAIL_KIND, SWEEP_CAP, SWEEP_NE, SWEEP_SW,
-                                   VENUE_KEYS)
+                                   VENUE_KEYS, BATCH_BUCKETS, BATCH_ENTITIES)
 from poicraft.plans.q_core import EST_CAT, reduce_sql, est_categories, top_n_sql
 from poicraft.plans.registry import query
 from poicraft.sources.readers import find_by_array_value
@@ -64,6 +64,29 @@ def q_radius_query_search(spark, sf):
         .select("id", "name")
 
 
+_FAR_SIDE = f"(select id, name, cat_id, lat, case when lng > 0 then lng - 180 else lng + 180 end as lng from {PTS})"
+
+
+def _far_side(spark, sf):
+    """The points moved half way round, so they lie about the ±180° meridian."""
+    lng = F.col("lng")
+    return B.points(spark, sf).withColumn("lng", F.when(lng > 0, lng - 180).otherwise(lng + 180))
+
+
+@query("radius_search_antimeridian", f"""
+select id, lng from {_FAR_SIDE} where {S.haversine(0.0, 179.95, 'lat', 'lng')} <= {d(RADIUS_M)} order by id limit {SEARCH_LIMIT}
+""")
+def q_radius_search_antimeridian(spark, sf):
+    return spatial.radius_search(_far_side(spark, sf), (0.0, 179.95), RADIUS_M, limit=SEARCH_LIMIT).select("id", "lng")
+
+
+@query("bbox_search_antimeridian", f"""
+select id, name from {_FAR_SIDE} where lat >= -0.1 and lat < 0.1 and (lng >= 179.9 or lng < -179.9)
+""")
+def q_bbox_search_antimeridian(spark, sf):
+    return spatial.bbox_search(_far_side(spark, sf), (-0.1, 179.9), (0.1, -179.9)).select("id", "name")
+
+
 # ---------------------------------------------------------------- S11, O4, R5
 
 
@@ -88,7 +111,7 @@ def q_mesh_grid(spark, sf):
     return _grid(spark, sf)
 
 
-@query("mesh_resume", f"select * from ({MESH_SQL}) where cell_id >= {MESH_RESUME}")
+@query("mesh_resume", f"select * from ({MESH_SQL}) where cell_id + 1 >= {MESH_RESUME}")
 def q_mesh_resume(spark, sf):
     return mesh.mesh_resume(_grid(spark, sf), MESH_RESUME)
 
@@ -145,7 +168,7 @@ def q_find_by_array_value(spark, sf):
 
 
 def venue_entities_frame(spark, sf):
-    v = cat.clean_categories(B.venues(spark, sf))
+    v = cat.clean_categories(B.repeated_venues(spark, sf))
     v = cat.filter_categories_colored(v, VENUE_KEYS, apply_filter=False)
     return v.select(ent.venue_entity(AS_OF).alias("entity"))
 
@@ -159,10 +182,10 @@ def flat_entity(e):
             F.to_json(val("category")).alias("category"),
             val("dateCreated").alias("date_created"), val("description").alias("description"),
             F.get(coords, F.lit(0)).alias("lng"), F.get(coords, F.lit(1)).alias("lat"),
-            val("name").alias("name"), val("url").alias("url")]
+            val("name").alias("name"), val("url").alias("url"), venue_types(e)]
 
 
-CLEAN_VEN = f"""(select *, cat_name[1] as category from {VEN}
+CLEAN_VEN = f"""(select *, cat_name[1] as category from ({B.KEPT_VEN_SQL})
   where len(cat_name) > 0 and coalesce("primary"[1], false))"""
 
 
@@ -172,11 +195,21 @@ select {S.lit(E.VENUE_ID_PREFIX)} || {S.text('id')} as id, {S.lit(E.POINT_OF_INT
   to_json(list_transform(formattedAddress, lambda x: {S.clean('x')})) as address_locality,
   to_json([{S.lit(E.CATEGORY_LEVEL)}, {S.clean('category')}, {S.color_for_keys('category', VENUE_KEYS)}]) as category,
   '{AS_OF_TEXT}' as date_created, {S.clean('category')} as description, lng, lat,
-  {S.clean('name')} as name, {S.lit(E.NO_URL)} as url
+  {S.clean('name')} as name, {S.lit(E.NO_URL)} as url, {S.lit(VENUE_TYPES)} as types
 from {src}
 """
 
 
+VENUE_TYPES = "|".join([E.STRUCTURED_VALUE, E.TEXT, E.DATE_TIME, E.TEXT, E.GEO_JSON, E.POINT, E.TEXT, E.TEXT])
+
+
+def venue_types(e):
+    """The type labels of an entity's attributes."""
+    names = ("address", "category", "dateCreated", "description", "location")
+    return F.concat_ws("|", *[e[n]["type"] for n in names], e["location"]["value"]["type"],
+                       e["name"]["type"], e["url"]["type"]).alias("types")
+
+
 @query("venue_entities", _venue_entity_sql(CLEAN_VEN))
 def q_venue_entities(spark, sf):
     return venue_entities_frame(spark, sf).select(*flat_entity(F.col("entity")))
@@ -212,7 +245,7 @@ def _response_sql(extra_cols: str = "", join: str = "") -> str:
     return f"""
 select {S.lit(E.VENUE_ID_PREFIX)} || {S.text('v.id')} as id, {S.lit(E.POINT_OF_INTEREST)} as type, {S.clean('state')} as address_country,
   {S.clean('city')} as address_locality, to_json([{S.lit(E.CATEGORY_LEVEL)}, {aux}]) as category,
-  '{AS_OF_TEXT}' as date_created, {aux} as description, lng, lat, {S.clean('name')} as name{extra_cols}
+  '{AS_OF_TEXT}' as date_created, {aux} as description, lng, lat, {S.clean('name')} as name, {S.lit(VENUE_TYPES)} as types{extra_cols}
 from {VEN} v {join}
 """
 
@@ -225,7 +258,8 @@ def flat_response(e, with_photo: bool):
             val("address")["addressLocality"].alias("address_locality"),
             F.to_json(val("category")).alias("category"), val("dateCreated").alias("date_created"),
             val("description").alias("description"), F.get(coords, F.lit(0)).alias("lng"),
-            F.get(coords, F.lit(1)).alias("lat"), val("name").alias("name"), val("url").alias("url")]
+            F.get(coords, F.lit(1)).alias("lat"), val("name").alias("name"), val("url").alias("url"),
+            venue_types(e)]
     if with_photo:
         cols.append(val("photo_url").alias("photo_status"))
     return cols
@@ -313,14 +347,15 @@ def q_entity_payloads(spark, sf):
 
 
 @query("entity_batches", f"""
-with i as (select (row_number() over (order by k) - 1) // {ent.BATCH_SIZE} as b, k, entity
-           from ({EST_ENTITIES_SQL}))
-select cast(b as bigint) as batch_id, count(*) as n,
+with i as (select k % {BATCH_BUCKETS} as bucket, (row_number() over (partition by k % {BATCH_BUCKETS} order by k) - 1) // {BATCH_ENTITIES} as b,
+             k, entity from ({EST_ENTITIES_SQL}))
+select cast(bucket as bigint) as bucket, cast(b as bigint) as batch_id, count(*) as n,
   to_json({{'actionType': {S.lit(E.APPEND)}, 'entities': list(entity order by k)}}) as payload
-from i group by b
+from i group by bucket, b
 """)
 def q_entity_batches(spark, sf):
-    return ent.entity_batches(establishment_entities_frame(spark, sf), ["_key"])
+    return ent.entity_batches(establishment_entities_frame(spark, sf), ["_key"], BATCH_ENTITIES,
+                              bucket=F.pmod("_key", F.lit(BATCH_BUCKETS)))
 
 
 # ---------------------------------------------------------------- M5

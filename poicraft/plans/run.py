@@ -20,13 +20,14 @@ import argparse
 import datetime as dt
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from poicraft.functions.names import CATEGORY_SHORT_NAMES
 from poicraft.operators.audit import StageAudit
 from poicraft.operators import entities as ent, mesh
 from poicraft.operators.index import take_slice
 from poicraft.plans import flows
-from poicraft.session import checkpoint_dir
+from poicraft.session import checkpoint_dir, stored
 from poicraft.sinks import writers as W
 from poicraft.sources import readers as R
 
@@ -35,11 +36,16 @@ def _now() -> str:
     return dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
 
 
+def _venues(spark, a):
+    return R.load_venues(spark, a.venues, a.format, **dict(o.split("=", 1) for o in a.option))
+
+
 def run_retail(spark, a) -> None:
     """Entities of the matching establishments, their category counts and batches."""
     out = flows.retail_entities_flow(R.load_establishments(spark, a.establishments),
                                      R.load_catalog_raw(spark, a.catalog), a.keywords,
-                                     CATEGORY_SHORT_NAMES, a.category, a.kind, audit=a.stage_audit)
+                                     CATEGORY_SHORT_NAMES, a.category, a.kind, audit=a.stage_audit,
+                                     store=lambda df: stored(df, "retail"))
     W.write_counts(out["counts"], f"{a.out}/counts")
     W.write_raw_json(ent.entity_payloads(out["entities"]), f"{a.out}/entities")
     W.write_raw_json(ent.entity_batches(out["entities"], ["_key"]), f"{a.out}/batches")
@@ -52,14 +58,15 @@ def run_map(spark, a) -> None:
     """Coloured GeoJSON features and the abbreviated legend."""
     out = flows.colored_map_flow(R.load_establishments(spark, a.establishments),
                                  R.load_catalog_raw(spark, a.catalog), a.keywords, a.top,
-                                 audit=a.stage_audit)
+                                 audit=a.stage_audit, any_keywords=a.any_keywords, any_columns=a.any_columns,
+                                 keys=a.categories, store=lambda df: stored(df, "map"))
     W.write_geojson(out["features"], a.out, name="features")
     W.write_legend(out["legend"], a.out, name="legend")
 
 
 def run_venues(spark, a) -> None:
     """Venue points of the top categories, with their legend."""
-    out = flows.venue_map_flow(R.load_venues(spark, a.venues, a.format), R.load_postal(spark, a.postal),
+    out = flows.venue_map_flow(_venues(spark, a), R.load_postal(spark, a.postal),
                                a.keywords, a.categories, a.top, a.as_of or _now())
     W.write_geojson(out["points"], a.out, name="points")
     W.write_legend(out["legend"], a.out, name="legend")
@@ -67,24 +74,31 @@ def run_venues(spark, a) -> None:
 
 def run_categories(spark, a) -> None:
     """Entities of venues in the listed categories."""
-    ents = flows.venue_categories_flow(R.load_venues(spark, a.venues, a.format),
+    ents = flows.venue_categories_flow(_venues(spark, a),
                                        R.load_postal(spark, a.postal), a.categories, a.as_of or _now())
     W.write_raw_json(ents, f"{a.out}/entities")
 
 
 def run_shares(spark, a) -> None:
     """E5: the cleaned collection and category shares per municipality."""
-    shares = flows.clean_collection_flow(spark, R.load_venues(spark, a.venues, a.format),
-                                         R.load_postal(spark, a.postal), a.categories,
+    shares = flows.clean_collection_flow(spark, _venues(spark, a), R.load_postal(spark, a.postal), a.categories,
                                          f"{a.out}/collection")
     W.write_raw_json(shares, f"{a.out}/shares")
 
 
 def run_mesh(spark, a) -> None:
-    """The collection mesh and every cell's first venues."""
-    venues = R.load_venues(spark, a.venues, a.format)
+    """The collection mesh and, whole, every cell's first venues, from the resumed cell on.
+
+    Venues in JSON files keep their lines as they are; other formats keep the venue columns.
+    """
     W.write_raw_json(mesh.mesh_resume(mesh.mesh_grid(spark), a.resume), f"{a.out}/cells")
-    W.write_raw_json(mesh.mesh_sweep(venues, cap=a.cap).select("id", "cell_id", "rank"), f"{a.out}/sweep")
+    venues = R.load_venue_lines(spark, a.venues) if a.format == "json" else _venues(spark, a)
+    found = stored(mesh.mesh_resume(mesh.mesh_sweep(venues, cap=a.cap), a.resume), "mesh")
+    W.write_raw_json(found.select("id", "cell_id", "rank"), f"{a.out}/sweep")
+    if a.format == "json":
+        found.select(F.col("doc").alias("value")).write.mode("overwrite").text(f"{a.out}/venues")
+    else:
+        W.write_collection(found.select(*venues.columns), f"{a.out}/venues")
 
 
 COMMANDS = {"retail": run_retail, "map": run_map, "venues": run_venues,
@@ -95,10 +109,14 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="poicraft.plans.run", description=__doc__,
                                 formatter_class=argparse.RawDescriptionHelpFormatter)
     p.add_argument("pipeline", choices=sorted(COMMANDS))
-    p.add_argument("--establishments"), p.add_argument("--catalog"), p.add_argument("--venues")
+    p.add_argument("--establishments", nargs="+"), p.add_argument("--catalog"), p.add_argument("--venues")
     p.add_argument("--postal"), p.add_argument("--out", required=True)
     p.add_argument("--format", default="json", help="venue source format (json, parquet, a connector)")
+    p.add_argument("--option", action="append", default=[], metavar="KEY=VALUE",
+                   help="option of the venue source, e.g. a connector's database and collection")
     p.add_argument("--keywords", nargs="*", default=[""])
+    p.add_argument("--any-keywords", nargs="*", default=[], help="map: keep rows with any of these (F3)")
+    p.add_argument("--any-columns", nargs="*", default=["raz_social", "nombre_act"])
     p.add_argument("--categories", nargs="*", default=[])
     p.add_argument("--top", type=int, default=25)
     p.add_argument("--cap", type=int, default=mesh.CELL_CAP)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from poicraft.operators import categories as cat, dedup, enrich, entities as ent, index, mesh, shares
+from poicraft.operators import categories as cat, dedup, enrich, entities as ent, index, mesh, shares, spatial
 
 
 def test_t5_dedup_deterministic_and_null_keys(spark):
@@ -82,8 +82,19 @@ def test_row_index_and_batches(spark):
     got = sorted((r.k, r.idx) for r in idx.collect())
     assert got == [(3 * i, i) for i in range(1003)]
     ents = df.select(F.col("k").alias("_key"), F.struct(F.col("k").alias("id")).alias("entity"))
-    b = {r.batch_id: r.n for r in ent.entity_batches(ents, ["_key"], size=400).collect()}
+    one = F.lit(0)
+    b = {r.batch_id: r.n for r in ent.entity_batches(ents, ["_key"], size=400, bucket=one).collect()}
     assert b == {0: 400, 1: 400, 2: 203}
+    many = ent.entity_batches(ents, ["_key"], size=40, buckets=5).collect()
+    assert sum(r.n for r in many) == 1003 and max(r.n for r in many) == 40 and len({r.bucket for r in many}) == 5
+    plan = ent.entity_batches(ents, ["_key"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan
+
+
+def test_row_index_of_equal_rows_and_nulls(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (2, None), (1, "c")], "k int, v string")
+    got = sorted((r.idx, r.k, r.v) for r in index.row_index(df, ["k"]).collect())
+    assert [i for i, _, _ in got] == [0, 1, 2, 3, 4] and [k for _, k, _ in got] == [None, 1, 1, 1, 2]
 
 
 def test_category_share(spark):
@@ -98,7 +109,7 @@ def test_category_share(spark):
 
 def test_mesh_grid_and_sweep(spark):
     g = mesh.mesh_grid(spark)
-    assert g.count() == 4200 and mesh.mesh_resume(g).count() == 1056
+    assert g.count() == 4200 and mesh.mesh_resume(g).count() == 1057
     first = g.filter("cell_id = 61").first()
     assert (first.i, first.j, first.key) == (1, 1, "1-1")
     pts = spark.createDataFrame([(i, 0.05, 0.05) for i in range(10)] + [(99, 1.0, 1.0), (98, 2.0, 0.0)],
@@ -122,12 +133,13 @@ def test_row_index_spreads_a_repeated_key(spark):
     assert len(spread) > 1 and max(r["count"] for r in spread) < 3000
 
 
-def test_salted_left_join_equals_plain_join(spark):
-    from poicraft.operators.joins import salted_left_join
+def test_salted_lookup_join_equals_plain_join(spark):
+    from poicraft.operators.joins import lookup_join
     facts = spark.range(0, 5000, 1, 4).select(
         F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 50).alias("code"))
     dim = spark.range(0, 40).select(F.col("id").alias("k"), F.concat(F.lit("n"), F.col("id")).alias("name"))
-    salted = salted_left_join(facts, dim, F.col("code"), "k", salts=8, hot_rows=100)
+    facts = facts.withColumn("code", F.when(F.col("id") % 5 != 0, F.col("code")))
+    salted = lookup_join(facts, dim, F.col("code"), "k", broadcast_bytes=-1, salts=8)
     plain = facts.join(dim, F.col("code") == F.col("k"), "left")
     rows = lambda d: sorted((r.id, r.code, r.k, r.name) for r in d.select("id", "code", "k", "name").collect())
     assert rows(salted) == rows(plain) and salted.count() == 5000
@@ -136,7 +148,7 @@ def test_salted_left_join_equals_plain_join(spark):
 def test_catalog_match_without_broadcast_matches(spark):
     est = spark.createDataFrame([(str(i), str(i % 3)) for i in range(300)], "id string, codigo_act string")
     catalog = spark.createDataFrame([("0", "a"), ("1", "b"), ("00", "dup")], "id_act string, actividad string")
-    big = enrich.catalog_match(est, catalog, max_broadcast_rows=0, hot_rows=10)
+    big = enrich.catalog_match(est, catalog, broadcast_bytes=-1)
     small = enrich.catalog_match(est, catalog)
     assert sorted(map(tuple, big.collect())) == sorted(map(tuple, small.collect()))
 
@@ -158,3 +170,72 @@ def test_category_filter_with_key_table(spark):
     assert sorted(r.id for r in cat.category_filter(df, keys).collect()) == want
     assert sorted(r.id for r in cat.category_filter(df, keys, bound=3).collect()) == want
     assert cat.category_filter(df, keys).columns == ["id", "category"]
+
+
+def test_lookup_joins_start_no_job(spark):
+    est = spark.createDataFrame([("1", "S/N"), ("2", "5")], "id string, codigo_act string")
+    catalog = spark.createDataFrame([("5", "x")], "id_act string, actividad string")
+    sc = spark.sparkContext
+    sc.setJobGroup("lookup-build", "")
+    for bound in (-1, 1 << 62):
+        enrich.catalog_match(est, catalog, broadcast_bytes=bound)
+    jobs = sc.statusTracker().getJobIdsForGroup("lookup-build")
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) == 0
+
+
+def test_missing_codes_are_spread(spark):
+    est = spark.range(0, 8000, 1, 16).select(
+        F.col("id").cast("string").alias("id"), F.when(F.col("id") % 2 == 0, "S/N").otherwise(F.col("id").cast("string")).alias("codigo_act"))
+    catalog = spark.range(8000).select(F.col("id").cast("string").alias("id_act"), F.lit("a").alias("actividad"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = enrich.catalog_match(est, catalog, broadcast_bytes=-1)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(sizes) == 8000 and max(sizes) < 2 * 8000 / 8
+
+
+def test_photo_enrich_keeps_one_row_per_venue(spark):
+    from poicraft.sources.readers import PHOTO_SCHEMA
+    venues = spark.createDataFrame([("a",), ("b",)], "id string")
+    photos = spark.createDataFrame([("a", 200, []), ("a", 200, [("p/", "/s", ("u1",))]), ("b", 404, None)], PHOTO_SCHEMA)
+    out = sorted((r.id, r.url) for r in enrich.photo_enrich(venues, photos).collect())
+    assert out == [("a", "p/u1/s"), ("b", "__")]
+
+
+def test_dedupe_with_a_map_column(spark):
+    df = spark.createDataFrame([(1, "b", {"x": 1}), (1, "a", {"x": 2}), (2, "c", None)], "k int, v string, m map<string,int>")
+    got = sorted((r.k, r.v, r.m) for r in dedup.dedupe_by_key(df, ["k"]).collect())
+    assert got == [(1, "a", {"x": 2}), (2, "c", None)]
+
+
+def test_dedupe_order_holds_for_fewer_columns(spark):
+    df = spark.createDataFrame([(1, "z", "a"), (1, "y", "b"), (2, "x", "c")], "k int, v string, w string")
+    whole = {r.k: r.w for r in dedup.dedupe_by_key(df, ["k"], ["w"]).collect()}
+    few = {r.k: r.w for r in dedup.dedupe_by_key(df.select("k", "w"), ["k"], ["w"]).collect()}
+    assert whole == few == {1: "a", 2: "c"}
+
+
+def test_searches_across_the_antimeridian(spark):
+    pts = spark.createDataFrame([(1, 0.0, -179.95), (2, 0.0, 179.99), (3, 0.0, 0.0), (4, 0.0, 178.0), (5, 0.0, -178.0)],
+                                "id int, lat double, lng double")
+    ids = lambda df: sorted(r.id for r in df.collect())
+    assert ids(spatial.radius_search(pts, (0.0, 179.99), 20_000.0)) == [1, 2]
+    assert ids(spatial.radius_search(pts, (0.0, -179.99), 20_000.0)) == [1, 2]
+    assert ids(spatial.bbox_search(pts, (-1.0, 179.0), (1.0, -179.0))) == [1, 2]
+    assert ids(spatial.bbox_search(pts, (-1.0, -1.0), (1.0, 1.0))) == [3]
+
+
+def test_legend_label_collision(spark):
+    from poicraft.sinks.writers import legend_object
+    lg = spark.createDataFrame([(1, "None[4]", "#1"), (2, "None[4]", "#2")], "rank bigint, label string, color string")
+    assert legend_object(lg).first().legend == '{"None[4]":"#2"}'
+
+
+def test_category_share_puts_null_last(spark):
+    df = spark.createDataFrame([("m", None), ("m", "a")], "municipio string, category string")
+    assert {r.category: r.idx for r in shares.category_share(df).collect()} == {"a": 0, None: 1}

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from poicraft.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
@@ -30,7 +31,7 @@ def norm(v):
     return ("v", str(int(v)) if isinstance(v, bool) else str(v))
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     cols = df.columns
@@ -49,3 +50,34 @@ def test_query_matches_oracle(spark, con, name):
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0 and df.columns == ["rank", "label", "color"]
+
+
+def rows(spark, name):
+    return QUERIES[name](spark, SF).collect()
+
+
+def test_branches_of_the_bindings_occur(spark):
+    """The bound tables reach the branches that the queries are there to compare."""
+    from poicraft.operators.dedup import dedupe_by_key
+    from poicraft.plans import bindings as B
+    assert B.repeated_establishments(spark, SF).count() == 2 * B.establishments(spark, SF).count()
+    kept = dedupe_by_key(B.repeated_establishments(spark, SF), ["id"], ["codigo_act", "nom_vial", "entidad"])
+    assert any(r.nom_vial.endswith(" bis") for r in kept.collect())
+    urls = {r.url for r in rows(spark, "photo_enrich")}
+    assert {"_", "__"} < urls
+    for name in ("pipe_colored_map", "establishment_features"):
+        assert any("#A4A4A4" in r.feature for r in rows(spark, name)), name
+    assert any(r.color_cat == "#A4A4A4" for r in rows(spark, "group_by_categories_colored"))
+    assert max(len(r.response.venues) for r in B.responses(spark, SF).collect()) == 3
+    legend = rows(spark, "flagship_legend")
+    assert any(r.label.startswith("Other[") and not r.label.startswith("Other[0]") for r in legend)
+
+
+def test_venue_map_filters_act(spark):
+    from poicraft.operators import categories as cat, enrich
+    from poicraft.functions import address_keyword_pred
+    from poicraft.plans import bindings as B
+    from poicraft.plans.params import VENUE_KEYWORDS
+    v = enrich.postal_enrich(cat.clean_categories(B.repeated_venues(spark, SF)), B.postal_catalog(spark, SF))
+    guard, word = (v.filter(address_keyword_pred("formattedAddress", "postalCode", k)).count() for k in ([""], VENUE_KEYWORDS))
+    assert v.count() > guard > word > 0

@@ -3,19 +3,30 @@
 import pytest
 
 import __spark_entry__ as E
+from poicraft.plans.evidence import physical_plan as plan, written_plans
+from poicraft.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
 
-def plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_no_python_evaluation_and_no_pair_joins(spark, name):
+    with written_plans() as plans:
+        plans.append(plan(QUERIES[name](spark, SF)))
+    for p in plans:
+        assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
+        assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
-def test_no_python_evaluation_and_no_pair_joins(spark, name):
-    p = plan(E.queries()[name](spark, SF))
-    assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
-    assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
+def test_written_frames_are_seen(spark):
+    with written_plans() as plans:
+        QUERIES["pipe_clean_collection"](spark, SF)
+    assert any("Join" in p for p in plans)
+
+
+def test_legend_branch_shuffles_only_its_columns(spark):
+    text = plan(QUERIES["flagship_legend"](spark, SF))
+    assert "codigo_act" in text and "numero_ext" not in text and "fecha_alta" not in text
 
 
 def test_dimension_joins_broadcast(spark):

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from poicraft.operators import entities as ent
@@ -25,7 +27,7 @@ def test_stream_matches_batch(spark):
     q.awaitTermination(300)
     got = sorted(r.payload for r in spark.read.json(out).collect())
     # a catalogue beyond the broadcast bound: plain stream-static join, same result
-    big = entity_payload_stream(spark, src, catalog, kw, "c", "k", max_broadcast_rows=0)
+    big = entity_payload_stream(spark, src, catalog, kw, "c", "k", broadcast_bytes=-1)
     out_big = scratch_path(spark, "stream-out-big")
     start_json_sink(big, out_big, scratch_path(spark, "stream-ckpt-big")).awaitTermination(300)
     assert sorted(r.payload for r in spark.read.json(out_big).collect()) == got
@@ -82,16 +84,20 @@ def test_json_name_and_points_skip_missing_coordinates(spark):
     assert pts[0].feature.properties.category == "Bar"
 
 
-def test_stream_dedupe_keeps_one_row_per_id(spark):
-    est = B.establishments(spark, SF)
-    src = scratch_path(spark, "stream-dup")
-    est.unionByName(est).repartition(2).write.option("header", True).csv(src)
-    stream = entity_payload_stream(spark, src, B.activity_catalog(spark, SF), ["", ""], "c", "k",
-                                   dedupe=True)
-    out = scratch_path(spark, "stream-dup-out")
-    start_json_sink(stream, out, scratch_path(spark, "stream-dup-ckpt")).awaitTermination(300)
-    ids = [r.id for r in spark.read.json(out).collect()]
-    assert len(ids) == len(set(ids)) == est.count()
+def test_stream_with_other_columns(spark):
+    est = B.establishments(spark, SF).withColumn("clee", F.lit("x"))
+    est = est.select(*reversed(est.columns))
+    src = scratch_path(spark, "stream-cols")
+    est.repartition(2).write.option("header", True).csv(src)
+    catalog = B.activity_catalog(spark, SF)
+    stream = entity_payload_stream(spark, src, catalog, ["", ""], "c", "k", columns=est.columns)
+    out = scratch_path(spark, "stream-cols-out")
+    start_json_sink(stream, out, scratch_path(spark, "stream-cols-ckpt")).awaitTermination(300)
+    assert spark.read.json(out).count() == est.count()
+    wrong = entity_payload_stream(spark, src, catalog, ["", ""], "c", "k")
+    with pytest.raises(StreamingQueryException):
+        start_json_sink(wrong, scratch_path(spark, "stream-bad-out"),
+                        scratch_path(spark, "stream-bad-ckpt")).awaitTermination(300)
 
 
 def test_counts_file_is_sorted_and_batches_keep_key_order(spark):
@@ -103,6 +109,6 @@ def test_counts_file_is_sorted_and_batches_keep_key_order(spark):
     assert lines == ["c,9", "a,2", "b,2", ",1"]
     ents = spark.range(0, 900, 1, 5).select(F.col("id").alias("_key"),
                                             F.struct(F.col("id").cast("string").alias("id")).alias("entity"))
-    first = ent.entity_batches(ents, ["_key"]).filter("batch_id = 0").first()
+    first = ent.entity_batches(ents, ["_key"], buckets=1).filter("batch_id = 0").first()
     ids = [int(e["id"]) for e in json.loads(first.payload)["entities"]]
     assert ids == list(range(400)) and json.loads(first.payload)["actionType"] == "APPEND"
