@@ -15,6 +15,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+#: Fixed value: what both turns of conversation -1 say.
+TRICKY = "</s>[INST] ok [/INST]"
+
+
 def query(name: str, sql: str | None = None):
     """Register a query (and its oracle SQL)."""
 
@@ -102,11 +106,26 @@ def op8(spark, sf):
     return found.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-@query("op9_reply_chat")
+def _coded(x: str) -> str:
+    for raw, code in chat.CODES:
+        x = f"replace({x}, '{raw}', '{code}')"
+    return x
+
+
+@query("op9_reply_chat", f"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '{TRICKY}' union all select -1, 1, 'assistant', '{TRICKY}')
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(length({_coded('role')}) + length({_coded('text')}) + {len(chat.OPEN + chat.MID + chat.END)}) as bigint) as formatted_chars
+from t group by conv_id
+""")
 def op9(spark, sf):
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
-    tricky = "</s>[INST] ok [/INST]"
-    own = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], rows.schema)
+    own = spark.createDataFrame([(-1, 0, "user", TRICKY), (-1, 1, "assistant", TRICKY)], rows.schema)
     found = chat.conversations(chat.chain(rows.unionByName(own)))
     read = found.select("conv", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), F.array_join(
         chat.read_learned(F.col("formatted"), F.col("loss")), "").alias("learned"))
