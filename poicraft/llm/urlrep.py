@@ -55,20 +55,21 @@ def _strength(groups: DataFrame) -> tuple[float, float]:
     """Overall rate and prior strength from ``n, bad`` per group, by the method of moments.
 
     The spread of the groups' rates beyond that of the binomial gives the
-    variance of the prior, hence its strength in pages.
+    variance of the prior, hence its strength in pages; it is at most that of all
+    labelled pages.
     """
     p = F.col("bad") / F.col("n")
     n, bad, k, squares, moved = groups.filter("n > 0").agg(
         F.sum("n"), F.sum("bad"), F.count("*"), F.sum(F.col("n").cast("double") * F.col("n")),
         F.sum(F.col("bad") * p)).first()
     if not n:
-        return 0.5, STRENGTH[1]
+        return 0.5, STRENGTH[0]
     rate = (bad + 0.5) / (n + 1)
     spread = moved / n - (bad / n) ** 2  # mean of (rate of the group - overall rate) squared, by pages
     left = 1 - squares / (n * n)
     between = (spread - rate * (1 - rate) * (k - 1) / n) / left if left > 0 else 0.0
     strength = rate * (1 - rate) / between - 1 if between > 0 else STRENGTH[1]
-    return rate, min(max(strength, STRENGTH[0]), STRENGTH[1])
+    return rate, min(max(strength, STRENGTH[0]), STRENGTH[1], n + 1.0)
 
 
 def reputation(pages: DataFrame, z: float = Z) -> DataFrame:
