@@ -40,7 +40,41 @@ def remainder(doc_id: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(n))
 
 
-@query("op1_secret_ownership")
+def _lit(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _spans_sql(kind: str, pattern: str, value: str, keep: str = "true") -> str:
+    """Spans of one kind in ``t`` of ``d``: rows ``id, rank, a, b, v`` (start, end, value)."""
+    return f"""
+select id, {secrets.KINDS.index(kind)} as rank, e - length(v) as a, e as b, v from (
+  select id, {value} as v, list_sum(list_transform(gaps[1:i], lambda g: length(g))) + list_sum(list_transform(found[1:i], lambda m: length(m))) as e
+  from (select id, found, gaps, unnest(range(1, len(found) + 1)) as i, unnest(found) as m from (
+    select id, regexp_extract_all(t, {_lit(pattern)}) as found, string_split_regex(t, {_lit(pattern)}) as gaps from d
+    where regexp_matches(t, {_lit(pattern)})))) where {keep}
+"""
+
+
+def _listed_sql(where: str) -> str:
+    names = "[" + ", ".join(map(_lit, secrets.KINDS)) + "]"
+    return f"coalesce(string_agg({names}[rank + 1] || ':' || a || ':' || b, ',' order by a, rank) filter (where {where}), '')"
+
+
+@query("op1_secret_ownership", f"""
+with d as (select row_number() over () as id, doc_id, coalesce(source, '') as owner, coalesce(text, '') as t from documents),
+base as ({_spans_sql('assign', secrets.ASSIGN, f"regexp_extract(m, {_lit(secrets.ASSIGN)}, 2)", f"length(v) >= {secrets.ASSIGN_MIN}")}
+  union all {_spans_sql('access', secrets.ACCESS, 'm')} union all {_spans_sql('hex', secrets.HEX, 'm')}),
+bare as (select * from ({_spans_sql('token', secrets.TOKEN, 'm')}) x
+  where regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Z]') and regexp_matches(v, '[a-z]')
+    and not exists (select 1 from base y where y.id = x.id and y.a < x.b and x.a < y.b)),
+spans as (select * from base union all select * from bare),
+live as (select v from spans join d using (id) group by v having count(distinct owner) <= {secrets.MAX_OWNERS}),
+s as (select *, v in (select v from live) as is_live from spans where rank < 3 or v in (select v from live))
+select doc_id, count(*) filter (where rank = 0) as n_assign, count(*) filter (where rank = 1) as n_access,
+  count(*) filter (where rank = 2) as n_hex, sha256({_listed_sql('rank < 3')}) as base_sha256, {_listed_sql('rank is not null')} as spans,
+  count(*) filter (where is_live) as n_live, count(*) filter (where rank is not null and not is_live) as n_copied
+from d left join s using (id) group by id, doc_id
+""")
 def op1(spark, sf):
     """Documents stand for repositories, sources for owners."""
     found = secrets.secret_scan(table(spark, sf, "documents"))
@@ -90,7 +124,45 @@ def op6(spark, sf):
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-@query("op7_host_reputation")
+def _strength_sql(name: str, groups: str) -> str:
+    """``rate, strength`` of the groups as ``name`` and the sums behind them."""
+    least, most = urlrep.STRENGTH
+    return f"""
+{name}_sums as (select cast(sum(n) as double) as n, cast(sum(bad) as double) as bad, count(*) as k,
+  sum(cast(n as double) * n) as squares, sum(cast(bad as double) * bad / n) as moved from {groups} where n > 0),
+{name}_var as (select *, (bad + 0.5) / (n + 1) as rate, moved / n - (bad / n) ** 2 as spread, 1 - squares / (n * n) as rest from {name}_sums),
+{name}_between as (select *, case when rest > 0 then (spread - rate * (1 - rate) * (k - 1) / n) / rest else 0 end as between_ from {name}_var),
+{name} as (select coalesce(rate, 0.5) as rate, case when n is null then {least} else
+  least(greatest(case when between_ > 0 then rate * (1 - rate) / between_ - 1 else {most} end, {least}), {most}, n + 1) end as strength from {name}_between)"""
+
+
+def _rules_sql(column: str) -> str:
+    whens = []
+    for verdict, host, path in sorted(urlrep.RULES, key=lambda r: -len(r[1] + r[2])):
+        whens.append(f"when (host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '{path}') then "
+                     + (f"'{host + path}'" if column == "rule" else f"'{verdict}'"))
+    return f"case {' '.join(whens)} end"
+
+
+@query("op7_host_reputation", f"""
+with u as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+p as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+o as (select doc_id, max(case when quality = 0 or toxic = 1 then 1 else 0 end) as bad from labels group by doc_id),
+hosts as (select host, string_split(host, '.') as parts, count(bad) as n, coalesce(sum(bad), 0) as bad from p left join o on doc_id = page_id group by host),
+named as (select *, parts[-1] as suffix, array_to_string(parts[-2:], '.') as domain from hosts),
+domains as (select domain, suffix, sum(n) as n, sum(bad) as bad from named group by domain, suffix),
+suffixes as (select suffix, sum(n) as n, sum(bad) as bad from domains group by suffix),
+{_strength_sql('s', 'suffixes')}, {_strength_sql('dm', 'domains')}, {_strength_sql('h', 'hosts')},
+ps as (select suffix, (bad + rate * strength) / (n + strength) as prior from suffixes, s),
+pd as (select domain, (bad + prior * strength) / (n + strength) as prior from domains join ps using (suffix), dm),
+ph as (select host, n, bad, (bad + prior * strength) / (n + strength) as rate, n + strength + 1 as size from named join pd using (domain), h),
+low as (select *, greatest(0, rate - {urlrep.Z} * sqrt(rate * (1 - rate) / size)) as low from ph)
+select page_id, host, path, {_rules_sql('rule')} as rule,
+  coalesce({_rules_sql('verdict')}, case when low > {urlrep.MAX_BAD} then 'block' else 'allow' end) as verdict,
+  cast(n as bigint) as n_labelled, cast(bad as bigint) as n_bad
+from p join low using (host)
+""")
 def op7(spark, sf):
     """The tables have no labels of pages: the outcome of page n is taken from the
     label of document n (bad: low quality or toxic)."""

@@ -8,7 +8,8 @@ a *widely copied* example. Bare tokens become spans only if they are
 owner-specific; base spans always stay, and are counted by class.
 
 Spans are ``[start, end)`` in code points of the whole text. The span of an
-assignment is its whole match (keyword to value); its hash is that of the value.
+assignment is that of the assigned value (group 2 of its pattern), without the
+keyword; matches are found leftmost and without overlap all the same.
 """
 
 from __future__ import annotations
@@ -44,8 +45,9 @@ def _spans(found: Column, gaps: Column, rank: int, value) -> Column:
     gap = F.transform(F.slice(gaps, F.lit(1), F.size(found)), lambda g: F.length(g).cast("bigint"))
     before = prefix_sums(F.zip_with(gap, found, lambda g, m: g + F.length(m)))
     starts = F.zip_with(before, gap, lambda b, g: b + g)
-    return F.zip_with(starts, found, lambda s, m: F.struct(
-        s.alias("start"), F.lit(rank).alias("rank"), (s + F.length(m)).alias("end"), value(m).alias("value")))
+    ends = F.zip_with(starts, found, lambda s, m: s + F.length(m))
+    return F.zip_with(ends, F.transform(found, value), lambda e, v: F.struct(  # a value stands at the end of its match
+        (e - F.length(v)).alias("start"), F.lit(rank).alias("rank"), e.alias("end"), v.alias("value")))
 
 
 def _whole(match: Column) -> Column:

@@ -7,7 +7,7 @@ from cases import SF, table
 from pyspark.sql import functions as F
 
 from poicraft.llm import urlrep as U
-from poicraft.llm.queries import QUERIES
+from poicraft.llm.queries import ORACLE_SQL, QUERIES
 
 
 def parts(url):
@@ -64,3 +64,15 @@ def test_odd_rows_and_empty_tables(spark):
     assert len(rows) == 5 and sorted((r.host, r.verdict) for r in rows)[-2:] == [("a.net", "block"), ("x.com", "allow")]
     assert len(U.judge_urls(pages, outcomes.limit(0)).collect()) == 5
     assert U.judge_urls(pages.limit(0), outcomes).count() == 0
+
+
+def test_oracle_sql(spark):
+    import duckdb
+    for sf in (SF, "/root/testdata/sf0.1"):
+        con = duckdb.connect()
+        for t in ("pages", "labels"):
+            con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
+        want = con.execute(ORACLE_SQL["op7_host_reputation"])
+        names = [d[0] for d in want.description]
+        got = [tuple(r[n] for n in names) for r in QUERIES["op7_host_reputation"](spark, sf).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want.fetchall()))
