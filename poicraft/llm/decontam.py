@@ -273,15 +273,9 @@ def contamination(spark, text: Column, index: Index, threshold: float = THRESHOL
 def contaminated(docs: DataFrame, indexes: list[Index], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document and test item that it holds: ``doc_id, item_id, passages,
     score, question_overlap, answer_overlap``. Null and empty texts hold no item."""
-    out = None
-    for index in indexes:
-        found = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.explode(contamination(
-            docs.sparkSession, F.col(f"`{text}`").cast("string"), index)).alias("m")).select("doc_id", "m.*")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        schema = "array<struct<" + MATCHES[len("array<struct<"):]
-        out = docs.limit(0).select(F.col(f"`{doc_id}`").alias("doc_id"), F.explode(F.array().cast(schema)).alias("m")).select("doc_id", "m.*")
-    return out
+    own, spark = F.col(f"`{text}`").cast("string"), docs.sparkSession
+    each = [contamination(spark, own, index) for index in indexes] or [F.array().cast(MATCHES)]
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.explode(F.concat(*each)).alias("m")).select("doc_id", "m.*")
 
 
 def decontaminate(docs: DataFrame, indexes: list[Index], text: str = "text") -> DataFrame:
