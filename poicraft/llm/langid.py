@@ -127,7 +127,8 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
                        F.xxhash64(F.col(f"`{doc_id}`"), F.lit(seed)).alias("h")).filter("lang is not null and text is not null")
     counts = rows.groupBy("lang").count()
     share = F.lit(float(max_train)) / F.col("count")
-    rows = rows.join(counts, "lang").filter(F.pmod("h", F.lit(1_000_000)) < share * 1_000_000)
+    # A row per language, as many as the prototypes that the driver holds in the end; no text is shuffled.
+    rows = rows.join(F.broadcast(counts), "lang").filter(F.pmod("h", F.lit(1_000_000)) < share * 1_000_000)
 
     def bundle(batches):
         enc, sums = encoder(dim, gram, seed), {}
