@@ -29,14 +29,19 @@ CHAIN = 3
 
 
 #: Documents of one block of the order by id, about, and blocks at most.
-BLOCK_ROWS, MAX_BLOCKS = 2000, 4096
+BLOCK_ROWS, MAX_BLOCKS = 2000, 16_384
+#: Cuts between blocks that are searched together.
+CUTS = 128
 
 
 def with_signatures(df: DataFrame, text: str, out: str, anchors=ANCHORS, chain: int = CHAIN) -> DataFrame:
     """``df`` with the sorted set of the text's signature hashes as a new column ``out``."""
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     any_ = "(?:" + "|".join(sorted(anchors)) + ")"
-    marked = F.regexp_replace(words, f" (?:{any_} )*({any_}) ", " $1^")  # the word behind an anchor: anchor^word
+    # The word behind an anchor becomes anchor^word; the anchors before that one go. Java's
+    # regular expressions recurse on a repeated group, so a run of anchors is not one match.
+    marked = F.regexp_replace(words, f" ({any_}) (?!{any_} )", " $1^")
+    marked = F.regexp_replace(marked, f" {any_}(?= )", "")
     content = F.filter(F.split(F.trim(marked), " "), lambda w: ~w.endswith("^"))
     df = df.select("*", content.alias(f"{out}_words"))
     words = F.col(f"{out}_words")
@@ -62,6 +67,21 @@ def fingerprint(signatures: Column) -> Column:
         signatures, lambda h: h.cast("string")), ","), 256))
 
 
+def _block(value: Column, cuts: list[int]) -> Column:
+    """Number of cuts at or below the value, found in two steps; -1 for null."""
+    def numbers(some):
+        return F.split(F.lit(",".join(map(str, some))), ",").cast("array<bigint>")
+
+    def below(array):
+        return F.size(F.filter(array, lambda c: c <= value))
+
+    if not cuts:
+        return F.when(value.isNull(), F.lit(-1)).otherwise(F.lit(0))
+    group = below(numbers(cuts[::CUTS]))  # of the groups of cuts, those that begin at or below
+    inner = F.greatest(group - 1, F.lit(0)) * CUTS
+    return F.when(value.isNull(), F.lit(-1)).otherwise(inner + below(F.slice(numbers(cuts), inner + 1, F.lit(CUTS))))
+
+
 def with_next(docs: DataFrame, doc_id: str, text: str, out: str) -> DataFrame:
     """``doc_id, text, <out>, next_text, next_<out>``: each row with its signatures and the
     row that follows it in descending order of id; the first row follows the last.
@@ -74,9 +94,8 @@ def with_next(docs: DataFrame, doc_id: str, text: str, out: str) -> DataFrame:
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_of(text).alias("text")).select("*", F.xxhash64("text").alias("tie"))
     n = docs.count()
     blocks = max(1, min(MAX_BLOCKS, n // BLOCK_ROWS))
-    cuts = rows.agg(F.percentile_approx("doc_id", [k / blocks for k in range(1, blocks)] or [0.5], 10 * MAX_BLOCKS)).first()[0] or []
-    cuts = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<bigint>") if blocks > 1 else F.array().cast("array<bigint>")
-    block = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(cuts, lambda c: c <= F.col("doc_id"))))
+    found = rows.agg(F.percentile_approx("doc_id", [k / blocks for k in range(1, blocks)] or [0.5], 10 * MAX_BLOCKS)).first()[0]
+    block = _block(F.col("doc_id"), sorted(set(found or [])) if blocks > 1 else [])
     rows = rows.select("*", block.alias("block"))
     # One row per block: at most MAX_BLOCKS + 1, so small enough for one task and a broadcast.
     order = Window.orderBy(F.col("block").desc())

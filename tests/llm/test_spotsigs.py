@@ -91,3 +91,11 @@ def test_a_long_run_of_anchors(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: r.n for r in S.signature_rows(docs).select("doc_id", F.size("sigs").alias("n")).collect()}
     assert got == {i: len(signatures(t)) for i, t in enumerate(texts)}
+
+
+def test_blocks(spark):
+    cuts = [i * 10 for i in range(1, 400)]
+    values = [None, -5, 0, 9, 10, 11, 1279, 1280, 1281, 3989, 3990, 10**12]
+    df = spark.createDataFrame([(v,) for v in values], "v bigint")
+    got = [r.b for r in df.select(S._block(F.col("v"), cuts).alias("b")).collect()]
+    assert got == [-1 if v is None else sum(c <= v for c in cuts) for v in values]
