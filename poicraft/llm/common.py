@@ -60,6 +60,10 @@ def prefix_sums(values: Column) -> Column:
 
 
 def rows_by_id(docs: DataFrame, keys: DataFrame, doc_id: str, key: str, how: str) -> DataFrame:
-    """Rows of ``docs`` whose ``doc_id`` is (``left_semi``) or isn't (``left_anti``) in ``keys``."""
-    d, k = docs.alias("d"), keys.select(F.col(key).alias("k")).alias("k")
+    """Rows of ``docs`` whose ``doc_id`` is (``left_semi``) or isn't (``left_anti``) in ``keys``.
+
+    Always a shuffled join: the keys grow with the documents, so a plan that
+    broadcasts them while they are few would change with the input's size.
+    """
+    d, k = docs.alias("d"), keys.select(F.col(key).alias("k")).hint("merge").alias("k")
     return d.join(k, F.col(f"d.`{doc_id}`") == F.col("k.k"), how)
