@@ -24,7 +24,7 @@ def test_gradient_step_learns_a_pair():
     rng = np.random.default_rng(1)
     rows, labels = [], []
     for _ in range(800):
-        a, b = rng.random(2) < 0.5
+        a, b = (rng.random(2) < 0.5).tolist()
         rows.append([0] * a + [1] * b + [2])
         labels.append(int(a != b))
     bias, weight, factors = X.fit(rows, [[1.0] * len(r) for r in rows], np.array(labels), 3)
