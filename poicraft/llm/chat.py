@@ -96,6 +96,7 @@ def conversations(messages: DataFrame, top: int | None = 1) -> DataFrame:
     ``loss`` holds the ``[start, end)`` of the assistants' texts in ``formatted``, in
     code points. A path is one text and so one row, however long.
     """
+    messages = stored(messages, "chat-messages")  # the paths read it again and again, without the texts
     rows = best_paths(messages, top).join(messages, ["tree", "node"])
     turns = rows.groupBy("tree", "leaf", "rank").agg(F.first("conv").alias("conv"), F.sort_array(F.collect_list(
         F.struct((-F.col("up")).alias("at"), "role", "text"))).alias("turns"))
