@@ -6,8 +6,9 @@ the excess is shared again by weight among the others, until none is above.
 
 Fitting, per source: documents are counted by exact length. Whole repeats of the
 source come first; of what remains, every length gives its proportional number of
-documents, and a bounded-knapsack dynamic program over the lengths fills the rest
-of the budget as exactly as the lengths allow. Only the histogram (a row per
+documents, the fraction carried on from longer to shorter lengths, so the rest is
+below one document's length at every size; a bounded-knapsack dynamic program over
+the lengths fills that rest as exactly as the lengths allow. Only the histogram (a row per
 source and length) goes through this step.
 
 Selection: of each source and length, as many documents as fitted are taken, in
@@ -28,7 +29,7 @@ MAX_REPEAT = 2
 SEED = 11
 #: Hash ranges of one source and length.
 RANGES = 256
-#: The dynamic program fills at most this budget; a larger rest is first filled longest documents first.
+#: Where the rest can't be made by adding documents, so many words may be given back first, at most.
 CAPACITY = 1 << 16
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,37 +40,62 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def _fill(weights: list[int], room: int, low: int = 0) -> list[int]:
+    """Which of the weights to take so that they add up to ``room`` or as little below it as
+    they can; partial sums, in this order, stay within ``-low`` and ``room``."""
+    maker = np.full(room + low + 1, -1, np.int32)  # the step that first made each sum, from -low on
+    maker[low] = 0
+    for step, w in enumerate(weights, 1):
+        if maker[-1] >= 0:
+            break
+        if abs(w) >= len(maker):
+            continue
+        old, to = (maker[:-w], maker[w:]) if w > 0 else (maker[-w:], maker[:w])
+        to[(old >= 0) & (to < 0)] = step
+    out, at = [], int(np.flatnonzero(maker >= 0)[-1])
+    while maker[at] > 0:
+        out.append(int(maker[at]) - 1)
+        at -= weights[out[-1]]
+    return out
+
+
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, share: float, capacity: int = CAPACITY) -> np.ndarray:
     """How many documents of each length to take so that their lengths sum to ``budget``
     or as little below it as the dynamic program can reach.
 
     ``share`` is the budget's part of all documents; lengths are positive, distinct, ascending.
+    Every length gets its part; the fraction is carried on to the next shorter length, so
+    what is left is less than one document of the longest length, however large the source.
     """
-    take = np.floor(counts * min(max(share, 0.0), 1.0)).astype(np.int64)
-    rest = int(budget) - int((take * lengths).sum())
-    for j in range(len(lengths) - 1, -1, -1):
-        if rest <= capacity:
-            break
-        more = min(int(counts[j] - take[j]), (rest - capacity // 2) // int(lengths[j]))
-        if more > 0:
-            take[j] += more
-            rest -= more * int(lengths[j])
-    room = min(max(rest, 0), capacity)
-    reach, steps, mask = 1, [], (1 << (room + 1)) - 1  # bit s: the sum s can be made
-    for j in range(len(lengths)):
-        left, k = min(int(counts[j] - take[j]), room // int(lengths[j])), 1
-        while left > 0 and not reach >> room & 1:  # the bounded item as items of 1, 2, 4, ... documents
-            k = min(k, left)
-            steps.append((j, k, reach))
-            reach |= reach << k * int(lengths[j]) & mask
-            left, k = left - k, 2 * k
-        if reach >> room & 1:
-            break
-    best = reach.bit_length() - 1
-    for j, k, before in reversed(steps):
-        if not before >> best & 1:
-            take[j] += k
-            best -= k * int(lengths[j])
+    all_ = int((lengths * counts).sum())
+    if not all_:
+        return np.zeros(len(lengths), np.int64)
+    budget = min(max(int(budget), 0), all_)
+    upto = [int(c) * budget // all_ for c in np.cumsum(counts[::-1])]
+    take = np.diff([0, *upto])[::-1].astype(np.int64)
+    rest = budget - int((take * lengths).sum())
+    # Lengths near half the rest come first, one document each: two of them mostly make the sum.
+    near = sorted(range(len(lengths)), key=lambda j: (abs(2 * int(lengths[j]) - rest), j))
+
+    def chosen(back, low=0):
+        free = {j: min(int(counts[j] - take[j]), (rest + low) // int(lengths[j])) for j in near}
+        items = back + [(j, 1) for j in near if free[j] > 0]
+        for j in near:
+            left, k = free[j] - 1, 1
+            while left > 0:  # the bounded item as items of 1, 2, 4, ... documents
+                k = min(k, left)
+                items.append((j, k))
+                left, k = left - k, 2 * k
+        return [items[i] for i in _fill([k * int(lengths[j]) for j, k in items], rest, low)]
+
+    more = chosen([])
+    if sum(k * int(lengths[j]) for j, k in more) < rest:
+        # Not reached: lengths that the carried fraction rounded up may give a document back.
+        least = np.floor(counts * min(max(share, 0.0), 1.0)).astype(np.int64)
+        back = [(j, -1) for j in near if take[j] > least[j]]
+        more = chosen(back, min(sum(int(lengths[j]) for j, _ in back), capacity))
+    for j, k in more:
+        take[j] += k
     return take
 
 

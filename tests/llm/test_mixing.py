@@ -68,6 +68,24 @@ def test_fit_is_as_near_as_the_left_documents_allow(seed):
         assert got <= budget and (got == best or capacity == 64)
 
 
+@pytest.mark.parametrize("n", [200, 2000, 8000])
+def test_every_stretch_of_lengths_gets_its_share(n):
+    """Lengths that occur once each: the share holds for short and long documents, at every size."""
+    lengths, counts = np.arange(40, 40 + n), np.ones(n, np.int64)
+    for share in (0.1, 0.6, 0.93):
+        budget = int(lengths.sum() * share)
+        take = M.fit(lengths, counts, budget, budget / int(lengths.sum()))
+        assert int((take * lengths).sum()) == budget
+        for part in np.array_split(take, 10):
+            assert abs(part.sum() - share * len(part)) <= 4
+
+
+def test_a_document_above_the_capacity():
+    lengths, counts = np.array([3, 7, 200_000]), np.array([200_000, 5, 3])
+    take = M.fit(lengths, counts, 700_000, 700_000 / int((lengths * counts).sum()))
+    assert int((take * lengths).sum()) == 700_000 and (take <= counts).all()
+
+
 def test_a_hot_length_and_repeated_rows(spark):
     docs = spark.range(3000).select(F.lit(1).cast("bigint").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("hot").alias("source"))
     docs = docs.unionByName(spark.range(60).select(F.col("id").alias("doc_id"), F.lit("a b c d e").alias("text"), F.lit("rare").alias("source")))
