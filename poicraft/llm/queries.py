@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from poicraft.llm import chat, decontam, langid, mixing, secrets, shards, simhash, spotsigs, toxicity, urlrep
+from poicraft.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -109,11 +110,12 @@ def op4(spark, sf):
 @query("op5_spotsigs")
 def op5(spark, sf):
     found = spotsigs.fingerprint_edits(table(spark, sf, "documents"))
-    return found.select(
+    rows = stored(found.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), spotsigs.fingerprint(F.col("sigs")).alias("fingerprint"),
         spotsigs.fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
         spotsigs.likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
-        spotsigs.likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"))
+        spotsigs.likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"), "sigs"), "spot-rows")
+    return spotsigs.with_links(rows)
 
 
 @query("op6_fm_toxicity")

@@ -9,11 +9,12 @@ chain has one signature, made of all its words.
 Two sets are compared by Jaccard likeness, pruned by their lengths: a set can't
 be more alike to another than the ratio of their lengths. For near-duplicate
 matches, sets are partitioned by length so that only neighbouring partitions can
-hold a match, and indexed by their rarest signatures only.
+hold a match, and indexed by their rarer signatures only.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ CHAIN = 3
 
 #: Documents of one block of the order by id, about, and blocks at most.
 BLOCK_ROWS, MAX_BLOCKS = 2000, 16_384
+#: Buckets of the signatures' frequencies.
+LEVELS = 1 << 18
 #: Cuts between blocks that are searched together.
 CUTS = 128
 
@@ -133,27 +136,40 @@ def signature_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return with_signatures(rows, "text", "sigs").select("doc_id", "sigs")
 
 
-def matches(prints: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Near-duplicate matches of ``prints (doc_id, sigs)``: ``(pairs, members)``.
+def _sets(prints: DataFrame) -> DataFrame:
+    """``sigs, id, copies``: the distinct sets of the rows with an id, each with its number of rows.
 
-    ``members`` (``doc_id, class_id``) puts rows of one set into one class, named
-    after its smallest id; ``pairs`` (``a, b, likeness``) are the pairs of
-    different classes with a likeness of ``least`` or more, each once. Rows without
-    an id are left out.
+    ``id`` is the smallest ``doc_id`` and, as an id may be repeated with another text, a hash of the set.
+    """
+    return stored(prints.filter("doc_id is not null").groupBy("sigs").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select(
+        "sigs", F.struct("doc_id", F.xxhash64("sigs").alias("h")).alias("id"), "copies"), "spot-sets")
+
+
+def _levels(sets: DataFrame) -> bytearray:
+    """By bucket of the signatures' hash: the logarithm of how many sets have the commonest one."""
+    common = sets.select(F.explode("sigs").alias("s")).groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
+    found = common.groupBy(F.pmod("s", F.lit(LEVELS)).alias("at")).agg(F.floor(F.log2(F.max("df"))).cast("int").alias("level")).toArrow()
+    out = np.zeros(LEVELS, np.uint8)
+    out[found["at"].to_numpy()] = found["level"].to_numpy()
+    return bytearray(out.tobytes())
+
+
+def _pairs(sets: DataFrame, least: float) -> DataFrame:
+    """``a, b, likeness``: the pairs of ``sets (id, sigs)`` with a likeness of ``least`` or more, each once.
 
     Sets are partitioned by the logarithm of their length, so a match lies in one
-    partition or two neighbouring ones. Within a set the signatures are ordered by
-    how many sets have them; of two alike sets the rarest few share one, so only
-    these are indexed, and words that very many sets share lead to no candidates.
+    partition or two neighbouring ones. The signatures of every set stand in one
+    order, rare ones first (by ``_levels``, then by value); of two alike sets the
+    first few share one, so only these are indexed, and words that very many sets
+    share lead to no candidates. The order decides the work, not the result.
     """
-    sets = stored(prints.filter("doc_id is not null").groupBy("sigs").agg(F.min("doc_id").alias("id")), "spot-sets")
-    members = prints.filter("doc_id is not null").join(sets, "sigs").select("doc_id", F.col("id").alias("class_id"))
-    rows = sets.select("id", F.size("sigs").alias("n"), F.explode("sigs").alias("s"))
-    common = stored(rows.groupBy("s").agg(F.count("*").alias("df")), "spot-df")
-    ranked = rows.join(common, "s").select("id", "n", "s", F.row_number().over(Window.partitionBy("id").orderBy("df", "s")).alias("k"))
+    levels = F.lit(_levels(sets))
+    ordered = F.array_sort(F.transform("sigs", lambda s: F.struct(
+        F.substr(levels, F.pmod(s, F.lit(LEVELS)).cast("int") + 1, F.lit(1)).alias("level"), s.alias("s"))))
+    rows = sets.select("id", F.size("sigs").alias("n"), ordered.alias("ordered"))
+    first = F.slice("ordered", 1, (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))
     part = F.floor(F.log(F.col("n")) / F.log(F.lit(1 / least)) + 1e-9)
-    index = stored(ranked.filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select(
-        "id", "n", "s", "k", part.alias("part")), "spot-index")
+    index = stored(rows.select("id", "n", part.alias("part"), F.explode(F.transform(first, lambda x: x["s"])).alias("s")), "spot-index")
     small = index.select(F.col("id").alias("a"), F.col("n").alias("na"), "s", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
     large = index.select(F.col("id").alias("b"), F.col("n").alias("nb"), "s", "part")
     met = small.join(large, ["s", "part"]).filter(
@@ -162,4 +178,31 @@ def matches(prints: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame
     own = sets.select("id", "sigs")
     pairs = (pairs.join(own.select(F.col("id").alias("a"), F.col("sigs").alias("x")), "a")
              .join(own.select(F.col("id").alias("b"), F.col("sigs").alias("y")), "b"))
-    return pairs.select("a", "b", likeness(F.col("x"), F.col("y"), least).alias("likeness")).filter(F.col("likeness") >= least), members
+    return pairs.select("a", "b", likeness(F.col("x"), F.col("y"), least).alias("likeness")).filter(F.col("likeness") >= least)
+
+
+def matches(prints: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Near-duplicate matches of ``prints (doc_id, sigs)``: ``(pairs, members)``.
+
+    ``members`` (``doc_id, class_id``) puts rows of one set into one class, named
+    after its smallest id; ``pairs`` (``a, b, likeness``) are the pairs of
+    different classes with a likeness of ``least`` or more, each once. Rows without
+    an id are left out.
+    """
+    sets = _sets(prints)
+    members = prints.filter("doc_id is not null").join(sets.select("sigs", "id"), "sigs").select("doc_id", F.col("id.doc_id").alias("class_id"))
+    return _pairs(sets, least).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), "likeness"), members
+
+
+def with_links(prints: DataFrame, least: float = 0.8) -> DataFrame:
+    """``prints (doc_id, sigs, ...)`` with, instead of ``sigs``, ``class_id`` and ``n_links``, the number of other
+    rows with a likeness of ``least`` or more; both are null for a row without an id."""
+    sets = _sets(prints)
+    pairs = stored(_pairs(sets, least).select("a", "b"), "spot-pairs")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    far = both.join(sets.select(F.col("id").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("far"))
+    links = stored(sets.join(far, F.col("id") == F.col("a"), "left").select(
+        fingerprint(F.col("sigs")).alias("set"), F.col("id.doc_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("far", F.lit(0))).alias("n_links")), "spot-links")
+    own = lambda c: F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c)
+    rows = prints.select("*", fingerprint(F.col("sigs")).alias("set")).drop("sigs")
+    return rows.join(links, "set", "left").select(*[c for c in prints.columns if c != "sigs"], own("class_id"), own("n_links"))

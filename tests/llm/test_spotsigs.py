@@ -86,6 +86,24 @@ def test_matches_are_all_pairs(spark):
     assert got == want and len(want) > 3
 
 
+def test_the_query_links_all_near_copies(spark):
+    docs = table("documents")
+    sets = {k: signatures(t) for k, t in zip(docs.doc_id, docs.text)}
+    rows = QUERIES["op5_spotsigs"](spark, SF).collect()
+    near = {a: [b for b in sets if b != a and jaccard(sets[a], sets[b]) >= 0.8 - 1e-9] for a in sets}
+    assert {r.doc_id: r.n_links for r in rows} == {a: len(b) for a, b in near.items()}
+    assert {r.doc_id: r.class_id for r in rows} == {a: min([a] + [b for b in near[a] if sets[a] == sets[b]]) for a in sets}
+
+
+def test_links_of_repeated_ids_and_rows_without_id(spark):
+    base = " ".join(f"the word{i} then{i} here{i}" for i in range(20))
+    texts = [(1, base), (1, base + " the last one word"), (2, base), (5, base + " the very last one"), (None, base), (7, "nothing alike")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    rows = S.with_links(S.signature_rows(docs)).collect()
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in rows), key=str) == sorted(
+        [(1, 1, 3), (1, 1, 3), (2, 1, 3), (5, 5, 3), (None, None, None), (7, 7, 0)], key=str)
+
+
 def test_a_long_run_of_anchors(spark):
     texts = ["the of " * 100_000 + "one two three four", "the " * 50_000, "of the one of"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
