@@ -76,7 +76,9 @@ class Index:
     document frequency of their terms among ``n_items`` items of mean length ``mean``.
     """
 
-    def __init__(self, items: list[tuple], df: dict[str, int], n_items: int, mean: float):
+    def __init__(self, items: list[tuple], df: dict[str, int], n_items: int, mean: float, whole: bool = False):
+        #: Whether enough shingles of question and answer together also make a match.
+        self.whole = whole
         self.items = sorted((x for x in items if x[1] or x[2]), key=lambda x: (len(x[1]) + len(x[2]), x[0]))
         self.term: dict[str, int] = {}
         post: list[list[tuple[int, float]]] = []
@@ -218,7 +220,7 @@ class Index:
             for k, score in hits:
                 item_id, question, answer = self.items[k]
                 q, r = held(question), held(answer)
-                if q >= overlap and r >= overlap:
+                if q >= overlap and r >= overlap or self.whole and held(question + answer) >= overlap:
                     n, s, q0, r0 = out[i].get(item_id, (0, 0.0, 0.0, 0.0))
                     out[i][item_id] = (n + 1, max(s, score), max(q, q0), max(r, r0))
         return out
@@ -228,7 +230,9 @@ def build_indexes(items: DataFrame, item_id: str = "item_id", text: str = "text"
                   index_bytes: int = INDEX_BYTES) -> list[Index]:
     """Indexes that together hold all items. Items without a token or an id are left out.
 
-    With ``answer``, ``text`` is the question and that column the answer.
+    With ``answer``, ``text`` is the question and that column the answer. Without,
+    the last sentence counts as the answer, and an item is also held by a text that
+    has enough of the whole item's shingles.
     """
 
     @F.pandas_udf("struct<q:array<string>,a:array<string>>")
@@ -252,7 +256,7 @@ def build_indexes(items: DataFrame, item_id: str = "item_id", text: str = "text"
         if some:
             its = terms.filter(F.col("part") == b).select("term").distinct() if parts > 1 else None
             counts = dict(map(tuple, (df.join(its, "term") if its else df).select("term", "count").collect()))
-            out.append(Index(some, counts, n_items, mean))
+            out.append(Index(some, counts, n_items, mean, answer is None))
     return out
 
 

@@ -88,6 +88,18 @@ def test_question_and_answer_must_both_occur(spark):
     assert [r.doc_id for r in D.decontaminate(docs, index).collect()] == [2, 3]
 
 
+def test_an_item_without_declared_answer_may_lose_its_last_sentence(spark):
+    body = "Water boils at a lower heat on high mountains since the air there is thin. " + " ".join(f"Reason {w} follows from the one before it." for w in "abcdefgh")
+    last = " So cooks need more time up there."
+    items = spark.createDataFrame([(1, body + last)], "item_id int, text string")
+    docs = spark.createDataFrame([
+        (1, "Well, " + body + last), (2, "Well, " + body + " And so on and on."), (3, "Well, " + body + last.replace("more", "less")),
+        (4, "Well, " + body[:len(body) // 2] + last), (5, "So cooks need more time up there.")], "doc_id int, text string")
+    index = D.build_indexes(items)
+    assert sorted(r.doc_id for r in D.contaminated(docs, index).collect()) == [1, 2, 3]
+    assert sorted(r.doc_id for r in D.decontaminate(docs, index).collect()) == [4, 5]
+
+
 def test_several_indexes_find_the_same(spark):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
