@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poicraft.llm import chat, decontam, langid, mixing, secrets, shards, simhash, spotsigs, toxicity, urlrep
+from poicraft.llm import chat, decontam, exactdedup, langid, manifest, mixing, secrets, shards, simhash, spotsigs, toxicity, urlrep
 from poicraft.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,3 +215,82 @@ def op10(spark, sf):
     found = shards.shards(table(spark, sf, "documents"))
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: Fixed value: what tampering replaces.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Levels of the SQL's trees: up to 16 ** 6 rows a source and 16 ** 4 sources.
+SQL_LEVELS, SQL_TOP_LEVELS = 6, 4
+
+
+def _leaf_sql(text: str) -> str:
+    parts = [f"cast({c} as varchar)" for c in ("doc_id", "source", "lang", "n_chars")] + [text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({p}) || ':' || {p}, '-')" for p in parts) + ")"
+
+
+def _tree_sql(name: str, levels: int) -> str:
+    """Levels ``name1`` ... above ``name0`` (k, i, n, d), with each node's run in ``kids``; n counts the level's nodes."""
+    out = []
+    for k in range(1, levels + 1):
+        out.append(f"""{name}{k} as (select k, i // {manifest.FAN} as i, (max(n) + {manifest.FAN - 1}) // {manifest.FAN} as n, max(n) = 1 as lone,
+  list(d order by i) as kids, case when max(n) = 1 then max(d) else sha256(string_agg(d, '' order by i)) end as d from {name}{k - 1} group by k, i // {manifest.FAN})""")
+    return ",\n".join(out)
+
+
+def _climb_sql(name: str, tree: str, levels: int) -> str:
+    """Follows each row (k, i, cur, sib, top) of ``name0`` up the tree."""
+    out = []
+    for k in range(1, levels + 1):
+        at = f"i % {manifest.FAN}"
+        left, right = f"coalesce(array_to_string(kids[1:{at}], ''), '')", f"coalesce(array_to_string(kids[{at} + 2:], ''), '')"
+        out.append(f"""{name}{k} as (select c.* replace (c.i // {manifest.FAN} as i, case when lone then cur else sha256({left} || cur || {right}) end as cur,
+  case when lone then sib else sib || {left} || {right} end as sib, p.d as top) from {name}{k - 1} c join {tree}{k} p on p.k = c.k and p.i = c.i // {manifest.FAN})""".replace(at, f"(c.{at})"))
+    return ",\n".join(out)
+
+
+_CRC_SQL = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ascii(c) as bigint))),
+    lambda a, b: xor(a >> 8, table_[(xor(a, b) & 255) + 1])), 4294967295)"""
+
+
+@query("op11_merkle_manifest", f"""
+with crc as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k:
+    case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as table_),
+l as (select doc_id, source, {_leaf_sql('text')} as leaf,
+  coalesce({_CRC_SQL} % 5 = 0, false) as hit,
+  {_leaf_sql(f"translate(text, '{UPPER}', '{LOWER}')")} as low from documents cross join crc),
+leaves as (select doc_id, coalesce('=' || source, '') as k, leaf, case when hit then low else leaf end as cur,
+  row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by source) as n from l),
+g0 as (select k, i, n, leaf as d from leaves),
+{_tree_sql('g', SQL_LEVELS)},
+t0 as (select '' as k, row_number() over (order by encode(k)) - 1 as i, count(*) over () as n, d, k as name from g{SQL_LEVELS}),
+{_tree_sql('t', SQL_TOP_LEVELS)},
+c0 as (select doc_id, leaf, k, i, cur, '' as sib, leaf as top from leaves),
+{_climb_sql('c', 'g', SQL_LEVELS)},
+u0 as (select c.doc_id, c.leaf, c.top as subroot, '' as k, t0.i as i, c.cur, c.sib, c.top from c{SQL_LEVELS} c join t0 on t0.name = c.k),
+{_climb_sql('u', 't', SQL_TOP_LEVELS)}
+select doc_id, leaf, subroot, top as root, sha256(sib) as proof_sha256, cur as folded_root, cur = top as verified from u{SQL_TOP_LEVELS}
+""")
+def op11(spark, sf):
+    """Every fifth document (by the hash of its id) is checked with its text in lower case."""
+    docs = table(spark, sf, "documents")
+    row = lambda text: manifest.leaf(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], text)
+    other = F.when(remainder("doc_id", 5) == 0, row(F.translate("text", UPPER, LOWER)))
+    leaves = stored(docs.select(manifest.group_key(F.col("source")).alias("key"), "doc_id", row(F.col("text")).alias("digest"),
+                                other.alias("tampered")), "manifest-leaves")
+    found = manifest.manifest(leaves, ["doc_id"], ["doc_id", "tampered"])
+    own, root = manifest.as_text(F.col("digest")), manifest.as_text(F.col("root"))
+    folded = found.select("doc_id", own.alias("leaf"), manifest.as_text(F.col("subroot")).alias("subroot"), root.alias("root"),
+                          F.sha2(manifest.proof(F.col("steps")), 256).alias("proof_sha256"),
+                          manifest.fold(F.coalesce(manifest.as_text(F.col("tampered")), own), F.col("steps")).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op13_exact_dedup", """
+select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size,
+  row_number() over (partition by t order by doc_id nulls last) = 1 as kept, sha256(t) as text_sha256
+from (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
+window w as (partition by t)
+""")
+def op13(spark, sf):
+    found = exactdedup.dedupe(table(spark, sf, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
