@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poicraft.llm import chat, decontam, exactdedup, langid, manifest, mixing, secrets, shards, simhash, spotsigs, toxicity, urlrep
+from poicraft.llm import chat, decontam, exactdedup, langid, manifest, mixing, repair, secrets, shards, simhash, spotsigs, toxicity, urlrep
 from poicraft.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -285,6 +285,14 @@ def op11(spark, sf):
     return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+@query("op12_conversation_repair")
+def op12(spark, sf):
+    found = repair.repair(repair.damaged(repair.messages(table(spark, sf, "conversations"))))
+    said = F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return found.select(F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+                        F.sha2(said, 256).alias("repaired_sha256"))
+
+
 @query("op13_exact_dedup", """
 select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size,
   row_number() over (partition by t order by doc_id nulls last) = 1 as kept, sha256(t) as text_sha256
