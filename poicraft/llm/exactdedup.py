@@ -101,16 +101,16 @@ class Cuckoo:
 
     def insert(self, fp: np.ndarray, b: np.ndarray) -> bool:
         """Enters every key; False if the filter is too full, which loses entries."""
+        left = self._place(fp, b)
+        fp, b = fp[left], self.other(fp, b)[left]
         for turn in range(KICKS):
-            left = self._place(fp, b)
-            fp, b = fp[left], self.other(fp, b)[left]
             left = self._place(fp, b)
             fp, b = fp[left], b[left]
             if not len(fp):
                 return True
             # one key per full bucket takes the place of another, which moves on to its own other bucket
             _, win = np.unique(b, return_index=True)
-            slot = (turn + fp[win].astype(np.int64)) % SLOTS
+            slot = (_mix(fp[win]) >> np.uint64(turn % 32)).astype(np.int64) % SLOTS
             out = self.slots[b[win], slot]
             self.slots[b[win], slot] = fp[win]
             fp[win], b[win] = out, self.other(out, b[win])
