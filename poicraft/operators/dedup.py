@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _orderable(kind: T.DataType) -> bool:
+def orderable(kind: T.DataType) -> bool:
     if isinstance(kind, T.ArrayType):
-        return _orderable(kind.elementType)
+        return orderable(kind.elementType)
     if isinstance(kind, T.StructType):
-        return all(_orderable(f.dataType) for f in kind.fields)
+        return all(orderable(f.dataType) for f in kind.fields)
     return not isinstance(kind, (T.MapType, T.VariantType))
 
 
@@ -34,10 +34,10 @@ def dedupe_by_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] =
     first = [F.col(f"`{c}`").alias(f"_ord{i}") for i, c in enumerate(order_by)]
     values = [F.col(f"`{c}`") for c in rest]
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    if all(_orderable(kinds[c]) for c in rest):
+    if all(orderable(kinds[c]) for c in rest):
         keep = F.min(F.struct(*first, *values))
     else:
-        ranked = [F.col(f"`{c}`") for c in rest if _orderable(kinds[c])]
+        ranked = [F.col(f"`{c}`") for c in rest if orderable(kinds[c])]
         keep = F.min_by(F.struct(*values), F.struct(*first, *ranked, F.lit(0).alias("_end")))
     winners = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(keep.alias("_keep"))
     return winners.select(*[F.col(f"`{k}`") if k in keys else F.col(f"_keep.`{k}`").alias(k) for k in df.columns])

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from poicraft.functions.coords import geojson_coords
 from poicraft.functions.dates import month_timestamp, timestamp_text
 from poicraft.functions.text import as_text, clean_chars, clean_chars_array
+from poicraft.operators.index import row_index
 
 JSON_OPTIONS = {"ignoreNullFields": "false"}
 
@@ -135,23 +136,19 @@ def entity_payloads(entities: DataFrame, column: str = "entity") -> DataFrame:
 
 
 def entity_batches(entities: DataFrame, order_by: Sequence[str], size: int = BATCH_SIZE,
-                   column: str = "entity", buckets: int | None = None, bucket: Column | None = None) -> DataFrame:
-    """K8: ``{"actionType": "APPEND", "entities": [...]}`` bodies of at most ``size`` entities.
+                   column: str = "entity") -> DataFrame:
+    """K8: ``{"actionType": "APPEND", "entities": [...]}`` bodies of ``size`` entities each.
 
-    Entities are dealt into buckets (by ``bucket``, else by a hash of ``order_by`` into
-    ``buckets``, by default the shuffle partitions) and numbered within their
-    bucket: one shuffle, no global order. Batch ``b`` of a bucket holds its
-    entities ``b*size … b*size+size-1``. Output ``(bucket, batch_id, n, payload)``.
+    Entities are numbered in ``order_by`` order over all range partitions (W1): place in the
+    partition plus the rows before it. Batch ``b`` holds the entities ``b*size …
+    b*size+size-1``, so all but the last are full and the batches are the same at any
+    number of partitions. Output ``(batch_id, n, payload)``.
     """
-    if bucket is None:
-        buckets = buckets or int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        bucket = F.pmod(F.xxhash64(*order_by), F.lit(buckets))
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy(*order_by))
-    indexed = entities.withColumn("bucket", bucket.cast("bigint")).withColumn("_idx", place)
-    grouped = (indexed.groupBy("bucket", F.floor((F.col("_idx") - 1) / F.lit(size)).cast("bigint").alias("batch_id"))
+    indexed = row_index(entities.select(*dict.fromkeys([*order_by, column])), order_by, "_idx")
+    grouped = (indexed.groupBy(F.expr(f"_idx div {int(size)}").alias("batch_id"))
                .agg(F.count(F.lit(1)).alias("n"),
                     F.sort_array(F.collect_list(F.struct(F.col("_idx"), F.col(column).alias("e"))))
                     .alias("_items")))
     body = F.struct(F.lit(APPEND).alias("actionType"),
                     F.transform("_items", lambda x: x["e"]).alias("entities"))
-    return grouped.select("bucket", "batch_id", "n", F.to_json(body, JSON_OPTIONS).alias("payload"))
+    return grouped.select("batch_id", "n", F.to_json(body, JSON_OPTIONS).alias("payload"))

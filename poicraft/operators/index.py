@@ -6,46 +6,47 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from poicraft.session import checkpoint_dir
+from poicraft.operators.dedup import orderable
+from poicraft.session import stored
+
+# ``monotonically_increasing_id`` holds the partition above this many bits, the row below.
+PLACE_BITS = 33
+
+
+def stored_in_order(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``order_by``, written once, with ``_place``: the
+    partition and the row's place in it, in one number that ascends in the global order.
+
+    Ties are ordered by a hash of the row. Rows that are equal throughout are told apart by
+    the input partition they come from, the last range key, so they too spread over
+    several range partitions. As the frame is stored, a lost executor renumbers nothing.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if orderable(kinds[c])] or [F.lit(0)])
+    keys = [*order_by, "_tie", "_from"]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.withColumn("_tie", tie).withColumn("_from", F.spark_partition_id())
+    ordered = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    return stored(ordered.select(*df.columns, F.monotonically_increasing_id().alias("_place")), "ordered")
 
 
 def row_index(df: DataFrame, order_by: Sequence[str], name: str = "idx") -> DataFrame:
     """Global 0-based index in ascending ``order_by`` order.
 
-    Only the keys are sorted: each distinct key with its count is range-partitioned,
-    tagged with its partition and written once with a reliable checkpoint (the
-    session's ``spark.checkpoint.dir``), so a lost executor cannot renumber rows.
-    Counts before it in the partition, and the partition's offset (from a table
-    with one row per partition, which is broadcast), give each key its first
-    index; the rows take it by a join. A hash of the row's atomic columns is the
-    last key, so a repeated ``order_by`` value spreads over several partitions.
+    One shuffle of the rows, no join on keys and no window over them: the rows are stored in
+    order (see ``stored_in_order``), and the index is a row's place in its partition plus
+    the rows of the partitions before, from a table of one row per partition.
     """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    keys = [*order_by, "_tie"]
-    atomic = [f.name for f in df.schema.fields
-              if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-    rows = df.withColumn("_tie", F.xxhash64(*[F.col(c) for c in (atomic or order_by)]))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tagged = (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-              .repartitionByRange(parts, *keys).withColumn("_pid", F.spark_partition_id())
-              .checkpoint(eager=True))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tagged.groupBy("_pid").agg(F.sum("_n").alias("_n")).select(
-        "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    within = Window.partitionBy("_pid").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    first = (tagged.withColumn("_in", F.coalesce(F.sum("_n").over(within), F.lit(0)))
-             .join(F.broadcast(offsets), "_pid")
-             .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-                     (F.col("_off") + F.col("_in")).alias("_first")))
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    again = F.row_number().over(Window.partitionBy(*keys).orderBy("_tie"))
-    out = rows.withColumn("_again", again).join(first, same)
-    return out.withColumn(name, (F.col("_first") + F.col("_again") - 1).cast("bigint")).select(*df.columns, name)
+    ordered = stored_in_order(df, order_by)
+    part = F.shiftright("_place", PLACE_BITS)
+    sizes = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    # At most one row per shuffle partition, whatever the size of the input.
+    return ordered.join(F.broadcast(offsets), part == F.col("_part")).select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        (F.col("_off") + F.col("_place").bitwiseAND((1 << PLACE_BITS) - 1)).cast("bigint").alias(name))
 
 
 def group_index(df: DataFrame, partition_by: Sequence[str], order_by: Sequence,

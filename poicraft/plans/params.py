@@ -26,4 +26,4 @@ LEGEND_N = 10
 VENUE_TOP_N = 2
 VENUE_KEYWORDS = ["in"]
 COLORED_N = 2
-BATCH_BUCKETS, BATCH_ENTITIES = 16, 50
+BATCH_ENTITIES = 50

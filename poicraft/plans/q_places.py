@@ -15,7 +15,7 @@ from poicraft.plans import sqlfrag as S
 from poicraft.plans.params import (AS_OF, AS_OF_TEXT, BOX_CATEGORY, BOX_NE, BOX_SW, CENTER,
                                    LEGEND_N, MESH_RESUME, MESH_X, MESH_Y, RADIUS_M, RADIUS_QUERY, SEARCH_LIMIT,
                                    RETAIL_CATEGORY, RETAIL_KIND, SWEEP_CAP, SWEEP_NE, SWEEP_SW,
-                                   VENUE_KEYS, BATCH_BUCKETS, BATCH_ENTITIES)
+                                   VENUE_KEYS, BATCH_ENTITIES)
 from poicraft.plans.q_core import EST_CAT, reduce_sql, est_categories, top_n_sql
 from poicraft.plans.registry import query
 from poicraft.sources.readers import find_by_array_value
@@ -347,15 +347,13 @@ def q_entity_payloads(spark, sf):
 
 
 @query("entity_batches", f"""
-with i as (select k % {BATCH_BUCKETS} as bucket, (row_number() over (partition by k % {BATCH_BUCKETS} order by k) - 1) // {BATCH_ENTITIES} as b,
-             k, entity from ({EST_ENTITIES_SQL}))
-select cast(bucket as bigint) as bucket, cast(b as bigint) as batch_id, count(*) as n,
+with i as (select (row_number() over (order by k) - 1) // {BATCH_ENTITIES} as b, k, entity from ({EST_ENTITIES_SQL}))
+select cast(b as bigint) as batch_id, count(*) as n,
   to_json({{'actionType': {S.lit(E.APPEND)}, 'entities': list(entity order by k)}}) as payload
-from i group by bucket, b
+from i group by b
 """)
 def q_entity_batches(spark, sf):
-    return ent.entity_batches(establishment_entities_frame(spark, sf), ["_key"], BATCH_ENTITIES,
-                              bucket=F.pmod("_key", F.lit(BATCH_BUCKETS)))
+    return ent.entity_batches(establishment_entities_frame(spark, sf), ["_key"], BATCH_ENTITIES)
 
 
 # ---------------------------------------------------------------- M5

@@ -1,5 +1,8 @@
 """Table operators on inline frames."""
 
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
 from poicraft.operators import categories as cat, dedup, enrich, entities as ent, index, mesh, shares, spatial
@@ -82,13 +85,43 @@ def test_row_index_and_batches(spark):
     got = sorted((r.k, r.idx) for r in idx.collect())
     assert got == [(3 * i, i) for i in range(1003)]
     ents = df.select(F.col("k").alias("_key"), F.struct(F.col("k").alias("id")).alias("entity"))
-    one = F.lit(0)
-    b = {r.batch_id: r.n for r in ent.entity_batches(ents, ["_key"], size=400, bucket=one).collect()}
+    b = {r.batch_id: r.n for r in ent.entity_batches(ents, ["_key"], size=400).collect()}
     assert b == {0: 400, 1: 400, 2: 203}
-    many = ent.entity_batches(ents, ["_key"], size=40, buckets=5).collect()
-    assert sum(r.n for r in many) == 1003 and max(r.n for r in many) == 40 and len({r.bucket for r in many}) == 5
     plan = ent.entity_batches(ents, ["_key"])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan
+    assert plan.count("Exchange hashpartitioning") == 2  # rows per partition; entities by batch
+
+
+@pytest.mark.parametrize("parts", [8, 400])
+def test_batches_are_full_at_any_number_of_partitions(spark, parts):
+    ents = spark.range(0, 5201, 1, 9).select(((F.col("id") * 7919) % 5201).alias("_key"), F.struct(F.col("id").cast("string").alias("id")).alias("entity"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {r.batch_id: (r.n, r.payload) for r in ent.entity_batches(ents, ["_key"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [got[b][0] for b in sorted(got)] == [400] * 13 + [1]
+    ids = [e["id"] for b in sorted(got) for e in json.loads(got[b][1])["entities"]]
+    assert ids == [r.entity.id for r in ents.orderBy("_key").collect()]
+
+
+def test_identical_rows_spread_over_range_partitions(spark):
+    df = spark.range(0, 8000, 1, 8).select(F.when(F.col("id") % 2 == 0, F.lit(5)).otherwise(F.col("id")).cast("bigint").alias("k"))
+    ordered = index.stored_in_order(df, ["k"])
+    sizes = [r["count"] for r in ordered.groupBy(F.shiftright("_place", index.PLACE_BITS)).count().collect()]
+    assert sum(sizes) == 8000 and max(sizes) < 2500  # half of the rows are the same
+    got = sorted((r.idx, r.k) for r in index.row_index(df, ["k"]).collect())
+    assert [i for i, _ in got] == list(range(8000)) and [k for _, k in got] == sorted(r.k for r in df.collect())
+
+
+def test_row_index_shuffles_the_rows_once(spark):
+    from poicraft.plans.evidence import physical_plan, written_plans
+    df = spark.range(0, 1000, 1, 4).select((F.col("id") % 10).alias("k"), F.col("id").cast("string").alias("v"))
+    with written_plans() as plans:
+        out = physical_plan(index.row_index(df, ["k"]))
+    assert len(plans) == 1 and plans[0].count("Exchange") == 1 and "rangepartitioning" in plans[0]
+    assert "SortMergeJoin" not in out and out.count("Exchange hashpartitioning") == 1  # the rows per partition
+    assert "Window" in out.split("BroadcastExchange", 1)[1] and "Window" not in out.split("BroadcastExchange", 1)[0]
 
 
 def test_row_index_of_equal_rows_and_nulls(spark):
@@ -123,14 +156,6 @@ def test_row_index_spreads_a_repeated_key(spark):
     df = spark.range(0, 3000, 1, 6).select(F.lit(1).alias("k"), F.col("id"))
     idx = index.row_index(df, ["k"])
     assert sorted(r.idx for r in idx.collect()) == list(range(3000))
-    # the same sort keys as row_index uses: the repeated key lands in several partitions
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        spread = df.orderBy("k", F.xxhash64("k", "id")).select(F.spark_partition_id().alias("p")) \
-            .groupBy("p").count().collect()
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    assert len(spread) > 1 and max(r["count"] for r in spread) < 3000
 
 
 def test_salted_lookup_join_equals_plain_join(spark):
