@@ -13,6 +13,11 @@ from poicraft.functions._col import col
 from poicraft.functions.text import NULL_TEXT, as_text, icontains
 
 
+# Up to so many tests are joined one by one; a longer list becomes one array literal, which
+# keeps the plan flat. Lists of thousands belong in a table (``operators.keywords``).
+FLAT_FROM = 64
+
+
 def first_line(text) -> Column:
     """First line of a text without splitting the rest of it."""
     return F.substring_index(col(text), "\n", 1)
@@ -38,9 +43,21 @@ def address_keyword_pred(address, postal, keywords: Iterable[str],
         present = first.isNotNull()
     line = as_text(first, null_text)
     cond = present & ~line.contains(as_text(postal, null_text))
+    keywords = list(keywords)
+    if len(keywords) > FLAT_FROM:
+        return cond & _folded(line, null_text, lambda said: F.forall(_words(keywords), lambda k: said.contains(k)))
     return reduce(and_, [icontains(line, k, null_text) for k in keywords], cond)
 
 
+def _words(keywords: Sequence[str]) -> Column:
+    return F.array(*[F.lower(F.lit(k)) for k in keywords])
+
+
+def _folded(text, null_text: str | None, test) -> Column:
+    """``test`` of the case-folded text, which is evaluated once for all keywords."""
+    return F.transform(F.array(F.lower(as_text(text, null_text))), test)[0]
+
+
 def street_entity_pred(street, entity, keywords: Sequence[str], entity_mode: str = "always",
                        null_text: str | None = NULL_TEXT) -> Column:
     """the list's last item is the federal entity, the others street keywords.
@@ -70,5 +87,9 @@ def any_keyword_pred(columns: Sequence, keywords: Iterable[str],
     Non-string columns are compared through their string form; an empty keyword
     list selects nothing.
     """
+    columns, keywords = list(columns), list(keywords)
+    if len(columns) * len(keywords) > FLAT_FROM:
+        tests = [_folded(c, null_text, lambda said: F.exists(_words(keywords), lambda k: said.contains(k))) for c in columns]
+        return reduce(or_, tests)
     terms = [icontains(c, k, null_text) for k in keywords for c in columns]
     return reduce(or_, terms, F.lit(False))

@@ -9,7 +9,7 @@ from poicraft.functions import (address_keyword_pred, any_keyword_pred, clean_ch
                                 clean_chars_array, color_for_keys, geojson_coords,
                                 planar_distance, reduce_name, search_date, street_entity_pred,
                                 strict_coords)
-from poicraft.operators import audit, categories as cat, dedup, enrich, index, shares
+from poicraft.operators import audit, categories as cat, dedup, enrich, index, keywords as kw, shares
 from poicraft.plans import bindings as B
 from poicraft.plans import sqlfrag as S
 from poicraft.plans.params import (ADDRESS_KEYWORDS, ANY_KEYWORDS, BLANK_STREET_KEYWORDS,
@@ -64,6 +64,46 @@ def q_any_keyword_filter(spark, d):
         .select("p_partkey")
 
 
+# Keywords from the tables: padded order numbers, and two letters of the parts' types.
+KEYWORDS_SQL = """
+select '#' || lpad(cast(o_orderkey * 7 as varchar), 9, '0') as keyword from orders
+union all select substr(p_type, 2, 2) from part
+"""
+
+
+def order_keywords(spark, d):
+    orders, part = t(spark, d, "orders"), t(spark, d, "part")
+    padded = F.concat(F.lit("#"), F.lpad((F.col("o_orderkey") * 7).cast("string"), 9, "0"))
+    return orders.select(padded.alias("keyword")).unionByName(part.select(F.substring("p_type", 2, 2).alias("keyword")))
+
+
+@query("any_keyword_table", f"""
+select c_custkey, c_name from customer
+where exists (select 1 from ({KEYWORDS_SQL}) k
+              where contains(lower({S.text('c_name')}), lower(k.keyword)) or contains(lower({S.text('c_mktsegment')}), lower(k.keyword)))
+""")
+def q_any_keyword_table(spark, d):
+    """F3 with a keyword per order (15,000 at sf0.01)."""
+    customers = t(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return kw.any_keyword_rows(customers, ["c_name", "c_mktsegment"], order_keywords(spark, d), key=["c_custkey"]).select("c_custkey", "c_name")
+
+
+_WORDS = "select string_split(p_name, ' ')[2] as keyword, 'w' || min(p_partkey) as value, min(p_partkey) as rank from part group by 1"
+
+
+@query("reduce_category_table", f"""
+select p_partkey, p_name, coalesce((select arg_min(value, rank) from ({_WORDS}) w where contains({S.text('p_name')}, w.keyword)), {S.text('p_name')}) as reduct_cat_name
+from part
+""")
+def q_reduce_category_table(spark, d):
+    """P5 with a mapping table: every second word of the names, in order of first use."""
+    p = t(spark, d, "part").select("p_partkey", "p_name")
+    word = F.get(F.split("p_name", " "), F.lit(1))
+    mapping = p.groupBy(word.alias("keyword")).agg(F.min("p_partkey").alias("rank"))
+    mapping = mapping.withColumn("value", F.concat(F.lit("w"), F.col("rank").cast("string")))
+    return kw.reduce_name_by_table(p, "p_name", mapping, "reduct_cat_name", key=["p_partkey"])
+
+
 _BRANDS_IN = ", ".join(S.lit(b) for b in BRANDS)
 
 
