@@ -18,6 +18,9 @@ from poicraft.plans.params import (AS_OF, AS_OF_TEXT, BOX_CATEGORY, BOX_NE, BOX_
                                    VENUE_KEYS, BATCH_ENTITIES)
 from poicraft.plans.q_core import EST_CAT, reduce_sql, est_categories, top_n_sql
 from poicraft.plans.registry import query
+from poicraft.session import scratch_path
+from poicraft.sinks import writers as W
+from poicraft.sources import readers as R
 from poicraft.sources.readers import find_by_array_value
 
 PTS = f"({B.POINTS_SQL})"
@@ -87,6 +90,29 @@ def q_bbox_search_antimeridian(spark, sf):
     return spatial.bbox_search(_far_side(spark, sf), (-0.1, 179.9), (0.1, -179.9)).select("id", "name")
 
 
+def _clustered(spark, sf):
+    """The points in a clustered store, as it is read back."""
+    return R.load_collection(spark, W.write_clustered(B.points(spark, sf), scratch_path(spark, "points-clustered")))
+
+
+@query("clustered_bbox_search", f"""
+select id, name from {PTS} where {_box_sql(BOX_SW, BOX_NE)} and list_contains(cat_id, '{BOX_CATEGORY}')
+""")
+def q_clustered_bbox_search(spark, sf):
+    """R2 on a clustered store: the scan takes over the cell ranges of the box."""
+    return spatial.bbox_category_search(_clustered(spark, sf), BOX_SW, BOX_NE, BOX_CATEGORY).select("id", "name")
+
+
+@query("clustered_radius_search", f"""
+select id, name from {PTS}
+where {S.haversine(CENTER[0], CENTER[1], 'lat', 'lng')} <= {d(RADIUS_M)} and {S.icontains('name', RADIUS_QUERY)}
+order by id limit {SEARCH_LIMIT}
+""")
+def q_clustered_radius_search(spark, sf):
+    """R4 on a clustered store, with a limit."""
+    return spatial.radius_query_search(_clustered(spark, sf), CENTER, RADIUS_M, RADIUS_QUERY, SEARCH_LIMIT).select("id", "name")
+
+
 # ---------------------------------------------------------------- S11, O4, R5
 
 
