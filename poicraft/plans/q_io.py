@@ -125,6 +125,16 @@ def q_write_geojson(spark, sf):
     return spark.read.text(path)
 
 
+@query("write_feature_collection", f"""
+select {S.lit(W.COLLECTION_START)} as line union all select {S.lit(W.COLLECTION_END)} union all
+select case when row_number() over (order by cast(id as bigint), feature) = 1 then '' else ',' end || feature from ({EST_FEATURES_SQL})
+""")
+def q_write_feature_collection(spark, sf):
+    features = establishment_features_frame(spark, sf).withColumn("n", F.col("id").cast("bigint"))
+    path = W.write_feature_collection(features, scratch_path(spark, "collection"), ["n"])
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
 EST_COUNTS = f"select category, count(*) as n from ({EST_CAT}) group by category"
 ABBREV_LEGEND_SQL = abbreviate_sql(legend_sql(top_n_sql(EST_COUNTS, TOP_N)))
 

@@ -60,7 +60,7 @@ def run_map(spark, a) -> None:
                                  R.load_catalog_raw(spark, a.catalog), a.keywords, a.top,
                                  audit=a.stage_audit, any_keywords=a.any_keywords, any_columns=a.any_columns,
                                  keys=a.categories, store=lambda df: stored(df, "map"))
-    W.write_geojson(out["features"], a.out, name="features")
+    W.write_feature_collection(out["features"], a.out, ["id"], name="features")
     W.write_legend(out["legend"], a.out, name="legend")
 
 
@@ -68,7 +68,8 @@ def run_venues(spark, a) -> None:
     """Venue points of the top categories, with their legend."""
     out = flows.venue_map_flow(_venues(spark, a), R.load_postal(spark, a.postal),
                                a.keywords, a.categories, a.top, a.as_of or _now())
-    W.write_geojson(out["points"], a.out, name="points")
+    points = out["points"].withColumn("id", F.col("feature.properties.name"))
+    W.write_feature_collection(points, a.out, ["id"], name="points")
     W.write_legend(out["legend"], a.out, name="legend")
 
 

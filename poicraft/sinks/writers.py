@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poicraft.operators.cells import CELL, cell
 from poicraft.operators.dedup import orderable
 
-__all__ = ["write_collection", "write_bucketed", "write_clustered", "write_geojson", "write_legend", "write_counts",
+__all__ = ["write_collection", "write_bucketed", "write_clustered", "write_geojson", "write_feature_collection", "write_legend", "write_counts",
            "write_raw_json", "write_dual", "legend_object", "json_name"]
 
 JSON_OPTIONS = {"ignoreNullFields": "false"}
+# What stands before and after the features of a collection.
+COLLECTION_START, COLLECTION_END = '{"type":"FeatureCollection","features":[', "]}"
+# Part files carry five digits, so names sort like numbers up to here.
+MAX_PARTS = 100_000
 
 
 def write_collection(df: DataFrame, path: str, fmt: str = "parquet", **options) -> str:
@@ -60,11 +66,9 @@ def write_clustered(df: DataFrame, path: str, lat: str = "lat", lng: str = "lng"
 
 def write_geojson(features: DataFrame, path: str, column: str = "feature",
                   name: str | None = None) -> str:
-    """K2/K3: one GeoJSON Feature per line (a GeoJSON text sequence), in parallel.
+    """K2/K3 as lines: one GeoJSON Feature per line (a GeoJSON text sequence), in parallel.
 
-    A single FeatureCollection document would funnel every feature through one
-    writer; consumers that need one can wrap the lines. ``name`` gets ``.json``
-    appended when missing.
+    ``name`` gets ``.json`` appended when missing.
     """
     path = json_name(path, name)
     features.select(F.to_json(F.col(column), JSON_OPTIONS).alias("value")) \
@@ -72,6 +76,33 @@ def write_geojson(features: DataFrame, path: str, column: str = "feature",
     return path
 
 
+def write_feature_collection(features: DataFrame, path: str, order_by: Sequence[str], column: str = "feature",
+                             name: str | None = None) -> str:
+    """K2/K3: all features as one GeoJSON FeatureCollection, written in parallel.
+
+    The part files, put together in the order of their names (``cat part-*``,
+    ``hdfs dfs -getmerge``), are one JSON document with the features in ``order_by``
+    order, one per line. The first part holds the opening of the collection, the last its
+    end, and every range partition in between writes its own features, each behind a
+    comma except the very first: the first range partition holds it, if there is any. No
+    task writes more than its partition, and nothing is counted beforehand. Without
+    features the collection is empty.
+    """
+    path = json_name(path, name)
+    spark = features.sparkSession
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_PARTS - 2)
+    one = lambda text: spark.range(0, 1, 1, 1).select(F.lit(text).alias("value"))
+    body = F.to_json(F.col(column), JSON_OPTIONS)
+    keys = [F.col(f"`{c}`").alias(f"_key{i}") for i, c in enumerate(order_by)]
+    ordered = features.select(*keys, body.alias("_body"))
+    by = [c for c in ordered.columns if c != "_body"] + ["_body"]  # equal keys spread by the feature itself
+    ordered = ordered.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    first = F.monotonically_increasing_id() == 0
+    lines = ordered.select(F.concat(F.when(first, F.lit("")).otherwise(F.lit(",")), "_body").alias("value"))
+    one(COLLECTION_START).unionAll(lines).unionAll(one(COLLECTION_END)).write.mode("overwrite").text(path)
+    return path
+
+
 def legend_object(legend: DataFrame) -> DataFrame:
     """The legend (≤ N + 1 rows) as one JSON object ``{"label": "#color", …}`` in rank order.
 

@@ -112,3 +112,33 @@ def test_counts_file_is_sorted_and_batches_keep_key_order(spark):
     first = ent.entity_batches(ents, ["_key"]).filter("batch_id = 0").first()
     ids = [int(e["id"]) for e in json.loads(first.payload)["entities"]]
     assert ids == list(range(400)) and json.loads(first.payload)["actionType"] == "APPEND"
+
+
+@pytest.mark.parametrize("rows, parts", [(0, 8), (1, 8), (7, 8), (3000, 8), (500, 40), (50, 1)])
+def test_feature_collection_is_one_document(spark, rows, parts):
+    import glob
+    features = spark.range(0, rows, 1, 6).select(
+        ((F.col("id") * 7) % max(rows, 1)).alias("k"), F.struct(F.lit("Feature").alias("type"), F.struct(
+            F.concat(F.lit('a "b", ]}\n'), F.col("id").cast("string")).alias("name"), F.lit(None).cast("string").alias("www")).alias("properties")).alias("feature"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        path = W.write_feature_collection(features, scratch_path(spark, "fc"), ["k"], name="map")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    files = sorted(glob.glob(path.replace("file:", "") + "/part-*"))
+    got = json.loads("".join(open(f).read() for f in files))
+    want = [json.loads(r.j) for r in features.orderBy("k").select(F.to_json("feature", {"ignoreNullFields": "false"}).alias("j")).collect()]
+    assert path.endswith("map.json") and got == {"type": "FeatureCollection", "features": want}
+    if rows > 1000:
+        assert len(files) == parts + 2  # header, a file per range partition, end
+        lines = W.write_geojson(features, scratch_path(spark, "fc-lines"))
+        assert sorted(map(json.dumps, want)) == sorted(json.dumps(json.loads(r.value)) for r in spark.read.text(lines).collect())
+
+
+def test_feature_collection_of_equal_keys_spreads(spark):
+    import glob
+    features = spark.range(0, 4000, 1, 4).select(F.lit(1).alias("k"), F.struct(F.col("id").cast("string").alias("id")).alias("feature"))
+    path = W.write_feature_collection(features, scratch_path(spark, "fc-hot"), ["k"])
+    sizes = [sum(1 for _ in open(f)) for f in glob.glob(path.replace("file:", "") + "/part-*")]
+    assert sum(sizes) == 4002 and max(sizes) < 1500
