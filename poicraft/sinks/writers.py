@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from poicraft.operators.cells import CELL, cell
 from poicraft.operators.dedup import orderable
+from poicraft.sinks.publish import publish
 
 __all__ = ["write_collection", "write_bucketed", "write_clustered", "write_geojson", "write_feature_collection", "write_legend", "write_counts",
            "write_raw_json", "write_dual", "legend_object", "json_name"]
 
 JSON_OPTIONS = {"ignoreNullFields": "false"}
+# Formats that write files under a path; their collections are published under this name.
+FILE_FORMATS = ("parquet", "orc", "json", "csv", "text", "avro")
+COLLECTION = "data"
 # What stands before and after the features of a collection.
 COLLECTION_START, COLLECTION_END = '{"type":"FeatureCollection","features":[', "]}"
 # Part files carry five digits, so names sort like numbers up to here.
@@ -21,8 +25,19 @@ MAX_PARTS = 100_000
 
 
 def write_collection(df: DataFrame, path: str, fmt: str = "parquet", **options) -> str:
-    """K1: overwrite a collection; errors propagate to the caller."""
-    df.write.format(fmt).mode("overwrite").options(**options).save(path)
+    """K1: overwrite a collection; errors propagate to the caller.
+
+    Files are published atomically (``sinks.publish``): readers (``load_collection``) see the
+    old collection, whole, until the new one is, also where it is derived from the old
+    one. Other formats overwrite by their connector's own rules.
+    """
+    def write(folder: str) -> None:
+        df.write.format(fmt).mode("overwrite").options(**options).save(folder)
+
+    if fmt in FILE_FORMATS:
+        publish(df.sparkSession, path, {COLLECTION: write})
+    else:
+        write(path)
     return path
 
 
@@ -142,7 +157,7 @@ def write_raw_json(df: DataFrame, path: str) -> str:
 
 
 def write_dual(raw: DataFrame, mapped: DataFrame, base: str, run_id: str) -> dict:
-    """K7: raw documents and mapped entities under one run folder."""
-    root = f"{base.rstrip('/')}/{run_id}"
-    return {"raw": write_raw_json(raw, f"{root}/raw"),
-            "mapped": write_raw_json(mapped, f"{root}/mapped")}
+    """K7: raw documents and mapped entities of a run, committed together: ``load_dual``
+    shows both halves or neither. Returns the folders ``raw`` and ``mapped``."""
+    return publish(raw.sparkSession, f"{base.rstrip('/')}/{run_id}", {
+        "raw": lambda folder: write_raw_json(raw, folder), "mapped": lambda folder: write_raw_json(mapped, folder)})

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from poicraft.sinks.publish import published
+from poicraft.sinks.writers import COLLECTION, FILE_FORMATS
+
 __all__ = [
     "ESTABLISHMENT_COLUMNS", "VENUE_SCHEMA", "RESPONSE_SCHEMA", "PHOTO_SCHEMA",
     "load_establishments", "load_catalog_raw", "load_postal", "load_venues", "project_venues",
-    "load_collection", "flatten_venues", "build_catalog", "union_parts", "find_by_array_value",
+    "load_collection", "load_dual", "flatten_venues", "build_catalog", "union_parts", "find_by_array_value",
 ]
 
 # The establishment columns kept from the directory CSV, in order.
@@ -103,8 +106,16 @@ def project_venues(docs: DataFrame) -> DataFrame:
 
 
 def load_venues(spark: SparkSession, path: str, fmt: str = "json", **options) -> DataFrame:
-    """Venue documents from files or a document-store connector (``fmt``)."""
-    return project_venues(spark.read.format(fmt).schema(VENUE_SCHEMA).options(**options).load(path))
+    """Venue documents from files, a collection of ``write_collection``, or a
+    document-store connector (``fmt``)."""
+    return project_venues(spark.read.format(fmt).schema(VENUE_SCHEMA).options(**options).load(_resolved(spark, path, fmt)))
+
+
+def _resolved(spark: SparkSession, path: str, fmt: str) -> str:
+    """The folder of a published collection's newest run; any other path as it is."""
+    if fmt not in FILE_FORMATS or not isinstance(path, str) or any(c in path for c in "*?{["):
+        return path
+    return (published(spark, path) or {}).get(COLLECTION, path)
 
 
 def load_venue_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -114,8 +125,16 @@ def load_venue_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_collection(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
-    """A whole stored collection, as written."""
-    return spark.read.format(fmt).options(**options).load(path)
+    """A whole stored collection, as written: the newest published run, or plain files."""
+    return spark.read.format(fmt).options(**options).load(_resolved(spark, path, fmt))
+
+
+def load_dual(spark: SparkSession, base: str, run_id: str) -> dict[str, DataFrame] | None:
+    """K7 read back: ``raw`` (responses) and ``mapped`` (entities) of a run, None unless both are published."""
+    folders = published(spark, f"{base.rstrip('/')}/{run_id}")
+    if folders is None:
+        return None
+    return {"raw": spark.read.schema(RESPONSE_SCHEMA).json(folders["raw"]), "mapped": spark.read.json(folders["mapped"])}
 
 
 def flatten_venues(responses: DataFrame, mapped: bool = False, as_of: str | None = None) -> DataFrame:

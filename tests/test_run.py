@@ -8,6 +8,7 @@ from poicraft.plans.evidence import written_plans
 from poicraft.plans.run import main
 from poicraft.session import scratch_path
 from poicraft.sinks import writers as W
+from poicraft.sources import readers as R
 
 SF = "/root/testdata/sf0.001"
 
@@ -102,5 +103,5 @@ def test_categories_and_shares_pipelines(spark):
           "--categories", "cat1", "cat2"], spark=spark)
     rows = spark.read.json(f"{out2}/shares").collect()
     assert rows and abs(sum(r.share for r in rows) - 100.0 * len({r.municipio for r in rows})) < 1e-6
-    stored = spark.read.parquet(f"{out2}/collection")
+    stored = R.load_collection(spark, f"{out2}/collection")
     assert "formattedAddress" in stored.columns and stored.count() == sum(r.n for r in rows)
