@@ -75,16 +75,20 @@ def assign_cells(df: DataFrame, sw: Point, ne: Point, nx: int, ny: int,
         .withColumn("cell_id", F.col("j") * F.lit(nx) + F.col("i"))
 
 
-def mesh_sweep(df: DataFrame, sw: Point = CITY_SW, ne: Point = CITY_NE, nx: int = CITY_NX,
-               ny: int = CITY_NY, cap: int = CELL_CAP, order_by: Sequence[str] = ("id",),
-               lat: str = "lat", lng: str = "lng") -> DataFrame:
-    """Every cell's first ``cap`` venues by ``order_by``.
+def first_of_cells(cells: DataFrame, cap: int = CELL_CAP, order_by: Sequence[str] = ("id",)) -> DataFrame:
+    """The first ``cap`` venues of every cell by ``order_by``, with their ``rank`` from 1.
 
     ``row_number() <= cap`` lets Spark insert a partial per-group limit before
     the shuffle (WindowGroupLimit), so a dense cell sends at most ``cap`` rows per
     input partition instead of all its rows.
     """
-    cells = assign_cells(df, sw, ne, nx, ny, lat, lng)
     w = Window.partitionBy("cell_id").orderBy(*order_by)
     return cells.withColumn("rank", F.row_number().over(w).cast("bigint")) \
         .filter(F.col("rank") <= F.lit(cap))
+
+
+def mesh_sweep(df: DataFrame, sw: Point = CITY_SW, ne: Point = CITY_NE, nx: int = CITY_NX,
+               ny: int = CITY_NY, cap: int = CELL_CAP, order_by: Sequence[str] = ("id",),
+               lat: str = "lat", lng: str = "lng") -> DataFrame:
+    """Every cell's first ``cap`` venues by ``order_by``."""
+    return first_of_cells(assign_cells(df, sw, ne, nx, ny, lat, lng), cap, order_by)

@@ -12,6 +12,7 @@ from poicraft.operators.enrich import NO_PHOTO, NO_PHOTO_ITEMS
 from poicraft.operators import features as FT
 from poicraft.plans import bindings as B
 from poicraft.plans import sqlfrag as S
+from poicraft.plans.collect import collect_mesh
 from poicraft.plans.params import (AS_OF, AS_OF_TEXT, BOX_CATEGORY, BOX_NE, BOX_SW, CENTER,
                                    LEGEND_N, MESH_RESUME, MESH_X, MESH_Y, RADIUS_M, RADIUS_QUERY, SEARCH_LIMIT,
                                    RETAIL_CATEGORY, RETAIL_KIND, SWEEP_CAP, SWEEP_NE, SWEEP_SW,
@@ -146,7 +147,7 @@ _DX = (SWEEP_NE[1] - SWEEP_SW[1]) / MESH_X
 _DY = (SWEEP_NE[0] - SWEEP_SW[0]) / MESH_Y
 
 
-@query("mesh_sweep", f"""
+_SWEEP_SQL = f"""
 with p as (
   select id, cast(least(floor((lng - {d(SWEEP_SW[1])}) / {d(_DX)}), {MESH_X - 1}) as bigint) as i,
              cast(least(floor((lat - {d(SWEEP_SW[0])}) / {d(_DY)}), {MESH_Y - 1}) as bigint) as j
@@ -155,12 +156,24 @@ with p as (
 q as (select id, i, j, j * {MESH_X} + i as cell_id,
         cast(row_number() over (partition by j * {MESH_X} + i order by id) as bigint) as rank from p)
 select * from q where rank <= {SWEEP_CAP}
-""")
+"""
+
+
+@query("mesh_sweep", _SWEEP_SQL)
 def q_mesh_sweep(spark, sf):
     out = mesh.mesh_sweep(B.points(spark, sf), SWEEP_SW, SWEEP_NE, MESH_X, MESH_Y, SWEEP_CAP, ["id"])
     return out.select("id", "i", "j", "cell_id", "rank")
 
 
+@query("mesh_collect_resumed", f"select id, cell_id, rank from ({_SWEEP_SQL})")
+def q_mesh_collect_resumed(spark, sf):
+    """E6 in two calls: the first ends after one step, the second goes on from the progress table."""
+    out = scratch_path(spark, "mesh-collect")
+    box = dict(sw=SWEEP_SW, ne=SWEEP_NE, nx=MESH_X, ny=MESH_Y, cap=SWEEP_CAP, step_blocks=35)
+    collect_mesh(spark, B.points(spark, sf), out, most_steps=1, **box)
+    return collect_mesh(spark, B.points(spark, sf), out, **box).select("id", "cell_id", "rank")
+
+
 # ---------------------------------------------------------------- nested documents S7, P3, S10
 
 

@@ -27,6 +27,7 @@ from poicraft.operators.audit import StageAudit
 from poicraft.operators import entities as ent, mesh
 from poicraft.operators.index import take_slice
 from poicraft.plans import flows
+from poicraft.plans.collect import collect_mesh
 from poicraft.session import checkpoint_dir, stored
 from poicraft.sinks import writers as W
 from poicraft.sources import readers as R
@@ -90,11 +91,12 @@ def run_shares(spark, a) -> None:
 def run_mesh(spark, a) -> None:
     """The collection mesh and, whole, every cell's first venues, from the resumed cell on.
 
+    A broken run goes on where it stopped when it is called again with the same ``--out``.
     Venues in JSON files keep their lines as they are; other formats keep the venue columns.
     """
     W.write_raw_json(mesh.mesh_resume(mesh.mesh_grid(spark), a.resume), f"{a.out}/cells")
     venues = R.load_venue_lines(spark, a.venues) if a.format == "json" else _venues(spark, a)
-    found = stored(mesh.mesh_resume(mesh.mesh_sweep(venues, cap=a.cap), a.resume), "mesh")
+    found = collect_mesh(spark, venues, f"{a.out}/state", cap=a.cap, start=a.resume)
     W.write_raw_json(found.select("id", "cell_id", "rank"), f"{a.out}/sweep")
     if a.format == "json":
         found.select(F.col("doc").alias("value")).write.mode("overwrite").text(f"{a.out}/venues")
