@@ -58,6 +58,13 @@ def q_scan_venues(spark, sf):
     return comparable(R.load_venues(spark, path, "json"))
 
 
+@query("scan_document_store", VEN_FLAT_SQL)
+def q_scan_document_store(spark, sf):
+    """The venue documents stored as dump files and read back in several splits."""
+    path = W.write_collection(B.venue_documents(spark, sf), scratch_path(spark, "venue-dump"), "docdump")
+    return comparable(R.load_venues(spark, path, "docdump", splitBytes=1 << 20))
+
+
 @query("scan_collection", f"select {EST_COLS} from ({B.EST_SQL})")
 def q_scan_collection(spark, sf):
     path = W.write_collection(B.establishments(spark, sf), scratch_path(spark, "collection"), "json")

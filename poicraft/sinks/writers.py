@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from poicraft.operators.cells import CELL, cell
 from poicraft.operators.dedup import orderable
 from poicraft.sinks.publish import publish
+from poicraft.sources import docdump
 
 __all__ = ["write_collection", "write_bucketed", "write_clustered", "write_geojson", "write_feature_collection", "write_legend", "write_counts",
            "write_raw_json", "write_dual", "legend_object", "json_name"]
 
 JSON_OPTIONS = {"ignoreNullFields": "false"}
 # Formats that write files under a path; their collections are published under this name.
-FILE_FORMATS = ("parquet", "orc", "json", "csv", "text", "avro")
+FILE_FORMATS = ("parquet", "orc", "json", "csv", "text", "avro", docdump.NAME)
 COLLECTION = "data"
 # What stands before and after the features of a collection.
 COLLECTION_START, COLLECTION_END = '{"type":"FeatureCollection","features":[', "]}"
@@ -31,6 +32,9 @@ def write_collection(df: DataFrame, path: str, fmt: str = "parquet", **options)
     old collection, whole, until the new one is, also where it is derived from the old
     one. Other formats overwrite by their connector's own rules.
     """
+    if fmt == docdump.NAME:
+        docdump.register(df.sparkSession)
+
     def write(folder: str) -> None:
         df.write.format(fmt).mode("overwrite").options(**options).save(folder)
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from poicraft.sinks.publish import published
 from poicraft.sinks.writers import COLLECTION, FILE_FORMATS
+from poicraft.sources import docdump
 
 __all__ = [
     "ESTABLISHMENT_COLUMNS", "VENUE_SCHEMA", "RESPONSE_SCHEMA", "PHOTO_SCHEMA",
@@ -106,8 +107,10 @@ def project_venues(docs: DataFrame) -> DataFrame:
 
 
 def load_venues(spark: SparkSession, path: str, fmt: str = "json", **options) -> DataFrame:
-    """Venue documents from files, a collection of ``write_collection``, or a
-    document-store connector (``fmt``)."""
+    """Venue documents from files, a collection of ``write_collection``, dump files of a
+    document store (``docdump``), or a document-store connector (``fmt``)."""
+    if fmt == docdump.NAME:
+        docdump.register(spark)
     return project_venues(spark.read.format(fmt).schema(VENUE_SCHEMA).options(**options).load(_resolved(spark, path, fmt)))
 
 
@@ -124,9 +127,15 @@ def load_venue_lines(spark: SparkSession, path: str) -> DataFrame:
     return line.select("doc", "v.id", F.col("v.location.lat").alias("lat"), F.col("v.location.lng").alias("lng"))
 
 
-def load_collection(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
-    """A whole stored collection, as written: the newest published run, or plain files."""
-    return spark.read.format(fmt).options(**options).load(_resolved(spark, path, fmt))
+def load_collection(spark: SparkSession, path: str, fmt: str = "parquet", schema=None, **options) -> DataFrame:
+    """A whole stored collection, as written: the newest published run, or plain files.
+
+    Formats that do not keep the schema (``docdump``) take it from the caller.
+    """
+    if fmt == docdump.NAME:
+        docdump.register(spark)
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.format(fmt).options(**options).load(_resolved(spark, path, fmt))
 
 
 def load_dual(spark: SparkSession, base: str, run_id: str) -> dict[str, DataFrame] | None:
