@@ -7,8 +7,16 @@ and, for each pair of buckets, the product of their factors and values: so a pai
 such as an insult and a group's name can count for more (or less) than the sum
 of both. It is fitted on a bounded sample of labelled rows; all rows are scored.
 
-Terms that say nothing about the label only add noise, so the machine runs over
-the buckets with the largest chi-square between presence and label.
+Terms that say nothing about the label only add noise, so the machine runs over the
+buckets that do: those whose presence goes with the label by a chi-square test, and those of
+two words that tell together what neither tells alone: for every pair of common words,
+the chi-square of the four cases of their presence, beyond that of each word. Both are
+tests at a level of significance; nothing is cut by rank or number.
+
+A null text has no terms. Null ids and labels are not learnt from; of several documents
+with one id the sample takes that with the smallest hash of its text; equal texts score
+alike; an empty table gives an empty result, and no label at all a score of 0.25. Other
+columns are not read.
 """
 
 import re
@@ -28,9 +36,12 @@ BUCKETS = 1 << 20
 STEMS = (4, 5, 6, 7)
 #: Labelled rows in the training sample, at most (those with the smallest hash of the id).
 MAX_TRAIN = 20_000
-#: Buckets that the machine uses: at most so many, in at least so many training rows, with at
-#: least this chi-square (about one in a million by chance).
-FEATURES, LEAST_ROWS, LEAST_CHI = 1024, 5, 24.0
+#: Buckets that the machine uses: in at least so many training rows, with at least this
+#: chi-square (about one in a million by chance).
+LEAST_ROWS, LEAST_CHI = 5, 24.0
+#: Pairs that are tested: of words in at least this share of the training rows; and their
+#: least chi-square beyond that of the words, of which there may be millions (p about 1e-12).
+PAIR_SHARE, PAIR_CHI = 0.05, 60.0
 FACTORS = 8
 EPOCHS, RATE = 200, 0.05
 #: L2 penalties of weights and factors on the summed loss, so they count for less the more rows there are.
@@ -115,44 +126,95 @@ def fit(rows: list[list[int]], values: list[list[float]], labels: np.ndarray, n:
 
 
 def _bucket_counts(batches):
-    """Rows and toxic rows per bucket, added up over the task's rows."""
-    rows, toxic = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    """Rows, toxic rows and rows with a whole word per bucket, added up over the task's rows."""
+    rows, toxic, whole = (np.zeros(BUCKETS, np.int64) for _ in range(3))
     for batch in batches:
         for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
-            own = list({b for w in words(text) for b in buckets(w)})
+            found = [buckets(w) for w in words(text)]
+            own = list({b for f in found for b in f})
             rows[own] += 1
+            whole[list({f[0] for f in found})] += 1
             if y:
                 toxic[own] += 1
     at = np.flatnonzero(rows)
-    yield pa.RecordBatch.from_arrays([pa.array(a) for a in (at, rows[at], toxic[at])], names=["bucket", "rows", "toxic"])
+    yield pa.RecordBatch.from_arrays([pa.array(a) for a in (at, rows[at], toxic[at], whole[at])], names=["bucket", "rows", "toxic", "words"])
+
+
+def telling_pairs(rows: list[np.ndarray], labels: np.ndarray, n: int) -> np.ndarray:
+    """Of words 0 to n - 1, those that belong to a pair which tells more than its words do.
+
+    ``rows`` holds the words of each row. Pairs are counted by matrix products over a few
+    thousand rows at a time.
+    """
+    y = np.asarray(labels, bool)
+    both, toxic = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
+    for start in range(0, len(rows), 2048):
+        part = rows[start:start + 2048]
+        x = np.zeros((len(part), n), np.float32)
+        for i, r in enumerate(part):
+            x[i, r] = 1
+        both += x.T @ x
+        x = x[y[start:start + 2048]]
+        toxic += x.T @ x
+    total, rate = len(rows), y.mean() if len(rows) else 0.0
+    if not 0 < rate < 1:
+        return np.zeros(0, np.int64)
+
+    def off(count, hits):
+        """Chi-square of cases against the common rate."""
+        return (hits - count * rate) ** 2 / np.maximum(count * rate * (1 - rate), 1)
+
+    one, hit = both.diagonal().astype(np.float64), toxic.diagonal().astype(np.float64)
+    alone = off(one, hit) + off(total - one, y.sum() - hit)
+    found = np.zeros(n, bool)
+    for i in range(n):
+        c, t = both[i].astype(np.float64), toxic[i].astype(np.float64)
+        joint = (off(c, t) + off(one[i] - c, hit[i] - t) + off(one - c, hit - t)
+                 + off(total - one[i] - one + c, y.sum() - hit[i] - hit + t))
+        far = joint - alone[i] - alone >= PAIR_CHI
+        far[i] = False
+        found |= far
+    return np.flatnonzero(found)
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
           max_train: int = MAX_TRAIN) -> Machine:
     """A machine fitted on at most ``max_train`` labelled rows (null labels are left out).
 
-    The sample of ids and labels is bounded, so it is broadcast and no text is
-    shuffled. The driver gets the chosen buckets and, for each sampled row, the
-    few of them that it has. Without any label every text scores 0.25.
+    The sample of ids and labels is bounded, so it is broadcast, and each of its rows takes
+    one document. The driver gets, for each sampled row, its common words (for the
+    pairs) and then the chosen buckets. Without any label every text scores 0.25.
     """
     sample = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).filter(
         "id is not null and y is not null").distinct().orderBy(F.xxhash64("id", F.lit(SEED)), "id", "y").limit(max_train)
-    d = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    found = stored(d.join(F.broadcast(sample), "id").select("id", "y", "text"), "toxicity-sample")
+    d = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    one = d.join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = stored(one.select("id", "y", "text"), "toxicity-sample")
     n, n_toxic = found.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    each = found.select("y", "text").mapInArrow(_bucket_counts, "bucket bigint, rows bigint, toxic bigint").groupBy("bucket").agg(
-        F.sum("rows").alias("rows"), F.sum("toxic").alias("toxic")).filter(F.col("rows") >= LEAST_ROWS)
+    each = stored(found.select("y", "text").mapInArrow(_bucket_counts, "bucket bigint, rows bigint, toxic bigint, words bigint").groupBy("bucket").agg(
+        F.sum("rows").alias("rows"), F.sum("toxic").alias("toxic"), F.sum("words").alias("words")).filter(F.col("rows") >= LEAST_ROWS), "toxicity-buckets")
     want = F.col("rows") * (n_toxic / max(n, 1))
     chi = F.pow(F.col("toxic") - want, 2) / F.greatest(want * (1 - F.col("rows") / (n + 1)), F.lit(1e-9))
-    each = each.select("bucket", chi.alias("chi")).filter(F.col("chi") >= LEAST_CHI)
-    places = {r.bucket: i for i, r in enumerate(each.orderBy(F.desc("chi"), "bucket").limit(FEATURES).collect())}
-    chosen = Machine(places)
+    chosen = {r.bucket for r in each.filter(chi >= LEAST_CHI).select("bucket").collect()}
+    common = sorted(r.bucket for r in each.filter(F.col("words") >= max(LEAST_ROWS, PAIR_SHARE * n)).select("bucket").collect())
+    at = {b: i for i, b in enumerate(common)}
+
+    @F.pandas_udf("array<int>")
+    def common_words(texts: pd.Series) -> pd.Series:
+        return pd.Series([sorted({at[b] for w in words(t) if (b := buckets(w)[0]) in at}) for t in texts])
+
+    seen = found.select("y", common_words("text").alias("at")).collect() if at else []
+    pairs = telling_pairs([np.asarray(r["at"], np.int64) for r in seen], np.array([r.y for r in seen]), len(common))
+    chosen |= {common[i] for i in pairs}
+    places = {b: i for i, b in enumerate(sorted(chosen))}
+    machine = Machine(places)
 
     @F.pandas_udf("rows array<int>, x array<double>")
     def features(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([chosen.features(t) for t in texts], columns=["rows", "x"])
+        return pd.DataFrame([machine.features(t) for t in texts], columns=["rows", "x"])
 
-    rows = found.select("id", "y", features("text").alias("f")).select("id", "y", "f.rows", "f.x").orderBy("id", "y", "rows").collect()
+    rows = found.select("id", "y", features("text").alias("f")).select("id", "y", "f.rows", "f.x").collect()
+    rows.sort(key=lambda r: (r.id, r.y))
     return Machine(places, *fit([r.rows for r in rows], [r.x for r in rows], np.array([r.y for r in rows]), len(places)))
 
 
