@@ -12,6 +12,11 @@ items, blocks below the threshold are skipped, and within the others WAND moves
 the posting lists from pivot to pivot. Each hit is then verified: shingles of the
 item's question and of its answer must occur in the passage.
 
+An item of fewer than ``LEAST_ITEM`` tokens says too little to convict a text that shares
+them: it is left out (``short_items`` lists these). A part shorter than a shingle never
+convicts alone: it must occur as an uninterrupted run beside the verified other part, and
+where both are that short the whole item must occur by its shingles.
+
 An index holds items up to a bounded size of text; a larger benchmark gives
 several indexes, which are searched one after the other. Document frequencies
 are those of all items.
@@ -33,6 +38,8 @@ THRESHOLD = 0.5
 OVERLAP = 0.8
 SHINGLE = 5
 K1, B = 1.2, 0.75
+#: Tokens that an item must have to be searched for.
+LEAST_ITEM = 8
 #: Items per block of an index.
 BLOCK = 2
 #: Words that are searched at once, about, and bounds (passages times blocks).
@@ -220,33 +227,43 @@ class Index:
             for k, score in hits:
                 item_id, question, answer = self.items[k]
                 q, r = held(question), held(answer)
-                if q >= overlap and r >= overlap or self.whole and held(question + answer) >= overlap:
+                alone = max(len(question), len(answer)) >= shingle
+                if alone and q >= overlap and r >= overlap or (self.whole or not alone) and held(question + answer) >= overlap:
                     n, s, q0, r0 = out[i].get(item_id, (0, 0.0, 0.0, 0.0))
                     out[i][item_id] = (n + 1, max(s, score), max(q, q0), max(r, r0))
         return out
 
 
+def _parted(items: DataFrame, item_id: str, text: str, answer: str | None) -> DataFrame:
+    """``item_id, q, a``: the tokens of every item's question and answer."""
+
+    @F.pandas_udf("struct<q:array<string>,a:array<string>>")
+    def split_item(text: pd.Series, other: pd.Series) -> pd.DataFrame:
+        split = [question_answer(t) if answer is None else (tokens(t), tokens(o)) for t, o in zip(text, other)]
+        return pd.DataFrame({"q": [q for q, _ in split], "a": [a for _, a in split]})
+
+    own, other = (F.col(f"`{c}`").cast("string") for c in (text, answer or text))
+    return items.select(F.col(f"`{item_id}`").cast("bigint").alias("item_id"), split_item(own, other).alias("p")).select("item_id", "p.q", "p.a")
+
+
+def short_items(items: DataFrame, item_id: str = "item_id", text: str = "text", answer: str | None = None) -> DataFrame:
+    """``item_id, n_tokens`` of the items that are too short to be searched for."""
+    return _parted(items, item_id, text, answer).select("item_id", (F.size("q") + F.size("a")).alias("n_tokens")).filter(f"n_tokens < {LEAST_ITEM}")
+
+
 def build_indexes(items: DataFrame, item_id: str = "item_id", text: str = "text", answer: str | None = None,
                   index_bytes: int = INDEX_BYTES) -> list[Index]:
-    """Indexes that together hold all items. Items without a token or an id are left out.
+    """Indexes that together hold all items. Items without an id or of fewer than ``LEAST_ITEM`` tokens are left out.
 
     With ``answer``, ``text`` is the question and that column the answer. Without,
     the last sentence counts as the answer, and an item is also held by a text that
     has enough of the whole item's shingles.
     """
 
-    @F.pandas_udf("struct<q:array<string>,a:array<string>>")
-    def split_item(text: pd.Series, other: pd.Series) -> pd.DataFrame:
-        split = [question_answer(t) if answer is None else (tokens(t), tokens(o)) for t, o in zip(text, other)]
-        return pd.DataFrame({"q": [q for q, _ in split], "a": [a for _, a in split]})
-
-    own = F.col(f"`{text}`").cast("string")
-    n_bytes = items.agg(F.sum(F.octet_length(own))).first()[0] or 0
+    n_bytes = items.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
     parts = max(1, math.ceil(n_bytes / index_bytes))
-    rows = stored(items.select(
-        F.col(f"`{item_id}`").cast("bigint").alias("item_id"), split_item(own, F.col(f"`{answer or text}`").cast("string")).alias("p")).filter(
-        "item_id is not null and size(p.q) + size(p.a) > 0").select(
-        "item_id", "p.q", "p.a", F.pmod(F.xxhash64("item_id"), F.lit(parts)).alias("part")).distinct(), "decontam-items")
+    rows = stored(_parted(items, item_id, text, answer).filter(f"item_id is not null and size(q) + size(a) >= {LEAST_ITEM}").select(
+        "item_id", "q", "a", F.pmod(F.xxhash64("item_id"), F.lit(parts)).alias("part")).distinct(), "decontam-items")
     n_items, mean = rows.agg(F.count("*"), F.avg(F.size("q") + F.size("a"))).first()
     terms = rows.select("part", F.explode(F.array_distinct(F.concat("q", "a"))).alias("term"))
     df = terms.groupBy("term").count()
@@ -283,7 +300,8 @@ def contaminated(docs: DataFrame, indexes: list[Index], doc_id: str = "doc_id",
 
 
 def decontaminate(docs: DataFrame, indexes: list[Index], text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text holds no test item."""
+    """The rows of ``docs`` whose text holds no test item. Null and empty texts hold none and stay; repeated
+    rows stay or go together; without items, or on an empty table, nothing goes. Other columns are only passed on."""
     for index in indexes:
         docs = docs.filter(F.size(contamination(docs.sparkSession, F.col(f"`{text}`").cast("string"), index)) == 0)
     return docs

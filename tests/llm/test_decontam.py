@@ -121,3 +121,23 @@ def test_odd_rows_and_empty_tables(spark):
     assert D.contaminated(docs, none).columns == D.contaminated(docs, index).columns
     assert D.contaminated(no_docs(spark), index).count() == 0
     assert D.contaminated(docs.withColumn("item_id", F.lit(0)), index).count() == 2
+
+
+def test_short_items_convict_no_document(spark):
+    items = spark.createDataFrame([(1, "Yes"), (2, "What is it? Yes"), (3, "One two three four. Five six seven eight nine."), (4, "Who wrote the famous old book? Nobody."),
+                                   (5, None), (6, "alpha beta gamma delta epsilon zeta eta theta")], "item_id bigint, text string")
+    assert {(r.item_id, r.n_tokens) for r in D.short_items(items).collect()} == {(1, 1), (2, 4), (4, 7), (5, 0)}
+    docs = spark.createDataFrame([
+        (1, "yes we went home today and nothing else happened"), (2, "what is it yes " * 3),
+        (3, "so one two three four five six seven eight nine it was"), (4, "nine four three two eight seven one five six"),
+        (5, "say alpha beta gamma delta epsilon zeta eta theta now"), (6, "epsilon zeta eta theta and then alpha beta gamma delta")], "doc_id bigint, text string")
+    found = {(r.doc_id, r.item_id) for r in D.contaminated(docs, D.build_indexes(items)).collect()}
+    assert found == {(3, 3), (5, 6)}
+
+
+def test_a_short_answer_beside_a_verified_question(spark):
+    items = spark.createDataFrame([(1, "which of the seven wonders of the world still stands today", "Giza")], "item_id bigint, q string, a string")
+    docs = spark.createDataFrame([(1, "Q: Which of the seven wonders of the world still stands today? A: Giza"),
+                                  (2, "Which of the seven wonders of the world still stands today? Who knows"), (3, "Giza is a place")], "doc_id bigint, text string")
+    index = D.build_indexes(items, text="q", answer="a")
+    assert {r.doc_id for r in D.contaminated(docs, index).collect()} == {1}
