@@ -29,8 +29,6 @@ MAX_REPEAT = 2
 SEED = 11
 #: Hash ranges of one source and length.
 RANGES = 256
-#: Where the rest can't be made by adding documents, so many words may be given back first, at most.
-CAPACITY = 1 << 16
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -59,13 +57,15 @@ def _fill(weights: list[int], room: int, low: int = 0) -> list[int]:
     return out
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, share: float, capacity: int = CAPACITY) -> np.ndarray:
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, share: float, capacity: int | None = None) -> np.ndarray:
     """How many documents of each length to take so that their lengths sum to ``budget``
     or as little below it as the dynamic program can reach.
 
     ``share`` is the budget's part of all documents; lengths are positive, distinct, ascending.
     Every length gets its part; the fraction is carried on to the next shorter length, so
     what is left is less than one document of the longest length, however large the source.
+    Where added documents can't make it, documents up to ``capacity`` words (by default the
+    longest length, so any one document can be exchanged) may be given back for others.
     """
     all_ = int((lengths * counts).sum())
     if not all_:
@@ -93,7 +93,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, share: float, capa
         # Not reached: lengths that the carried fraction rounded up may give a document back.
         least = np.floor(counts * min(max(share, 0.0), 1.0)).astype(np.int64)
         back = [(j, -1) for j in near if take[j] > least[j]]
-        more = chosen(back, min(sum(int(lengths[j]) for j, _ in back), capacity))
+        more = chosen(back, min(sum(int(lengths[j]) for j, _ in back), int(lengths[-1]) if capacity is None else capacity))
     for j, k in more:
         take[j] += k
     return take

@@ -108,3 +108,9 @@ def test_odd_rows_and_empty_table(spark):
     assert M.mix(no_docs(spark)).count() == 0 and M.mixed(no_docs(spark)).columns == docs.columns
     wordless = docs.filter("text is null or text = ''")
     assert {r.copies for r in M.mix(wordless).collect()} == {0}
+
+
+def test_long_documents_are_exchanged():
+    """The best sum needs a document above any fixed bound to be given back for a longer one."""
+    take = M.fit(np.array([2_000_000, 3_000_000, 5_000_000]), np.array([1, 1, 1]), 4_500_001, 0.45)
+    assert take.tolist() == [0, 1, 0]
