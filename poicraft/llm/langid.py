@@ -32,6 +32,9 @@ CACHE = 1 << 14
 #: Texts whose vectors are made at once.
 BATCH = 128
 UNKNOWN = "und"
+#: A text in a language reaches at least this share of the median cosine of its size; texts with
+#: fewer letters are not judged. Random letters reach some 0.1 of it, a word said over and over 0.2.
+FLOOR, JUDGED = 0.15, 64
 
 
 class Encoder:
@@ -178,7 +181,35 @@ def predicted(text: Column, model: dict[str, np.ndarray], dim: int = DIM, gram:
     return F.pandas_udf(over, "lang string, score double")(text)
 
 
+def _size_class(text: Column) -> Column:
+    """Logarithm of the number of letters: short texts lie farther from any prototype."""
+    return F.floor(F.log2(F.length(F.regexp_replace(text, "[^\\p{L}]+", "")) + 1)).cast("int")
+
+
+def floors(docs: DataFrame, model: dict[str, np.ndarray], text: str = "text", lang: str = "lang") -> dict[int, float]:
+    """By class of size, the cosine that a text must reach: a share of the median over all
+    documents of ``docs`` of that size which are predicted to be in their own language.
+
+    Shorter texts than ``JUDGED`` letters have no floor: single words lie far from everything.
+    """
+    own = F.col(f"`{text}`").cast("string")
+    rows = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), _size_class(own).alias("size"), predicted(own, model).alias("p"))
+    middle = rows.filter("lang is not null and lang = p.lang").groupBy("size").agg(F.percentile_approx("p.score", 0.5).alias("middle"))
+    return {r["size"]: FLOOR * r.middle for r in middle.collect() if 2 ** r["size"] >= JUDGED}  # a row per power of two
+
+
+def accepted(text: Column, model: dict[str, np.ndarray], least: dict[int, float]) -> Column:
+    """Whether a text is in a language of the model: its cosine reaches the floor of its size (that
+    of the next smaller size where none is known). Never for a null text or one without a letter."""
+    size, found = _size_class(text), predicted(text, model)
+    floor = F.lit(0.0)
+    for k in sorted(least):
+        floor = F.when(size >= k, F.lit(float(least[k]))).otherwise(floor)
+    return (found["lang"] != UNKNOWN) & (found["score"] >= floor)
+
+
 def identify(docs: DataFrame, model: dict[str, np.ndarray], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, lang, score``."""
+    """One row per input row: ``doc_id, lang, score``. A null text or one without a letter is ``und``; equal texts
+    score alike; an empty table gives an empty result. Other columns are not read."""
     return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), predicted(F.col(f"`{text}`").cast("string"), model).alias("p")).select(
         "doc_id", "p.lang", "p.score")

@@ -53,3 +53,41 @@ def test_training_is_bounded_and_ignores_other_columns(spark):
     one = langid.train(docs, max_train=50)
     again = langid.train(docs.repartition(7), max_train=50)
     assert np.allclose(one["de"], again["de"], atol=1e-6)
+
+
+def test_prototypes_and_cosines_by_hand(spark):
+    """The argmax over prototypes, recomputed for every document of the query from its definition."""
+    docs = table("documents", "/root/testdata/sf0.001")
+    enc, vectors = langid.Encoder(), {}
+    for i, t in zip(docs.doc_id, docs.text):
+        total = np.zeros(langid.DIM)
+        letters = "".join(c if c.isalpha() else " " for c in t.lower())
+        letters = " " + " ".join(letters.split()) + " "
+        for k in range(len(letters) - 2):
+            v = np.ones(langid.DIM)
+            for j, c in enumerate(letters[k:k + 3]):
+                v = v * np.roll(enc._letter(0 if c == " " else ord(c)), 2 - j)
+            total += v
+        vectors[i] = total / np.linalg.norm(total)
+    model = {}
+    for lang in sorted(set(docs.lang.dropna())):
+        own = [vectors[i] for i, x in zip(docs.doc_id, docs.lang) if x == lang and remainder(i, 3) != 1]
+        model[lang] = sum(own) / np.linalg.norm(sum(own))
+    rows = QUERIES["op3_language_hd"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        cosines = {k: float(vectors[r.doc_id] @ v) for k, v in model.items()}
+        assert abs(r.score - max(cosines.values())) < 1e-4 and cosines[r.lang_pred] > max(cosines.values()) - 1e-4
+
+
+def test_texts_of_no_language_are_not_accepted(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs)
+    least = langid.floors(docs, model)
+    assert len(least) > 5 and min(least) == 6 and all(0 < v < langid.FLOOR for v in least.values())
+    assert docs.filter(~langid.accepted(F.col("text"), model, least)).count() == 0
+    rng = np.random.default_rng(4)
+    noise = ["".join(rng.choice(list("bcdfghjklmnpqrstvwxzкщшжцчфхпрстнгд"), rng.integers(3, 9))) for _ in range(4000)]
+    strange = [(i, " ".join(noise[i * 100:(i + 1) * 100])) for i in range(40)] + [(90, None), (91, "12 !!"), (92, "")]
+    df = spark.createDataFrame(strange, "doc_id bigint, text string")
+    assert df.filter(langid.accepted(F.col("text"), model, least)).count() == 0
