@@ -3,7 +3,9 @@ mixing to target weights, sharding.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
 written as Parquet in the shared folder and read back as the next stage's
-``docs``. All stages but the last return the columns of ``documents``.
+``docs``. All stages but the last return the columns of ``documents``, also extra ones with
+clashing names; repeated rows are rows of their own until the near-duplicates go; an empty
+table stays empty.
 """
 
 from __future__ import annotations
@@ -17,28 +19,33 @@ from poicraft.llm.queries import remainder
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents in which no language is found (null or no letter)."""
-    model = langid.train(docs.filter(F.coalesce(remainder("doc_id", 3) != 1, F.lit(True))))
-    return docs.filter(langid.predicted(F.col("text"), model)["lang"] != langid.UNKNOWN)
+    """Drops the documents that are in none of the languages learnt: null texts, texts without a
+    letter, and texts far from every language, measured by the training documents of their size."""
+    training = docs.filter(F.coalesce(remainder("doc_id", 3) != 1, F.lit(True)))
+    model = langid.train(training)
+    return docs.filter(langid.accepted(F.col("text"), model, langid.floors(training, model)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, the one with the smallest id."""
+    """Keeps one document of each group of near copies, the one with the smallest id. Null and
+    empty texts are near copies of each other; rows without an id stay."""
     return simhash.drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a test item of ``benchmark``."""
+    """Drops the documents that hold a test item of ``benchmark``; null and empty texts hold none."""
     return decontam.decontaminate(docs, decontam.build_indexes(spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often (0 to 2 times) as the mix of sources takes it."""
+    """Every document as often (0 to 2 times) as the mix of sources takes it; a null source is one
+    of its own, a text without words adds nothing."""
     return mixing.mixed(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The manifest of the shards: ``doc_id, size, text_crc32, shard, slot`` per document taken."""
+    """The manifest of the shards: ``doc_id, size, text_crc32, shard, slot`` per document taken; a null
+    text counts one byte, rows without an id come first."""
     return shards.shards(docs)
 
 
