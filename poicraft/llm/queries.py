@@ -151,18 +151,22 @@ with u as (select page_id, case when contains(url, '://') then substr(url, strpo
 p as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
 o as (select doc_id, max(case when quality = 0 or toxic = 1 then 1 else 0 end) as bad from labels group by doc_id),
-hosts as (select host, string_split(host, '.') as parts, count(bad) as n, coalesce(sum(bad), 0) as bad from p left join o on doc_id = page_id group by host),
-named as (select *, parts[-1] as suffix, array_to_string(parts[-2:], '.') as domain from hosts),
+hosts as (select host, count(bad) as n, coalesce(sum(bad), 0) as bad from p left join o on doc_id = page_id group by host),
+sites as (select *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\\.+$', '') as site from hosts),
+labels_ as (select *, string_split(site, '.') as parts, regexp_matches(site, '{urlrep.ADDRESS}') as ip from sites),
+named as (select *, case when ip then 'ip' when array_to_string(parts[-2:], '.') in {urlrep.SUFFIXES} then array_to_string(parts[-2:], '.') else parts[-1] end as suffix,
+  case when ip then site when array_to_string(parts[-2:], '.') in {urlrep.SUFFIXES} then array_to_string(parts[-3:], '.') else array_to_string(parts[-2:], '.') end as domain from labels_),
 domains as (select domain, suffix, sum(n) as n, sum(bad) as bad from named group by domain, suffix),
 suffixes as (select suffix, sum(n) as n, sum(bad) as bad from domains group by suffix),
 {_strength_sql('s', 'suffixes')}, {_strength_sql('dm', 'domains')}, {_strength_sql('h', 'hosts')},
 ps as (select suffix, (bad + rate * strength) / (n + strength) as prior from suffixes, s),
 pd as (select domain, (bad + prior * strength) / (n + strength) as prior from domains join ps using (suffix), dm),
 ph as (select host, n, bad, (bad + prior * strength) / (n + strength) as rate, n + strength + 1 as size from named join pd using (domain), h),
-low as (select *, greatest(0, rate - {urlrep.Z} * sqrt(rate * (1 - rate) / size)) as low from ph)
+low as (select *, greatest(0.0, rate - {urlrep.Z} * sqrt(rate * (1 - rate) / size)) as low, least(1.0, rate + {urlrep.Z} * sqrt(rate * (1 - rate) / size)) as high from ph)
 select page_id, host, path, {_rules_sql('rule')} as rule,
   coalesce({_rules_sql('verdict')}, case when low > {urlrep.MAX_BAD} then 'block' else 'allow' end) as verdict,
-  cast(n as bigint) as n_labelled, cast(bad as bigint) as n_bad
+  cast(n as bigint) as n_labelled, cast(bad as bigint) as n_bad,
+  round(cast(rate as double), 6) as rate, round(cast(low as double), 6) as low, round(cast(high as double), 6) as high
 from p join low using (host)
 """)
 def op7(spark, sf):
@@ -171,7 +175,8 @@ def op7(spark, sf):
     bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
     outcomes = table(spark, sf, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
     found = urlrep.judge_urls(table(spark, sf, "pages"), outcomes)
-    return found.select("page_id", "host", "path", "rule", "verdict", "n_labelled", "n_bad")
+    return found.select("page_id", "host", "path", "rule", "verdict", "n_labelled", "n_bad",
+                        *[F.round(c, 6).alias(c) for c in ("rate", "low", "high")])
 
 
 @query("op8_budget_mix")

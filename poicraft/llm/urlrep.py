@@ -18,6 +18,11 @@ from poicraft.llm.common import stored
 
 #: Rules (verdict, host, path), the given fixed values.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+#: Suffixes of two labels below which sites are registered (fixed values, common ones).
+SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "or.jp", "co.kr", "com.cn",
+            "com.tw", "com.br", "com.ar", "com.mx", "com.tr", "co.in", "co.za", "co.il")
+#: Hosts that are addresses, not names.
+ADDRESS = r"^(\[.*\]|[0-9]+(\.[0-9]+){3})$"
 #: Host's bad pages, at most, and standard deviations of the posterior bound.
 MAX_BAD, Z = 0.5, 1.645
 #: The strength of a prior, in pages, stays within these.
@@ -33,13 +38,26 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def domain_of(host: Column) -> Column:
-    """Registered domain: the last two labels."""
-    return F.substring_index(host, ".", -2)
+def site_of(host: Column) -> Column:
+    """The host without user info, port and trailing dots: what its reputation is filed under."""
+    bare = F.regexp_replace(host, "^.*@", "")
+    return F.regexp_replace(F.regexp_replace(bare, ":[0-9]*$", ""), r"\.+$", "")
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def is_address(site: Column) -> Column:
+    return site.rlike(ADDRESS)
+
+
+def suffix_of(site: Column) -> Column:
+    """The last label, or the last two where sites are registered below both; ``ip`` for an address."""
+    two = F.substring_index(site, ".", -2)
+    return F.when(is_address(site), "ip").when(two.isin(*SUFFIXES), two).otherwise(F.substring_index(site, ".", -1))
+
+
+def domain_of(site: Column) -> Column:
+    """Registered domain: the suffix and the label before it; an address is its own."""
+    two = F.substring_index(site, ".", -2)
+    return F.when(is_address(site), site).when(two.isin(*SUFFIXES), F.substring_index(site, ".", -3)).otherwise(two)
 
 
 def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -77,8 +95,9 @@ def reputation(pages: DataFrame, z: float = Z) -> DataFrame:
 
     ``rate`` is the posterior mean of bad pages, ``low`` and ``high`` its bounds.
     """
+    site = site_of(F.col("host"))
     hosts = stored(pages.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).select(
-        "host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "bad"), "hosts")
+        "host", domain_of(site).alias("domain"), suffix_of(site).alias("suffix"), "n", "bad"), "hosts")
     add = (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domains = stored(hosts.groupBy("domain", "suffix").agg(*add), "domains")
     suffixes = stored(domains.groupBy("suffix").agg(*add), "suffixes")

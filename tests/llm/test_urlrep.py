@@ -76,3 +76,22 @@ def test_oracle_sql(spark):
         names = [d[0] for d in want.description]
         got = [tuple(r[n] for n in names) for r in QUERIES["op7_host_reputation"](spark, sf).collect()]
         assert sorted(map(str, got)) == sorted(map(str, want.fetchall()))
+
+
+@pytest.mark.parametrize("host, domain, suffix", [
+    ("bad.com:8004", "bad.com", "com"), ("u:p@a.bad.com:80", "bad.com", "com"), ("a.bad.com.", "bad.com", "com"), ("x.shop.co.uk", "shop.co.uk", "co.uk"),
+    ("co.uk", "co.uk", "co.uk"), ("a.b.example.com.br:1", "example.com.br", "com.br"), ("10.0.0.1:8080", "10.0.0.1", "ip"), ("[::1]:80", "[::1]", "ip"),
+    ("localhost", "localhost", "localhost"), ("", "", "")])
+def test_domains_and_suffixes(spark, host, domain, suffix):
+    site = U.site_of(F.col("h"))
+    r = spark.createDataFrame([(host,)], "h string").select(U.domain_of(site).alias("d"), U.suffix_of(site).alias("s")).first()
+    assert (r.d, r.s) == (domain, suffix)
+
+
+def test_ports_share_evidence_and_neighbours_under_a_suffix_do_not(spark):
+    rows = [(f"http://bad.com:{8000 + i % 5}/{i}", 1) for i in range(60)] + [(f"http://spam.co.uk/{i}", 1) for i in range(60)]
+    rows += [(f"http://good{i % 9}.co.uk/{i}", 0) for i in range(90)] + [("http://www.bad.com/", None), ("http://new.co.uk/", None)]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id int, url string")
+    outcomes = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(rows)], "page_id int, bad int")
+    got = {r.host: r for r in U.judge_urls(pages, outcomes, rules=()).collect()}
+    assert got["www.bad.com"].rate > 0.8 and got["new.co.uk"].rate < 0.6 < got["spam.co.uk"].rate
