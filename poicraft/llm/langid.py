@@ -33,7 +33,7 @@ CACHE = 1 << 14
 BATCH = 128
 UNKNOWN = "und"
 #: A text in a language reaches at least this share of the median cosine of its size; texts with
-#: fewer letters are not judged. Random letters reach some 0.1 of it, a word said over and over 0.2.
+#: fewer characters are not judged. Random letters reach some 0.1 of it, a word said over and over 0.2.
 FLOOR, JUDGED = 0.15, 64
 
 
@@ -182,15 +182,15 @@ def predicted(text: Column, model: dict[str, np.ndarray], dim: int = DIM, gram:
 
 
 def _size_class(text: Column) -> Column:
-    """Logarithm of the number of letters: short texts lie farther from any prototype."""
-    return F.floor(F.log2(F.length(F.regexp_replace(text, "[^\\p{L}]+", "")) + 1)).cast("int")
+    """Logarithm of the number of characters: short texts lie farther from any prototype."""
+    return F.floor(F.log2(F.length(text) + 1)).cast("int")
 
 
 def floors(docs: DataFrame, model: dict[str, np.ndarray], text: str = "text", lang: str = "lang") -> dict[int, float]:
     """By class of size, the cosine that a text must reach: a share of the median over all
     documents of ``docs`` of that size which are predicted to be in their own language.
 
-    Shorter texts than ``JUDGED`` letters have no floor: single words lie far from everything.
+    Shorter texts than ``JUDGED`` characters have no floor: single words lie far from everything.
     """
     own = F.col(f"`{text}`").cast("string")
     rows = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), _size_class(own).alias("size"), predicted(own, model).alias("p"))
