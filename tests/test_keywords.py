@@ -101,3 +101,25 @@ def test_long_lists_in_predicates(spark):
     every = ["a"] * 100 + ["b"]
     got = sorted(r.id for r in df.filter(address_keyword_pred(None, F.lit("~"), every, line="b")).collect())
     assert got == sorted(i for i, _, b in rows if "a" in b.lower() and "b" in b.lower())
+
+
+def test_only_keywords_in_some_text_become_candidates(spark, monkeypatch):
+    """Padded numbers share their short pieces with every text, so pieces alone would make each of them a candidate."""
+    met, join = [], K.lookup_join
+    monkeypatch.setattr(K, "lookup_join", lambda facts, dim, *a, **b: met.append(dim) or join(facts, dim, *a, **b))
+    df = spark.range(300).select("id", F.format_string("customer#%09d", F.col("id") * 3).alias("a"))
+    keys = spark.range(5000).select(F.format_string("#%09d", F.col("id") * 7).alias("keyword"))
+    got = sorted(r.id for r in K.any_keyword_rows(df, ["a"], keys, key=["id"]).collect())
+    assert got == [i for i in range(300) if i * 3 % 7 == 0]
+    held = [d for d in met if "_words" in d.columns]
+    assert len(held) == 1 and held[0].select(F.sum(F.size("_words"))).first()[0] == len(got)
+
+
+def test_long_keywords_and_pieces_outside_the_basic_plane(spark):
+    start = "https://example.org/" + "shared/" * 6
+    keys = [f"{start}{i}" for i in range(50)] + ["x" * K.Q, "y" * (K.Q + 1), "?b", "😀" * (K.Q + 2), ""]
+    texts = [f"see {start}7 and {start}49!", start, "x" * (K.Q - 1), "x" * K.Q, "y" * K.Q, "y" * 40, "😀b", "😀" * 40, "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, a string")
+    hits = K.with_hits(df, [F.col("a")], K.keyword_table(table(spark, keys)), ["id"])
+    want = {i: {k for k in keys if t is not None and k in t} for i, t in enumerate(texts)}
+    assert {r.id: {w.keyword for w in r._hits} for r in hits.collect()} == want
