@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from poicraft.llm import decontam, langid, mixing, shards, simhash
-from poicraft.llm.common import stored
+from poicraft.llm.common import small_batches, stored
 from poicraft.llm.queries import remainder
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that are in none of the languages learnt: null texts, texts without a
     letter, and texts far from every language, measured by the training documents of their size."""
+    small_batches(spark)
     training = docs.filter(F.coalesce(remainder("doc_id", 3) != 1, F.lit(True)))
     model = langid.train(training)
     return docs.filter(langid.accepted(F.col("text"), model, langid.floors(training, model)))
@@ -29,11 +30,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies, the one with the smallest id. Null and
     empty texts are near copies of each other; rows without an id stay."""
+    small_batches(spark)
     return simhash.drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a test item of ``benchmark``; null and empty texts hold none."""
+    small_batches(spark)
     return decontam.decontaminate(docs, decontam.build_indexes(spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 

@@ -46,7 +46,7 @@ class Encoder:
         self.letters: dict[int, np.ndarray] = {}
         self.known = np.full(sys.maxunicode + 1, -1, np.int8)  # -1: not yet looked up; else: is a letter
         self.rows: dict[int, int] = {}
-        self.table = np.empty((1024, dim), np.float32)
+        self.table = np.empty((1024, dim), np.int8)  # of +1/-1; the worker keeps it, also in later stages
 
     def _letter(self, code: int) -> np.ndarray:
         v = self.letters.get(code)
@@ -108,7 +108,7 @@ class Encoder:
         for a in range(0, len(keys), CACHE // 4):
             part = slice(a, a + CACHE // 4)
             at = self._places(keys[part])
-            out += counts[:, part] @ self.table[at]
+            out += counts[:, part] @ self.table[at].astype(np.float32)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
 

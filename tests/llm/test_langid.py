@@ -91,3 +91,16 @@ def test_texts_of_no_language_are_not_accepted(spark):
     strange = [(i, " ".join(noise[i * 100:(i + 1) * 100])) for i in range(40)] + [(90, None), (91, "12 !!"), (92, "")]
     df = spark.createDataFrame(strange, "doc_id bigint, text string")
     assert df.filter(langid.accepted(F.col("text"), model, least)).count() == 0
+
+
+def test_the_kept_table_is_a_byte_a_place():
+    """Workers keep it for the next stages: 16 MB of n-gram vectors, not 64."""
+    from poicraft.llm.langid import CACHE, DIM, Encoder
+    enc = Encoder()
+    vectors = enc.vectors(["der schnelle braune Fuchs springt", "the quick brown fox", "", "123"])
+    assert enc.table.nbytes == len(enc.table) * DIM and len(enc.table) <= CACHE
+    for text, v in zip(["der schnelle braune Fuchs springt", "the quick brown fox"], vectors):
+        keys, counts = enc._grams(text)
+        want = counts.astype(np.float64) @ enc.table[enc._places(keys)].astype(np.float64)
+        assert abs(want / np.linalg.norm(want) - v).max() < 1e-5
+    assert not vectors[2:].any()

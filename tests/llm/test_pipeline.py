@@ -66,3 +66,17 @@ def test_odd_rows_and_empty_table(spark, name, stage):
         assert name == "shards" or out.columns == docs.columns
         if docs.isEmpty():
             assert n == 0
+
+
+def test_stages_with_python_bound_their_batches(spark):
+    """A batch of 10,000 documents is held several times over by the JVM and by each worker."""
+    from poicraft.llm.common import BATCH_CONF, BATCH_ROWS
+    before = spark.conf.get(BATCH_CONF)
+    try:
+        for name, stage in corpus_pipeline.STAGES[:3]:
+            for rows, want in ((10_000, BATCH_ROWS), (0, BATCH_ROWS), (100, 100)):
+                spark.conf.set(BATCH_CONF, str(rows))
+                stage(spark, no_docs(spark), SF)
+                assert int(spark.conf.get(BATCH_CONF)) == want
+    finally:
+        spark.conf.set(BATCH_CONF, before)
