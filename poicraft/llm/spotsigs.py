@@ -9,11 +9,15 @@ chain has one signature, made of all its words.
 Two sets are compared by Jaccard likeness, pruned by their lengths: a set can't
 be more alike to another than the ratio of their lengths. For near-duplicate
 matches, sets are partitioned by length so that only neighbouring partitions can
-hold a match, and indexed by their rarer signatures only.
+hold a match, and indexed by their rarer signatures only. Links inside a large group
+of near copies are counted by their distances from the group's centre, without a row
+for each pair.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +39,9 @@ BLOCK_ROWS, MAX_BLOCKS = 2000, 16_384
 LEVELS = 1 << 18
 #: Cuts between blocks that are searched together.
 CUTS = 128
+#: Sets of one low signature and length partition from which a centre is sought, rows it is
+#: fitted on at least (below twice as many on average), and low signatures of a set that lead to centres.
+GROUP, FITTED, LOWEST = 64, 32, 4
 
 
 def with_signatures(df: DataFrame, text: str, out: str, anchors=ANCHORS, chain: int = CHAIN) -> DataFrame:
@@ -154,27 +161,118 @@ def _levels(sets: DataFrame) -> bytearray:
     return bytearray(out.tobytes())
 
 
-def _pairs(sets: DataFrame, least: float) -> DataFrame:
-    """``a, b, likeness``: the pairs of ``sets (id, sigs)`` with a likeness of ``least`` or more, each once.
+def _part(n: Column, least: float) -> Column:
+    """Partition of a set's length: a match lies in the same or the next one."""
+    return F.floor(F.log(n) / F.log(F.lit(1 / least)) + 1e-9)
+
+
+def _weights(least: float) -> tuple[int, int]:
+    """``least`` as a fraction, so that likenesses are compared in whole numbers."""
+    part = Fraction(least).limit_denominator(1_000_000)
+    return part.numerator, part.denominator
+
+
+def _centres(keys: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """``s, part, m, centre, g``: centres of the keys (a low signature and a length partition) of many sets.
+
+    A centre holds the signatures that most of a key's sets have, by a sample of them of about
+    ``FITTED`` rows. Keys whose sets are far from it on average are left out. Which centres
+    there are decides the work, not the result; ``g`` is the hash of the centre.
+    """
+    num, den = _weights(least)
+    many = stored(keys.groupBy("s", "part").agg(F.count("*").alias("m")).filter(F.col("m") >= GROUP), "spot-many")
+    every = F.greatest(F.lit(1), F.floor(F.col("m") / FITTED))
+    fitted = stored(keys.join(many, ["s", "part"]).filter(F.pmod(F.xxhash64("id", "s"), every) == 0), "spot-fitted")
+    held = fitted.join(sets.select("id", "sigs"), "id").select("s", "part", "m", F.explode("sigs").alias("e"))
+    counted = held.groupBy("s", "part", "m", "e").agg(F.count("*").alias("c"))
+    counted = counted.join(fitted.groupBy("s", "part").agg(F.count("*").alias("k")), ["s", "part"])
+    most = F.col("c") * 2 > F.col("k")
+    found = counted.groupBy("s", "part", "m", "k").agg(
+        F.sort_array(F.collect_list(F.when(most, F.col("e")))).alias("centre"),
+        F.sum(F.when(most, den * (F.col("k") - F.col("c"))).otherwise(num * F.col("c"))).alias("far"))
+    found = found.filter(F.col("far") <= F.col("k") * F.size("centre") * (den - num))
+    return found.select("s", "part", "m", "centre", F.xxhash64("centre").alias("g"))
+
+
+def _near(sets: DataFrame, least: float) -> DataFrame:
+    """``id, copies, g, w, room``: the sets near a centre ``g`` of a large group of near copies.
+
+    A set that lacks r signatures of the centre c and has a others shares with another such
+    set |c| - r - r' of the centre's signatures at least, so the two have a likeness of
+    num/den or more if w + w' is within (den - num) |c|, where w = den r + num a. ``room``
+    is that bound less ``w``: of two sets of one ``g``, each ``w`` is within the other's room, or neither is.
+    """
+    num, den = _weights(least)
+    keys = stored(sets.select("id", _part(F.size("sigs"), least).alias("part"), F.explode(F.slice("sigs", 1, LOWEST)).alias("s")), "spot-keys")
+    centres = stored(_centres(keys, sets, least), "spot-centres")
+    # Stored, so that the plan knows how few these rows are and leaves the sets where they lie.
+    own = stored(keys.join(centres.select("s", "part", "m", "g"), ["s", "part"]).groupBy("id").agg(
+        F.max(F.struct("m", "g"))["g"].alias("g")), "spot-own")
+    rows = sets.join(own, "id").join(centres.groupBy("g").agg(F.first("centre").alias("centre")), "g")
+    shared, centre = F.size(F.array_intersect("sigs", "centre")), F.size("centre").cast("bigint")
+    w = (centre - shared) * den + (F.size("sigs") - shared).cast("bigint") * num
+    return stored(rows.select("id", "copies", "g", w.alias("w"), (centre * (den - num) - w).alias("room")).filter("room >= 0"), "spot-near")
+
+
+def _near_links(near: DataFrame) -> DataFrame:
+    """``id, linked``: the rows of the other sets of the same centre within the set's room.
+
+    Counted by distinct values of ``w``, of which a centre has at most a few times its size.
+    """
+    sums = near.groupBy("g", "w", "room").agg(F.sum("copies").alias("c"))
+    points = sums.select("g", "w", F.col("w").alias("at"), F.lit(0).alias("asks"), "c").unionByName(
+        sums.select("g", "w", F.col("room").alias("at"), F.lit(1).alias("asks"), F.lit(0).cast("bigint").alias("c")))
+    order = Window.partitionBy("g").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = points.select("g", "w", "asks", F.sum("c").over(order).alias("rows")).filter("asks = 1").drop("asks")
+    own = F.when(F.col("w") <= F.col("room"), F.col("copies")).otherwise(F.lit(0))
+    return near.join(within, ["g", "w"]).select("id", (F.col("rows") - own).alias("linked"))
+
+
+def _sketch(signatures: str) -> list[Column]:
+    """128 bits of a set, each the parity of the signatures hashed to it: two sketches differ
+    in no more bits than the sets in signatures."""
+    one = F.lit(1).cast("bigint")
+    bit = lambda s: F.call_function("shiftleft", one, s.bitwiseAND(F.lit(63)).cast("int"))
+    return [F.aggregate(F.filter(signatures, lambda s: s.bitwiseAND(F.lit(64)) == 64 * k), F.lit(0).cast("bigint"),
+                        lambda x, s: x.bitwiseXOR(bit(s))).alias(f"bits{k}") for k in (0, 1)]
+
+
+def _pairs(sets: DataFrame, least: float, near: DataFrame | None = None) -> DataFrame:
+    """``a, b, likeness``: the pairs of ``sets (id, sigs)`` with a likeness of ``least`` or more, each once,
+    but for those that ``near`` (``_near``) proves.
 
     Sets are partitioned by the logarithm of their length, so a match lies in one
     partition or two neighbouring ones. The signatures of every set stand in one
     order, rare ones first (by ``_levels``, then by value); of two alike sets the
     first few share one, so only these are indexed, and words that very many sets
-    share lead to no candidates. The order decides the work, not the result.
+    share lead to no candidates. The order decides the work, not the result. A
+    candidate's shared signature taken for their first, the signatures behind it
+    bound what the two can share; their sketches bound in how many they differ.
     """
+    num, den = _weights(least)
     levels = F.lit(_levels(sets))
     ordered = F.array_sort(F.transform("sigs", lambda s: F.struct(
         F.substr(levels, F.pmod(s, F.lit(LEVELS)).cast("int") + 1, F.lit(1)).alias("level"), s.alias("s"))))
-    rows = sets.select("id", F.size("sigs").alias("n"), ordered.alias("ordered"))
-    first = F.slice("ordered", 1, (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))
-    part = F.floor(F.log(F.col("n")) / F.log(F.lit(1 / least)) + 1e-9)
-    index = stored(rows.select("id", "n", part.alias("part"), F.explode(F.transform(first, lambda x: x["s"])).alias("s")), "spot-index")
-    small = index.select(F.col("id").alias("a"), F.col("n").alias("na"), "s", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
-    large = index.select(F.col("id").alias("b"), F.col("n").alias("nb"), "s", "part")
-    met = small.join(large, ["s", "part"]).filter(
-        ((F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))) & (F.col("na") >= F.col("nb") * least))
-    pairs = met.select("a", "b").distinct()
+    rows = sets.select("id", F.size("sigs").cast("bigint").alias("n"), *_sketch("sigs"), ordered.alias("ordered"))
+    if near is None:
+        rows = rows.select("*", F.lit(None).cast("bigint").alias("g"), F.lit(None).cast("bigint").alias("over"))
+    else:
+        rows = rows.join(near.select("id", "g", (F.col("w") - F.col("room")).alias("over")), "id", "left")
+    first = F.slice("ordered", 1, (F.col("n") - F.ceil(F.col("n") * num / den) + 1).cast("int"))
+    rows = rows.select("id", "n", "bits0", "bits1", "g", "over", _part(F.col("n"), least).alias("part"),
+                       F.posexplode(F.transform(first, lambda x: x["s"])).alias("at", "s"))
+    index = stored(rows.select("id", "n", "bits0", "bits1", "g", "over", "part", "s", (F.col("n") - F.col("at")).alias("rest")), "spot-index")
+    # The smaller of two alike sets shares more of its signatures, so fewer of its first are needed.
+    small = index.filter(F.col("rest") * (den + num) >= F.col("n") * 2 * num).withColumn("part", F.explode(F.array("part", F.col("part") + 1)))
+    side = lambda rows, k: rows.select("s", "part", *[F.col(c).alias(f"{k}_{c}") for c in index.columns if c not in ("s", "part")])
+    c = F.col
+    smaller = (c("x_n") < c("y_n")) | (c("x_n") == c("y_n")) & (c("x_id") < c("y_id"))
+    enough = F.least("x_rest", "y_rest") * (den + num) >= (c("x_n") + c("y_n")) * num
+    apart = F.bit_count(c("x_bits0").bitwiseXOR(c("y_bits0"))) + F.bit_count(c("x_bits1").bitwiseXOR(c("y_bits1")))
+    close = apart * (den + num) <= (c("x_n") + c("y_n")) * (den - num)
+    proven = F.coalesce((c("x_g") == c("y_g")) & (c("x_over") + c("y_over") <= 0), F.lit(False))
+    met = side(small, "x").join(side(index, "y"), ["s", "part"]).filter(smaller & enough & close & ~proven)
+    pairs = met.select(c("x_id").alias("a"), c("y_id").alias("b")).distinct()
     own = sets.select("id", "sigs")
     pairs = (pairs.join(own.select(F.col("id").alias("a"), F.col("sigs").alias("x")), "a")
              .join(own.select(F.col("id").alias("b"), F.col("sigs").alias("y")), "b"))
@@ -196,13 +294,17 @@ def matches(prints: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame
 
 def with_links(prints: DataFrame, least: float = 0.8) -> DataFrame:
     """``prints (doc_id, sigs, ...)`` with, instead of ``sigs``, ``class_id`` and ``n_links``, the number of other
-    rows with a likeness of ``least`` or more; both are null for a row without an id."""
+    rows with a likeness of ``least`` or more; both are null for a row without an id.
+
+    A link of two sets that their distances from a common centre prove is counted there, every other one as a pair."""
     sets = _sets(prints)
-    pairs = stored(_pairs(sets, least).select("a", "b"), "spot-pairs")
+    near = _near(sets, least)
+    pairs = stored(_pairs(sets, least, near).select("a", "b"), "spot-pairs")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    far = both.join(sets.select(F.col("id").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("far"))
-    links = stored(sets.join(far, F.col("id") == F.col("a"), "left").select(
-        fingerprint(F.col("sigs")).alias("set"), F.col("id.doc_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("far", F.lit(0))).alias("n_links")), "spot-links")
+    far = both.join(sets.select(F.col("id").alias("b"), "copies"), "b").select("a", "copies").unionByName(
+        _near_links(near).select(F.col("id").alias("a"), F.col("linked").alias("copies"))).groupBy("a").agg(F.sum("copies").alias("far"))
+    links = stored(sets.select(fingerprint(F.col("sigs")).alias("set"), "id", "copies").join(far, F.col("id") == F.col("a"), "left").select(
+        "set", F.col("id.doc_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("far", F.lit(0))).alias("n_links")), "spot-links")
     own = lambda c: F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c)
     rows = prints.select("*", fingerprint(F.col("sigs")).alias("set")).drop("sigs")
     return rows.join(links, "set", "left").select(*[c for c in prints.columns if c != "sigs"], own("class_id"), own("n_links"))

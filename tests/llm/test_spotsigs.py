@@ -117,3 +117,39 @@ def test_blocks(spark):
     df = spark.createDataFrame([(v,) for v in values], "v bigint")
     got = [r.b for r in df.select(S._block(F.col("v"), cuts).alias("b")).collect()]
     assert got == [-1 if v is None else sum(c <= v for c in cuts) for v in values]
+
+
+def _links(sets):
+    return [sum(j != i and jaccard(a, b) >= 0.8 - 1e-9 for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+
+
+def test_a_large_group_of_near_copies_is_counted_without_its_pairs(spark, monkeypatch):
+    common = [f"the word{i} then{i} here{i}" for i in range(40)]
+    texts = [" ".join(common[:20] + [f"the extra{i} one{i} here{i}"] + common[20:]) for i in range(300)]
+    texts += texts[:20] + [" ".join(common[:36])] * 3 + [" ".join(common[:30]), "nothing alike"]
+    kept, old = {}, S.stored
+    monkeypatch.setattr(S, "stored", lambda df, name: kept.setdefault(name, old(df, name)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r.doc_id: r.n_links for r in S.with_links(S.signature_rows(docs)).collect()}
+    assert [rows[i] for i in range(len(texts))] == _links([signatures(t) for t in texts])
+    assert kept["spot-pairs"].count() < 3 * len(texts)
+
+
+def test_links_around_centres_are_those_of_all_pairs(spark, monkeypatch):
+    import random
+    r = random.Random(5)
+    monkeypatch.setattr(S, "GROUP", 4)
+    monkeypatch.setattr(S, "FITTED", 3)
+    sets = []
+    for base, n in ((0, 9), (1000, 20), (2000, 45), (2010, 45), (5000, 90)):
+        for _ in range(60):
+            x = set(range(base, base + n))
+            lost = r.sample(sorted(x), r.randint(0, n // 6))
+            sets.append(frozenset((x - set(lost)) | {base + n + r.randint(0, 12) for _ in range(r.randint(0, n // 9))}))
+    sets += sets[:40]
+    rows = [(i if i % 50 else i + 1, sorted((s * 0x9E3779B97F4A7C15 + 7) % 2**64 - 2**63 for s in x)) for i, x in enumerate(sets)]
+    prints = spark.createDataFrame(rows, "doc_id bigint, sigs array<bigint>")
+    got = sorted((x.doc_id, x.n_links) for x in S.with_links(prints).collect())
+    want = _links(sets)
+    assert got == sorted((d, n) for (d, _), n in zip(rows, want))
+    assert S._near(S._sets(prints), 0.8).count() > 100
