@@ -42,6 +42,10 @@ CUTS = 128
 #: Sets of one low signature and length partition from which a centre is sought, rows it is
 #: fitted on at least (below twice as many on average), and low signatures of a set that lead to centres.
 GROUP, FITTED, LOWEST = 64, 32, 4
+#: Level from which a signature is common, and common first signatures of a set by which a pair met before is known.
+COMMON, BEFORE = 6, 4
+#: A length partition of the index is so many ratios ``1 / least`` wide.
+WIDE = 3
 
 
 def with_signatures(df: DataFrame, text: str, out: str, anchors=ANCHORS, chain: int = CHAIN) -> DataFrame:
@@ -144,21 +148,25 @@ def signature_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def _sets(prints: DataFrame) -> DataFrame:
-    """``sigs, id, copies``: the distinct sets of the rows with an id, each with its number of rows.
+    """``sigs, id, doc_id, copies``: the distinct sets of the rows with an id, each with its number of rows.
 
-    ``id`` is the smallest ``doc_id`` and, as an id may be repeated with another text, a hash of the set.
+    ``doc_id`` is the smallest of the rows. As it may be repeated with another text, a set
+    also has a number of its own, ``id``, which is fixed as the sets are stored.
     """
     return stored(prints.filter("doc_id is not null").groupBy("sigs").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select(
-        "sigs", F.struct("doc_id", F.xxhash64("sigs").alias("h")).alias("id"), "copies"), "spot-sets")
+        "sigs", F.monotonically_increasing_id().alias("id"), "doc_id", "copies"), "spot-sets")
 
 
 def _levels(sets: DataFrame) -> bytearray:
-    """By bucket of the signatures' hash: the logarithm of how many sets have the commonest one."""
-    common = sets.select(F.explode("sigs").alias("s")).groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
-    found = common.groupBy(F.pmod("s", F.lit(LEVELS)).alias("at")).agg(F.floor(F.log2(F.max("df"))).cast("int").alias("level")).toArrow()
-    out = np.zeros(LEVELS, np.uint8)
-    out[found["at"].to_numpy()] = found["level"].to_numpy()
-    return bytearray(out.tobytes())
+    """By bucket of the signatures' hash: the logarithm of how many more signatures it has than a bucket without a common one.
+
+    Counted by bucket before the shuffle, so that not every signature travels."""
+    found = sets.select(F.explode("sigs").alias("s")).groupBy(F.pmod("s", F.lit(LEVELS)).cast("int").alias("at")).agg(F.count("*").alias("n")).toArrow()
+    counts = np.zeros(LEVELS)
+    counts[found["at"].to_numpy()] = found["n"].to_numpy()
+    usual = np.median(counts)
+    more = np.maximum(counts - usual - 4 * np.sqrt(usual), 1)
+    return bytearray(np.log2(more).astype(np.uint8).tobytes())
 
 
 def _part(n: Column, least: float) -> Column:
@@ -176,7 +184,8 @@ def _centres(keys: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """``s, part, m, centre, g``: centres of the keys (a low signature and a length partition) of many sets.
 
     A centre holds the signatures that most of a key's sets have, by a sample of them of about
-    ``FITTED`` rows. Keys whose sets are far from it on average are left out. Which centres
+    ``FITTED`` rows. Keys whose sets are far from it on average are left out, those up to twice
+    as far as a link allows not yet, as half of their sets may be near. Which centres
     there are decides the work, not the result; ``g`` is the hash of the centre.
     """
     num, den = _weights(least)
@@ -190,7 +199,7 @@ def _centres(keys: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     found = counted.groupBy("s", "part", "m", "k").agg(
         F.sort_array(F.collect_list(F.when(most, F.col("e")))).alias("centre"),
         F.sum(F.when(most, den * (F.col("k") - F.col("c"))).otherwise(num * F.col("c"))).alias("far"))
-    found = found.filter(F.col("far") <= F.col("k") * F.size("centre") * (den - num))
+    found = found.filter(F.col("far") <= F.col("k") * F.size("centre") * (den - num) * 2)
     return found.select("s", "part", "m", "centre", F.xxhash64("centre").alias("g"))
 
 
@@ -206,12 +215,13 @@ def _near(sets: DataFrame, least: float) -> DataFrame:
     keys = stored(sets.select("id", _part(F.size("sigs"), least).alias("part"), F.explode(F.slice("sigs", 1, LOWEST)).alias("s")), "spot-keys")
     centres = stored(_centres(keys, sets, least), "spot-centres")
     # Stored, so that the plan knows how few these rows are and leaves the sets where they lie.
-    own = stored(keys.join(centres.select("s", "part", "m", "g"), ["s", "part"]).groupBy("id").agg(
-        F.max(F.struct("m", "g"))["g"].alias("g")), "spot-own")
+    own = stored(keys.join(centres.select("s", "part", "g"), ["s", "part"]).select("id", "g").distinct(), "spot-own")
     rows = sets.join(own, "id").join(centres.groupBy("g").agg(F.first("centre").alias("centre")), "g")
     shared, centre = F.size(F.array_intersect("sigs", "centre")), F.size("centre").cast("bigint")
     w = (centre - shared) * den + (F.size("sigs") - shared).cast("bigint") * num
-    return stored(rows.select("id", "copies", "g", w.alias("w"), (centre * (den - num) - w).alias("room")).filter("room >= 0"), "spot-near")
+    rows = rows.select("id", "copies", "g", w.alias("w"), (centre * (den - num) - w).alias("room")).filter("room >= 0")
+    nearest = rows.groupBy("id").agg(F.max(F.struct("room", "g", "w", "copies")).alias("x"))
+    return stored(nearest.select("id", "x.copies", "x.g", "x.w", "x.room"), "spot-near")
 
 
 def _near_links(near: DataFrame) -> DataFrame:
@@ -237,9 +247,11 @@ def _sketch(signatures: str) -> list[Column]:
                         lambda x, s: x.bitwiseXOR(bit(s))).alias(f"bits{k}") for k in (0, 1)]
 
 
-def _pairs(sets: DataFrame, least: float, near: DataFrame | None = None) -> DataFrame:
-    """``a, b, likeness``: the pairs of ``sets (id, sigs)`` with a likeness of ``least`` or more, each once,
-    but for those that ``near`` (``_near``) proves.
+def _candidates(sets: DataFrame, least: float, near: DataFrame | None = None) -> DataFrame:
+    """``a, b``: pairs of ``sets (id, sigs)``, among them every one with a likeness of ``least`` or more,
+    but for those that ``near`` (``_near``) proves; a pair may come more than once.
+
+    ``a`` is the smaller set, of equally large ones that with the smaller number.
 
     Sets are partitioned by the logarithm of their length, so a match lies in one
     partition or two neighbouring ones. The signatures of every set stand in one
@@ -247,7 +259,9 @@ def _pairs(sets: DataFrame, least: float, near: DataFrame | None = None) -> Data
     first few share one, so only these are indexed, and words that very many sets
     share lead to no candidates. The order decides the work, not the result. A
     candidate's shared signature taken for their first, the signatures behind it
-    bound what the two can share; their sketches bound in how many they differ.
+    bound what the two can share; their sketches bound in how many they differ. Where
+    both hold one of the other's first common signatures, they have met there and
+    don't meet again at a later one.
     """
     num, den = _weights(least)
     levels = F.lit(_levels(sets))
@@ -258,12 +272,20 @@ def _pairs(sets: DataFrame, least: float, near: DataFrame | None = None) -> Data
         rows = rows.select("*", F.lit(None).cast("bigint").alias("g"), F.lit(None).cast("bigint").alias("over"))
     else:
         rows = rows.join(near.select("id", "g", (F.col("w") - F.col("room")).alias("over")), "id", "left")
+    length = lambda n: _part(n, least ** WIDE).cast("int")
     first = F.slice("ordered", 1, (F.col("n") - F.ceil(F.col("n") * num / den) + 1).cast("int"))
-    rows = rows.select("id", "n", "bits0", "bits1", "g", "over", _part(F.col("n"), least).alias("part"),
-                       F.posexplode(F.transform(first, lambda x: x["s"])).alias("at", "s"))
-    index = stored(rows.select("id", "n", "bits0", "bits1", "g", "over", "part", "s", (F.col("n") - F.col("at")).alias("rest")), "spot-index")
-    # The smaller of two alike sets shares more of its signatures, so fewer of its first are needed.
-    small = index.filter(F.col("rest") * (den + num) >= F.col("n") * 2 * num).withColumn("part", F.explode(F.array("part", F.col("part") + 1)))
+    rows = rows.select("id", "n", "bits0", "bits1", "g", "over", first.alias("first"))
+    rare = F.size(F.filter("first", lambda x: x["level"] < F.lit(bytearray([COMMON]))))
+    rows = rows.select("id", "n", "bits0", "bits1", "g", "over", F.transform("first", lambda x: x["s"]).alias("first"), rare.alias("rare"))
+    rows = rows.select("*", F.posexplode("first").alias("at", "s"))
+    before = F.when(F.col("at") > F.col("rare"), F.slice("first", F.col("rare") + 1, F.least(F.col("at") - F.col("rare"), F.lit(BEFORE))))
+    index = stored(rows.select("id", "n", "bits0", "bits1", "g", "over", length(F.col("n")).alias("part"), "s",
+                               (F.col("n") - F.col("at")).alias("rest"), before.alias("before")), "spot-index")
+    # The smaller of two alike sets shares more of its signatures, so fewer of its first are
+    # needed; the signatures behind one bound how long the other set can be.
+    longest = F.floor((F.col("rest") * (den + num) - F.col("n") * num) / num)
+    small = index.filter(F.col("rest") * (den + num) >= F.col("n") * 2 * num).withColumn(
+        "part", F.explode(F.sequence(F.col("part"), length(longest))))
     side = lambda rows, k: rows.select("s", "part", *[F.col(c).alias(f"{k}_{c}") for c in index.columns if c not in ("s", "part")])
     c = F.col
     smaller = (c("x_n") < c("y_n")) | (c("x_n") == c("y_n")) & (c("x_id") < c("y_id"))
@@ -271,8 +293,14 @@ def _pairs(sets: DataFrame, least: float, near: DataFrame | None = None) -> Data
     apart = F.bit_count(c("x_bits0").bitwiseXOR(c("y_bits0"))) + F.bit_count(c("x_bits1").bitwiseXOR(c("y_bits1")))
     close = apart * (den + num) <= (c("x_n") + c("y_n")) * (den - num)
     proven = F.coalesce((c("x_g") == c("y_g")) & (c("x_over") + c("y_over") <= 0), F.lit(False))
-    met = side(small, "x").join(side(index, "y"), ["s", "part"]).filter(smaller & enough & close & ~proven)
-    pairs = met.select(c("x_id").alias("a"), c("y_id").alias("b")).distinct()
+    met_before = F.coalesce(F.arrays_overlap("x_before", "y_before"), F.lit(False))
+    met = side(small, "x").join(side(index, "y"), ["s", "part"]).filter(smaller & enough & close & ~proven & ~met_before)
+    return met.select(c("x_id").alias("a"), c("y_id").alias("b"))
+
+
+def _pairs(sets: DataFrame, least: float, near: DataFrame | None = None) -> DataFrame:
+    """``a, b, likeness``: the ``_candidates`` with a likeness of ``least`` or more, each once."""
+    pairs = _candidates(sets, least, near).distinct()
     own = sets.select("id", "sigs")
     pairs = (pairs.join(own.select(F.col("id").alias("a"), F.col("sigs").alias("x")), "a")
              .join(own.select(F.col("id").alias("b"), F.col("sigs").alias("y")), "b"))
@@ -288,8 +316,10 @@ def matches(prints: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame
     an id are left out.
     """
     sets = _sets(prints)
-    members = prints.filter("doc_id is not null").join(sets.select("sigs", "id"), "sigs").select("doc_id", F.col("id.doc_id").alias("class_id"))
-    return _pairs(sets, least).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), "likeness"), members
+    members = prints.filter("doc_id is not null").join(sets.select("sigs", F.col("doc_id").alias("class_id")), "sigs").select("doc_id", "class_id")
+    own = lambda k: sets.select(F.col("id").alias(k), F.struct(F.size("sigs"), "doc_id").alias(f"of_{k}"))
+    pairs = _pairs(sets, least).join(own("a"), "a").join(own("b"), "b")
+    return pairs.select(F.least("of_a", "of_b")["doc_id"].alias("a"), F.greatest("of_a", "of_b")["doc_id"].alias("b"), "likeness"), members
 
 
 def with_links(prints: DataFrame, least: float = 0.8) -> DataFrame:
@@ -303,8 +333,8 @@ def with_links(prints: DataFrame, least: float = 0.8) -> DataFrame:
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     far = both.join(sets.select(F.col("id").alias("b"), "copies"), "b").select("a", "copies").unionByName(
         _near_links(near).select(F.col("id").alias("a"), F.col("linked").alias("copies"))).groupBy("a").agg(F.sum("copies").alias("far"))
-    links = stored(sets.select(fingerprint(F.col("sigs")).alias("set"), "id", "copies").join(far, F.col("id") == F.col("a"), "left").select(
-        "set", F.col("id.doc_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("far", F.lit(0))).alias("n_links")), "spot-links")
+    links = stored(sets.select(fingerprint(F.col("sigs")).alias("set"), "id", "doc_id", "copies").join(far, F.col("id") == F.col("a"), "left").select(
+        "set", F.col("doc_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("far", F.lit(0))).alias("n_links")), "spot-links")
     own = lambda c: F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c)
     rows = prints.select("*", fingerprint(F.col("sigs")).alias("set")).drop("sigs")
     return rows.join(links, "set", "left").select(*[c for c in prints.columns if c != "sigs"], own("class_id"), own("n_links"))

@@ -153,3 +153,36 @@ def test_links_around_centres_are_those_of_all_pairs(spark, monkeypatch):
     want = _links(sets)
     assert got == sorted((d, n) for (d, _), n in zip(rows, want))
     assert S._near(S._sets(prints), 0.8).count() > 100
+
+
+def _numbered(spark, sets):
+    rows = [(i, sorted((s * 0x9E3779B97F4A7C15 + 7) % 2**64 - 2**63 for s in x)) for i, x in enumerate(sets)]
+    return spark.createDataFrame(rows, "doc_id bigint, sigs array<bigint>")
+
+
+def test_a_pair_of_near_copies_meets_about_once(spark, monkeypatch):
+    import random
+    r = random.Random(3)
+    monkeypatch.setattr(S, "LEVELS", 1 << 12)
+    base = range(100)
+    sets = [frozenset(set(base) - set(r.sample(base, 4)) | {1000 + 10 * i + k for k in range(4)}) for i in range(200)]
+    sets += [frozenset(100_000 + 60 * i + k for k in range(60)) for i in range(40)]
+    found = S._sets(_numbered(spark, sets))
+    met = S._candidates(found, 0.8)
+    want = sum(_links(sets)) // 2
+    assert S._pairs(found, 0.8).count() == want > 15_000
+    assert met.distinct().count() <= met.count() < 2 * want
+    monkeypatch.setattr(S, "BEFORE", 0)
+    often = S._candidates(found, 0.8)
+    assert often.count() > 5 * want and S._pairs(found, 0.8).count() == want
+
+
+def test_a_centre_of_a_group_with_far_sets(spark):
+    import random
+    r = random.Random(4)
+    base = range(25)
+    sets = [frozenset(set(base) - set(r.sample(base, k)) | {1000 + 10 * i + j for j in range(k)}) for i in range(240) for k in [(1, 5)[i % 2]]]
+    prints = _numbered(spark, sets)
+    near = S._near(S._sets(prints), 0.8)
+    assert near.count() > 90 and near.count() == near.select("id").distinct().count()
+    assert sorted((x.doc_id, x.n_links) for x in S.with_links(prints).collect()) == list(enumerate(_links(sets)))
