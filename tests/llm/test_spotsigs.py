@@ -181,8 +181,8 @@ def test_a_centre_of_a_group_with_far_sets(spark):
     import random
     r = random.Random(4)
     base = range(25)
-    sets = [frozenset(set(base) - set(r.sample(base, k)) | {1000 + 10 * i + j for j in range(k)}) for i in range(240) for k in [(1, 5)[i % 2]]]
+    sets = [frozenset(set(base) - set(r.sample(base, k)) | {1000 + 10 * i + j for j in range(k)}) for i in range(240) for k in [(1, 6, 6)[i % 3]]]
     prints = _numbered(spark, sets)
     near = S._near(S._sets(prints), 0.8)
-    assert near.count() > 90 and near.count() == near.select("id").distinct().count()
+    assert near.count() > 60 and near.count() == near.select("id").distinct().count()
     assert sorted((x.doc_id, x.n_links) for x in S.with_links(prints).collect()) == list(enumerate(_links(sets)))
